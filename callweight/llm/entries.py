@@ -5,23 +5,52 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .ann import nearest_sharing
+from .decontam import leaks
+from .html import extract
+from .jaccard import near_duplicates
+from .lm import score_documents
 from .mixing import mix_sources
 from .scale import tables
 from .shards import shard_documents
+from .toxicity import score_documents as score_toxicity
 
 
 def op2_sharding(spark, sf_dir):
     return shard_documents(tables(spark, sf_dir, "documents"))
 
 
+def crc_is(mod: int, rest: int):
+    return F.crc32(F.col("doc_id").cast("string")) % mod == rest
+
+
+def op3_lm_scoring(spark, sf_dir):
+    return score_documents(tables(spark, sf_dir, "documents"), crc_is(7, 2))
+
+
+def op5_decontamination(spark, sf_dir):
+    return leaks(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
+def op6_ngram_join(spark, sf_dir):
+    return near_duplicates(tables(spark, sf_dir, "documents"))
+
+
 def op7_ann(spark, sf_dir):
     return nearest_sharing(tables(spark, sf_dir, "embeddings"))
 
 
+def op8_html_extraction(spark, sf_dir):
+    return extract(tables(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark, sf_dir):
     return mix_sources(tables(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark, sf_dir):
+    return score_toxicity(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"), crc_is(3, 1))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -41,5 +70,21 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+p AS (SELECT doc_id, md5(unnest(s)) AS h FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM p a JOIN p b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS u FROM n UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u)
+SELECT n.doc_id, n.n AS n_shingles, min(r.u) AS component_id FROM n JOIN r ON r.v = n.doc_id GROUP BY ALL
+"""
+
+
 def oracle_sql():
-    return {"op7_ann": OP7_SQL}
+    return {"op6_ngram_join": OP6_SQL, "op7_ann": OP7_SQL}

@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder; a lost executor loses nothing.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (tests on one
-    machine) a temporary folder is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+from callweight.fixpoint import durable as durable
 
 
 def text_volume(docs: DataFrame, text: str = "text") -> int:
