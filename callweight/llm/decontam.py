@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scale import small_batches
 from .text import chunks, column_bytes, mix, shingles, words
 
 MAX_EDIT = 0.25
@@ -216,7 +217,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, rec
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("i is not null and t is not null")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    d = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out, ids, texts, held = spark.createDataFrame([], SCHEMA), [], [], 0
     passes = []
     for r in items.toLocalIterator():

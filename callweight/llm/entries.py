@@ -10,11 +10,17 @@ from .html import extract
 from .jaccard import near_duplicates
 from .lm import score_documents
 from .mixing import mix_sources
+from .passages import repeated_passages
+from .quality import score_documents as score_quality
 from .scale import tables
 from .shards import shard_documents
 from .toxicity import score_documents as score_toxicity
 
 
+def op1_quality(spark, sf_dir):
+    return score_quality(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"), crc_is(4, 2))
+
+
 def op2_sharding(spark, sf_dir):
     return shard_documents(tables(spark, sf_dir, "documents"))
 
@@ -27,6 +33,10 @@ def op3_lm_scoring(spark, sf_dir):
     return score_documents(tables(spark, sf_dir, "documents"), crc_is(7, 2))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return repeated_passages(tables(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark, sf_dir):
     return leaks(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
 

@@ -19,18 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweight.fixpoint import connected_components
 
-from .scale import durable, parts_for, text_volume
-from .text import TOKEN_BITS, chunks, column_bytes, mix, pack48, runs, text_sets, unpack48, words
+from .scale import durable, parts_for, small_batches, text_volume
+from .text import TOKEN_BITS, chunks, column_bytes, mix, pack48, release, runs, text_sets, unpack48, words
 
 BUCKET_BYTES = 20 << 20  # text behind one token range
 STAR_ROUNDS = 2
 MAPS = 8  # 64-bit words of a set's parity map
 _U = np.uint64
+SLICES = 8
 
 
 def need(n: np.ndarray | int, pct: int):
@@ -98,17 +99,28 @@ def _shared(parts: int):
     """Tokens of one range that two sets or more hold, with their frequency, dealt by set."""
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         sid, size, cnt = _column(t, "sids", np.int64), _column(t, "sizes", np.int32), _column(t, "counts", np.int32)
         tok = unpack48(b"".join(t.column("tokens").to_pylist()))
         first = np.zeros(len(sid), bool)
         first[np.unique(sid, return_index=True)[1]] = True
-        owner = np.repeat(np.arange(len(sid)), cnt)
+        owner = np.repeat(np.arange(len(sid), dtype=np.int32), cnt)
         keep = first[owner]
         owner, tok = owner[keep], tok[keep]
-        _, inv, df = np.unique(tok, return_inverse=True, return_counts=True)
-        df = df[inv]
-        keep = df > 1
-        owner, tok, df = owner[keep], tok[keep], df[keep]
+        got = []
+        low, high = (int(tok.min()), int(tok.max())) if len(tok) else (0, 0)
+        for i in range(SLICES):  # a slice of the range at a time bounds the sort's memory
+            a, b = low + (high - low + 1) * i // SLICES, low + (high - low + 1) * (i + 1) // SLICES
+            at = np.flatnonzero((tok >= _U(a)) & (tok < _U(b)))
+            o = np.argsort(tok[at])
+            at = at[o]
+            s, c = runs(tok[at])
+            df = np.repeat(c, c)
+            got.append((at[df > 1], df[df > 1]))
+        at, df = (np.concatenate(x) for x in zip(*got, strict=True))
+        o = np.argsort(at)  # back to the order of owners
+        at, df = at[o], df[o]
+        owner, tok = owner[at].astype(np.int64), tok[at]
         p = (mix(sid.view(np.uint64)) % _U(parts)).astype(np.int32)[owner]
         o = np.argsort(p, kind="stable")
         owner, tok, df, p = owner[o], tok[o], df[o], p[o]
@@ -131,6 +143,7 @@ def _sets(pct: int):
     """Per set whose prefixes reach its shared tokens: sorted tokens, parity map, three prefixes."""
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         sid, size, cnt = _column(t, "sids", np.int64), _column(t, "sizes", np.int32), _column(t, "counts", np.int32)
         tok = unpack48(b"".join(t.column("tokens").to_pylist()))
         df = _column(t, "df", np.uint32)
@@ -215,7 +228,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, pct: int = 75, id_col: str = "d
     too but never name a component unless all its rows are null. An empty table gives no rows;
     extra columns are ignored.
     """
-    volume = text_volume(docs, text)
+    volume = text_volume(small_batches(docs), text)
     buckets = parts_for(volume, BUCKET_BYTES, 12)
     members = durable(ids_of(docs, k, id_col, text))
     packed = _ranges(docs, k, buckets, text).groupBy("b").applyInArrow(_shared(buckets), "p int, sids binary, sizes binary, counts binary, tokens binary, df binary")
@@ -246,3 +259,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, pct: int = 75, id_col: str = "d
     least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, pct: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without near duplicates: of each component the row with the smallest id, with
+    all its columns. Texts without words all stay; of rows that share the kept id one stays."""
+    near = near_duplicates(docs, k, pct, id_col, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = durable(near.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__times"), F.max("n_shingles").alias("__n")))
+    out = docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["__id"]), "inner")
+    if not keep.filter("__times > 1 and __n > 0").isEmpty():
+        first = Window.partitionBy("__id").orderBy(F.xxhash64(F.col(text)))
+        out = out.withColumn("__row", F.row_number().over(first)).filter("__row = 1 or __n = 0").drop("__row")
+    return out.select(docs.columns)

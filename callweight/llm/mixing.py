@@ -91,3 +91,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     out = placed.alias("d").join(got.alias("g"), F.col("d.src").eqNullSafe(F.col("g.src")) & F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.at") == F.col("g.at")), "left")
     out = out.join(sources.alias("s"), F.col("d.src").eqNullSafe(F.col("s.src")), "left")
     return out.select(F.col("d.id").alias(id_col), F.col("d.size").alias("size"), F.col("s.source_size").alias("source_size"), F.col("s.target").alias("target"), F.coalesce(F.col("g.taken"), F.lit(0)).cast("long").alias("taken"))
+
+
+def realise(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+    """The mix as rows: every document as often as its words are taken, with all its columns.
+
+    A document taken for t of its s words appears floor(t / s) times and once more with the chance
+    of the remainder, drawn from its id by hash, so sources stay near their targets and reruns
+    agree. Rows that share an id share the decision; wordless texts are not taken.
+    """
+    plan = mix_sources(docs, id_col=id_col, **kw).groupBy(F.col(id_col).alias("__id")).agg(F.sum("taken").alias("__t"), F.sum("size").alias("__s")).filter("__t > 0")
+    share = F.col("__t") / F.col("__s")
+    draw = F.pmod(F.xxhash64(F.lit(23), "__id"), F.lit(1 << 20)) / (1 << 20)
+    plan = plan.withColumn("__times", (F.floor(share) + (draw < share - F.floor(share)).cast("int")).cast("int")).filter("__times > 0")
+    out = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"]), "inner")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from callweight.fixpoint import durable as durable
 
 
+ARROW_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Keep Arrow batches of long texts to a few megabytes, unless the session asks for fewer."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key))
+    if now <= 0 or now > ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def text_volume(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])

@@ -59,6 +59,5 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id") -> DataFrame:
-    """All columns of every row plus `shard`; laid out so that one shard's rows lie together."""
-    clash = {c for c in docs.columns if c in ("shard",)}
-    return docs.drop(*clash).withColumn("shard", jump_shard(F.col(id_col), shards))
+    """All columns of every row plus `shard`, which replaces a column of that name."""
+    return docs.withColumn("shard", jump_shard(F.col(id_col), shards))

@@ -8,6 +8,7 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 3 << 20  # bytes of text taken at once; a longer single text makes a chunk of its own
+CHUNK_BYTES = 1 << 20  # bytes of text taken at once; a longer single text makes a chunk of its own
 TOKEN_BITS = 48
 
 _RNG = np.random.default_rng(20240501)
@@ -27,7 +28,29 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+class _Powers:
+    """Powers of the base and of its inverse, made where they are used: pickled empty."""
+
+    def __init__(self) -> None:
+        self.fwd = self.inv = np.ones(1, np.uint64)
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.fwd) < n:
+            out = []
+            for base in (_BASE, _INV):
+                p = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
+                p[0] = 1
+                out.append(np.multiply.accumulate(p))
+            self.fwd, self.inv = out
+        return self.fwd[:n], self.inv[:n]
+
+
+_POW = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,12 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        for k, base in enumerate((_BASE, _INV)):
-            p = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
-            p[0] = 1
-            _POW[k] = np.multiply.accumulate(p)
-    return _POW[0][:n], _POW[1][:n]
+    return _POW.upto(n)
 
 
 def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +127,35 @@ def words(data: np.ndarray, off: np.ndarray, hashed: bool = True) -> Words:
     return Words(buf, start, end, row, h, len(off) - 1)
 
 
+def words_of(blobs: list[bytes], size: int = CHUNK_BYTES) -> Words:
+    """Words of many runs of bytes as one text, a bounded part at a time; no word crosses blobs."""
+    out, lo, base = [], 0, 0
+    while lo < len(blobs):
+        hi, n = lo, 0
+        while hi < len(blobs) and (hi == lo or n + len(blobs[hi]) <= size):
+            n += len(blobs[hi])
+            hi += 1
+        off = np.concatenate(([0], np.cumsum([len(b) for b in blobs[lo:hi]])))
+        w = words(np.frombuffer(b"".join(blobs[lo:hi]), np.uint8), off)
+        out.append((w.buf, w.start + base, w.end + base, w.hash))
+        base += n
+        lo = hi
+    if not out:
+        z = np.zeros(0, np.int64)
+        return Words(np.zeros(0, np.uint8), z, z, z, np.zeros(0, np.uint64), 1)
+    buf, start, end, h = (np.concatenate(x) for x in zip(*out, strict=True))
+    return Words(buf, start, end, np.zeros(len(start), np.int64), h, 1)
+
+
+def release() -> None:
+    """Give freed memory back to the system; a worker otherwise keeps the peak of its largest group."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def word_texts(w: Words, at: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bytes of the words `at`, joined, and their lengths."""
     ln = w.end[at] - w.start[at]

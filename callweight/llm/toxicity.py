@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .boost import Boosted, Isotonic
 from .labelled import SAMPLE_ROWS, labelled_sample
+from .scale import small_batches
 from .text import SPACE, Words, chunks, column_bytes, word_texts, words
 
 # Insults and abuse in English, French, German and Spanish; second persons.
@@ -200,7 +201,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out, label: str = "
     label 1 among them (0 if none). Equal texts get equal scores. An empty table gives no rows;
     extra columns are ignored.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    d = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     model = fit(d, labels, held_out, label, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
