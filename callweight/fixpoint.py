@@ -6,6 +6,7 @@ delta where the semantics allow it, and stops on a count.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -23,6 +24,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Let Spark drop shuffle and checkpoint files that nothing refers to any more. Its cleaner acts
+    when the driver's JVM collects garbage, which a small driver heap may put off for a whole loop."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, max_iter: int = 60) -> DataFrame:
     """(v, component): the smallest vertex reachable from each vertex of edges(a, b).
 

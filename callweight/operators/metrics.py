@@ -117,14 +117,43 @@ def recursive_via_pointer(comp: DataFrame, edges: DataFrame, verified: DataFrame
     return c.join(direct.filter("d = 0").select(F.col("src").alias("id")), "id", "left_semi").select("id")
 
 
+def _shortcuts(nodes: DataFrame, edges: DataFrame, max_iter: int = 64) -> DataFrame | None:
+    """(id, t, sw, sl, sr): for nodes with one callee, the first node down their chain that has
+    not exactly one, and the sums over the chain before it. Pointer doubling: a chain of any
+    length takes logarithmically many rounds. None where no such node calls another."""
+    only = edges.groupBy("src").agg(F.count("*").alias("c"), F.min("dst").alias("t")).filter("c = 1").select(F.col("src").alias("id"), "t")
+    j = durable(only.join(nodes, "id").select("id", "t", F.col("w").alias("sw"), F.col("len").alias("sl"), F.col("rec").alias("sr")))
+    for k in range(max_iter):
+        step = durable(
+            j.join(j.select(F.col("id").alias("t"), F.col("t").alias("t2"), F.col("sw").alias("w2"), F.col("sl").alias("l2"), F.col("sr").alias("r2")), "t", "left")
+            .select("id", F.coalesce("t2", "t").alias("t"), (F.col("sw") + F.coalesce("w2", F.lit(0))).alias("sw"), (F.col("sl") + F.coalesce("l2", F.lit(0))).alias("sl"), (F.col("sr") | F.coalesce("r2", F.lit(False))).alias("sr"), F.col("t2").isNotNull().alias("moved"))
+        )
+        j = step.drop("moved")
+        if step.filter("moved").isEmpty():
+            return None if k == 0 else j
+    return j
+
+
 def relax_down(nodes: DataFrame, edges: DataFrame, max_iter: int = 10_000) -> DataFrame:
     """(id, peak, down, rec): heaviest and longest chain below each node of an acyclic graph, itself
-    included, and whether a marked node is on any. nodes(id, w, len, rec). Each round only nodes whose value rose send it to their callers."""
+    included, and whether a marked node is on any. nodes(id, w, len, rec), w >= 0. Chains of single
+    callees are cut short first; then each round only nodes whose value rose tell their callers."""
+    nodes = durable(nodes.select("id", "w", "len", "rec"))
     e = durable(edges.select("src", "dst").distinct())
-    state = durable(nodes.select("id", "w", "len", F.col("w").alias("peak"), F.col("len").alias("down"), "rec"))
+    cut = _shortcuts(nodes, e)
+    inner, tail = nodes, None
+    if cut is None:
+        arcs = e.select("src", "dst", F.lit(0).cast("long").alias("ew"), F.lit(0).cast("long").alias("el"), F.lit(False).alias("er"))
+    else:
+        inner = durable(nodes.join(cut.select("id"), "id", "left_anti"))
+        far = cut.select(F.col("id").alias("dst"), "t", "sw", "sl", "sr")
+        out = e.join(cut.select(F.col("id").alias("src")), "src", "left_anti").join(far, "dst", "left")
+        arcs = durable(out.select("src", F.coalesce("t", "dst").alias("dst"), F.coalesce("sw", F.lit(0)).alias("ew"), F.coalesce("sl", F.lit(0)).alias("el"), F.coalesce("sr", F.lit(False)).alias("er")))
+        tail = cut
+    state = inner.select("id", "w", "len", F.col("w").alias("peak"), F.col("len").alias("down"), "rec")
     new = state.select("id", "peak", "down", "rec")
     for _ in range(max_iter):
-        up = e.join(new.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.max("peak").alias("p"), F.max("down").alias("d"), F.max("rec").alias("r"))
+        up = arcs.join(new.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.max(F.col("peak") + F.col("ew")).alias("p"), F.max(F.col("down") + F.col("el")).alias("d"), F.max(F.col("rec") | F.col("er")).alias("r"))
         nxt = durable(
             state.join(up, "id", "left").select(
                 "id", "w", "len", F.greatest("peak", F.coalesce(F.col("w") + F.col("p"), "peak")).alias("peak"), F.greatest("down", F.coalesce(F.col("len") + F.col("d"), "down")).alias("down"), F.coalesce(F.col("rec") | F.col("r"), "rec").alias("rec"),
@@ -135,7 +164,11 @@ def relax_down(nodes: DataFrame, edges: DataFrame, max_iter: int = 10_000) -> Da
         new = nxt.filter("rose").select("id", "peak", "down", "rec")
         if new.isEmpty():
             break
-    return state.select("id", "peak", "down", "rec")
+    out = state.select("id", "peak", "down", "rec")
+    if tail is not None:
+        ends = out.select(F.col("id").alias("t"), "peak", "down", "rec")
+        out = out.union(tail.join(ends, "t").select("id", F.col("sw") + F.col("peak"), F.col("sl") + F.col("down"), F.col("sr") | F.col("rec")))
+    return out
 
 
 def peaks(nodes: DataFrame, edges: DataFrame, comp: DataFrame | None = None) -> DataFrame:

@@ -201,27 +201,28 @@ def synthetic_graph(spark: SparkSession, n: int = 3000, variant: int = 0) -> tup
     i = F.col("id")
     between = lambda a, b: (i >= a) & (i < b)
     leaf = lambda k: F.lit(half) + F.pmod(k, F.lit(leaves))
-    hub = lambda k: F.lit(20) + F.pmod(k, F.lit(40))
+    hub = lambda k: F.when(k < 40, 20 + k)  # noqa: E731  no hub beyond the last
     h, c, w, f, d = i - 20, i - 60, i - 440, i - half, i - 360
     arr = F.array
     none = F.array().cast("array<bigint>")
     rec = i - 260
+    triple = rec - 80
     cyc = (
-        F.when(rec < 40, arr(i))
-        .when(rec < 80, arr(F.when(rec % 2 == 0, i + 1).otherwise(i - 1)))
-        .when(rec < 95, arr(F.when((rec - 80) % 3 == 2, i - 2).otherwise(i + 1)))
+        F.when(rec < 40, arr(i, leaf(rec * 3)))
+        .when(rec < 80, F.when(rec % 2 == 0, arr(i + 1, leaf(rec * 5))).otherwise(arr(i - 1)))
+        .when(rec < 95, F.when(triple % 3 == 2, arr(i - 2)).when(triple % 3 == 1, arr(i + 1, leaf((rec - 1) * 7))).otherwise(arr(i + 1)))
         .otherwise(arr(F.when(rec == 99, i - 4).otherwise(i + 1)))
     )
     block = (f / 50).cast("bigint") * 50
     inside = lambda k: F.when((f - block + k < 50) & (f + k < leaves), i + k)
     out = (
-        F.when(i < 20, arr(hub(i), hub(i + 7), F.lit(60), F.lit(440) + F.pmod(i * 11, F.lit(callers)), F.lit(260) + F.pmod(i * 5, F.lit(100)), F.lit(360) + F.pmod(i, F.lit(80))))
+        F.when(i < 20, arr(20 + (i * 2) % 40, 20 + (i * 2 + 1) % 40, F.lit(60), 440 + (i * 7) % callers, 260 + i, 360 + i))
         .when(between(20, 60), F.concat(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: leaf(F.pmod(h * 23, F.lit(leaves - 35)) + k)), arr(hub(h + 1), hub(h + 5))))
         .when(between(60, 259), arr(i + 1))
         .when(i == 259, arr(F.lit(half)))
         .when(between(260, 360), cyc)
         .when(between(360, 440), F.when(d % 2 == 0, arr(leaf(d * 3))).otherwise(none))
-        .when(between(440, half), arr(hub(w), F.when(w + 3 < callers, i + 3), F.when(w + 11 < callers, i + 11)))
+        .when(between(440, half), arr(20 + w % 40, F.when(w + 3 < callers, i + 3), F.when(w + 11 < callers, i + 11)))
         .otherwise(arr(inside(1), inside(5), inside(17)))
     )
     frame = F.when(between(60, 260), 32 + 8 * (i % 7)).otherwise(16 + (48 * i) % 1600 + F.when(between(20, 60), 512).otherwise(0))
@@ -229,7 +230,7 @@ def synthetic_graph(spark: SparkSession, n: int = 3000, variant: int = 0) -> tup
     nodes = v.select(i.cast("string").alias("id"), F.format_string("fn_%04d", i).alias("name"), F.concat(F.lit("src/f"), (i / 100).cast("int"), F.lit(".c")).alias("file"), frame.cast("bigint").alias("frame"), i.cast("int").alias("ord"))
     calls = v.select(i.alias("s"), F.posexplode(out.cast("array<bigint>")).alias("seq", "d")).filter("d is not null").groupBy("s", "d").agg(F.min("seq").alias("seq"))
     calls = calls.select(F.col("s").cast("string").alias("src"), F.col("d").cast("string").alias("dst"), "seq", F.lit(False).alias("indirect"))
-    if variant:
-        calls = calls.filter("not (src = '60' and dst = '61')").union(spark.createDataFrame([("60", "63", 0, False)], calls.schema))
-        nodes = nodes.withColumn("frame", F.when(F.col("id") == "100", F.lit(9000)).otherwise(F.col("frame")).cast("bigint"))
+    if variant:  # one edge gone, one new, one frame changed
+        calls = calls.filter(f"not (src = '20' and dst = '{half}')").union(spark.createDataFrame([("0", "160", 6, False)], calls.schema))
+        nodes = nodes.withColumn("frame", F.when(F.col("id") == "21", F.lit(9000)).otherwise(F.col("frame")).cast("long"))
     return nodes, calls
