@@ -8,8 +8,8 @@
 3. Under any total order two sets of similarity >= t share a token among the first
    n - ceil(t n) + 1 of each. Orders used: (frequency, h1), (unique first, h2), (unique first, h3).
    A pair must pass all of them, a size filter and a bit-parity bound before exact verification.
-4. Components need no full pair list: a few rounds verify stars around one set per token; then
-   all pairs that share a prefix token and still lie in different components are verified, so no
+4. Components need no full pair list: a few rounds verify stars around one set per token, the
+   later ones only where a token's sets are not in one component yet; then all pairs that share a prefix token and still lie in different components are verified, so no
    link between components can be missed. Pairs inside a component are never enumerated.
 """
 
@@ -22,16 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweight.fixpoint import connected_components
+from callweight.fixpoint import connected_components, forget
 
 from .scale import durable, parts_for, small_batches, text_volume
 from .text import TOKEN_BITS, chunks, column_bytes, mix, pack48, release, runs, text_sets, unpack48, words
 
 BUCKET_BYTES = 20 << 20  # text behind one token range
-STAR_ROUNDS = 2
-MAPS = 8  # 64-bit words of a set's parity map
+STAR_ROUNDS = 3  # after the first
+MAPS = 24  # 64-bit words of a set's parity map
 _U = np.uint64
 SLICES = 8
+SALTS = (np.uint64(0x51ED270B), np.uint64(0xB492B66F))  # of the second and third order
 
 
 def need(n: np.ndarray | int, pct: int):
@@ -135,12 +136,8 @@ def _shared(parts: int):
     return run
 
 
-def _prefix(tok: np.ndarray, keys: tuple, room: int) -> np.ndarray:
-    return np.sort(tok[np.lexsort(keys)[:room]])
-
-
 def _sets(pct: int):
-    """Per set whose prefixes reach its shared tokens: sorted tokens, parity map, three prefixes."""
+    """Per set whose prefixes reach its shared tokens: sorted tokens, parity map, first prefix."""
 
     def run(t: pa.Table) -> pa.Table:
         release()
@@ -150,9 +147,9 @@ def _sets(pct: int):
         owner = np.repeat(np.arange(len(sid)), cnt)
         o = np.lexsort((tok, sid[owner]))
         owner, tok, df = owner[o], tok[o], df[o]
-        h2, h3 = mix(tok ^ _U(0x51ED270B)), mix(tok ^ _U(0xB492B66F))
-        pos = h2 >> _U(64 - 9)  # bit among 512
-        cols: list[list] = [[] for _ in range(7)]
+        h2 = mix(tok ^ SALTS[0])
+        pos = ((h2 >> _U(32)) * _U(64 * MAPS)) >> _U(32)  # bit among 64 * MAPS
+        cols: list[list] = [[] for _ in range(5)]
         for s, ln in zip(*runs(sid[owner]), strict=True):
             n = int(size[owner[s]])
             room = need(n, pct) - (n - ln)  # what of the prefix its unique tokens leave
@@ -164,14 +161,13 @@ def _sets(pct: int):
                 cols,
                 (
                     int(sid[owner[s]]), n, pack48(tok[x]), np.packbits(bits).view(np.int64).tolist(),
-                    _prefix(tok[x], (tok[x], df[x]), room).view(np.int64).tolist(),
-                    pack48(_prefix(tok[x], (h2[x],), room)), pack48(_prefix(tok[x], (h3[x],), room)),
+                    tok[x][np.lexsort((tok[x], df[x]))[:room]].view(np.int64).tolist(),
                 ),
                 strict=True,
             ):
                 to.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["sid", "n", "toks", "bits", "pre", "pre2", "pre3"])
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["sid", "n", "toks", "bits", "pre"])
 
     return run
 
@@ -185,6 +181,12 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
+def _first(tok: np.ndarray, n: int, pct: int, salt: np.uint64) -> np.ndarray:
+    """Shared tokens in the prefix under the order (unique first, mixed token)."""
+    room = need(n, pct) - (n - len(tok))
+    return tok if room >= len(tok) else np.sort(tok[np.argpartition(mix(tok ^ salt), room - 1)[:room]])
+
+
 def _verify(pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -192,12 +194,11 @@ def _verify(pct: int):
             c = {n: t.column(i) for i, n in enumerate(t.schema.names)}
             na, nb = c["na"].to_numpy(), c["nb"].to_numpy()
             for i in range(t.num_rows):
-                for f in ("pre2", "pre3"):
-                    if not _common(unpack48(c["a" + f][i].as_buffer()), unpack48(c["b" + f][i].as_buffer())):
-                        break
-                else:
-                    k = _common(unpack48(c["atoks"][i].as_buffer()), unpack48(c["btoks"][i].as_buffer()))
-                    ok[i] = 100 * k >= pct * (int(na[i]) + int(nb[i]) - k)
+                a, b = unpack48(c["atoks"][i].as_buffer()), unpack48(c["btoks"][i].as_buffer())
+                n, m = int(na[i]), int(nb[i])
+                if all(_common(_first(a, n, pct, salt), _first(b, m, pct, salt)) for salt in SALTS):
+                    k = _common(a, b)
+                    ok[i] = 100 * k >= pct * (n + m - k)
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([c["a"].filter(keep), c["b"].filter(keep)], ["a", "b"])
 
@@ -206,16 +207,24 @@ def _verify(pct: int):
 
 def _links(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity."""
-    s = sets.select("sid", "n", "toks", "pre2", "pre3")
-    a = s.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("toks").alias("atoks"), F.col("pre2").alias("apre2"), F.col("pre3").alias("apre3"))
-    b = s.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("btoks"), F.col("pre2").alias("bpre2"), F.col("pre3").alias("bpre3"))
+    s = sets.select("sid", "n", "toks")
+    a = s.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("toks").alias("atoks"))
+    b = s.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("btoks"))
     return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(_verify(pct), "a long, b long")
 
 
 def _components(links: DataFrame, posts: DataFrame) -> DataFrame:
     """posts with the component (comp) each set has by these links."""
     cc = connected_components(links)
-    return durable(posts.drop("comp").join(cc.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component"))
+    out = durable(posts.drop("comp").join(cc.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component"))
+    forget(out)
+    return out
+
+
+def _mixed(posts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Postings of tokens that still hold several components, with their sets' parity maps."""
+    mixed = posts.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("t")
+    return durable(posts.join(mixed, "t", "left_semi").join(sets.select("sid", "bits"), "sid"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, pct: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,27 +241,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, pct: int = 75, id_col: str = "d
     buckets = parts_for(volume, BUCKET_BYTES, 12)
     members = durable(ids_of(docs, k, id_col, text))
     packed = _ranges(docs, k, buckets, text).groupBy("b").applyInArrow(_shared(buckets), "p int, sids binary, sizes binary, counts binary, tokens binary, df binary")
-    sets = durable(packed.groupBy("p").applyInArrow(_sets(pct), "sid long, n long, toks binary, bits array<long>, pre array<long>, pre2 binary, pre3 binary"))
-    posts = durable(sets.select("sid", "n", "bits", F.explode("pre").alias("t"), F.col("sid").alias("comp")))
+    sets = durable(packed.groupBy("p").applyInArrow(_sets(pct), "sid long, n long, toks binary, bits array<long>, pre array<long>"))
+    forget(sets)
+    posts = durable(sets.select("sid", "n", F.explode("pre").alias("t"), F.col("sid").alias("comp")))
     fits = lambda x, y: F.col(x) * 100 >= F.col(y) * pct  # noqa: E731  size filter, both ways below
-    links = None
-    for r in range(STAR_ROUNDS):
-        # One star a token: its centre is the set with the least mixed id, another mix each round.
-        rank = F.struct(F.xxhash64("sid", F.lit(r)).alias("h"), "sid", "n", "comp")
-        centre = posts.groupBy("t").agg(F.min(rank).alias("c"), F.count("*").alias("f")).filter("f > 1").select("t", "c.*").toDF("t", "h", "a", "an", "acomp").drop("h")
-        pairs = posts.join(centre, "t").filter("comp <> acomp").filter(fits("n", "an") & fits("an", "n")).select("a", F.col("sid").alias("b")).distinct()
-        found = durable(_links(pairs, sets, pct))
-        links = found if links is None else durable(links.union(found))
-        posts = _components(links, posts)
-    # Every pair that shares a prefix token and is not in one component yet.
-    mixed = posts.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("t")
-    left = posts.join(mixed, "t", "left_semi")
-    a, b = (left.select("t", *(F.col(c).alias(p + c) for c in ("sid", "n", "bits", "comp"))) for p in "ab")
     differ = sum((F.bit_count(F.col("abits")[i].bitwiseXOR(F.col("bbits")[i])) for i in range(MAPS)), F.lit(0))
     # |A xor B| >= parity distance, so the intersection is at most (|A| + |B| - distance) / 2.
     most = (F.col("an") + F.col("bn") - differ) / 2
     close = (most * 100 >= (F.col("an") + F.col("bn") - most) * pct) & fits("an", "bn") & fits("bn", "an")
-    pairs = a.join(b, "t").filter(F.col("asid") < F.col("bsid")).filter(F.col("acomp") != F.col("bcomp")).filter(close).select(F.col("asid").alias("a"), F.col("bsid").alias("b")).distinct()
+
+    # One star a token around the set with the least mixed id, which near copies mostly share.
+    centre = posts.groupBy("t").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n")).alias("c"), F.count("*").alias("f")).filter("f > 1").select("t", F.col("c.sid").alias("a"), F.col("c.n").alias("an"))
+    pairs = posts.join(centre, "t").filter("sid <> a").filter(fits("n", "an") & fits("an", "n")).select("a", F.col("sid").alias("b")).distinct()
+    links = durable(_links(pairs, sets, pct))
+    posts = _components(links, posts)
+    for r in range(1, STAR_ROUNDS + 1):
+        left = _mixed(posts, sets)
+        if left.isEmpty():
+            break
+        # Another star a token, around another member for every token: each set meets as many
+        # members as it has tokens; the closest of each other component is verified.
+        centre = left.groupBy("t").agg(F.min_by(F.struct("sid", "n", "comp", "bits"), F.xxhash64("sid", "t", F.lit(r))).alias("c")).select("t", *(F.col(f"c.{x}").alias("b" + x) for x in ("sid", "n", "comp", "bits")))
+        met = left.select("t", *(F.col(x).alias("a" + x) for x in ("sid", "n", "comp", "bits"))).join(centre, "t").filter("acomp <> bcomp").filter(close)
+        pairs = met.groupBy("asid", "bcomp").agg(F.min_by("bsid", F.struct(differ, F.col("bsid"))).alias("b")).select(F.col("asid").alias("a"), "b")
+        links = durable(links.union(_links(pairs.distinct(), sets, pct)))
+        posts = _components(links, posts)
+    # Every pair that shares a prefix token and is not in one component yet. One side of such a
+    # pair lies outside the token's largest component, so that one is never joined with itself.
+    left = _mixed(posts, sets)
+    main = left.groupBy("t", "comp").agg(F.count("*").alias("c")).groupBy("t").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    left = left.join(main, "t")
+    a = left.filter("comp <> main").select("t", *(F.col(x).alias("a" + x) for x in ("sid", "n", "comp", "bits")))
+    b = left.select("t", (F.col("comp") == F.col("main")).alias("bmain"), *(F.col(x).alias("b" + x) for x in ("sid", "n", "comp", "bits")))
+    pairs = a.join(b, "t").filter("acomp <> bcomp").filter("bmain or asid < bsid").filter(close).select(F.col("asid").alias("a"), F.col("bsid").alias("b")).distinct()
     links = durable(links.union(_links(pairs, sets, pct)))
     cc = connected_components(links)
     named = members.join(cc.withColumnRenamed("v", "sid"), "sid", "left").withColumn("root", F.coalesce("component", "sid"))
