@@ -253,6 +253,15 @@ def test_repeated_passages(spark, odd, none):
     assert passages.repeated_passages(odd).count() == 0 and passages.repeated_passages(none).count() == 0
 
 
+@pytest.mark.parametrize("gap", [60, 100, 200, 290])
+def test_passages_round_unrelated_text(spark, gap):
+    r = random.Random(gap)
+    head, foot = sentence(r, 60), sentence(r, 60)
+    d = spark.createDataFrame([(i, f"{head} {sentence(r, gap)} {foot}", "en", "s", 0) for i in range(2)], DOCS)
+    got = sorted((x.doc_id, x.start_word, x.end_word) for x in passages.repeated_passages(d).collect())
+    assert got == [(i, *x) for i in range(2) for x in ((0, 60), (60 + gap, 120 + gap))]
+
+
 # Decontamination
 
 
