@@ -262,6 +262,21 @@ def test_passages_round_unrelated_text(spark, gap):
     assert got == [(i, *x) for i in range(2) for x in ((0, 60), (60 + gap, 120 + gap))]
 
 
+def test_passages_whose_parts_have_earlier_holders(spark):
+    r = random.Random(11)
+    lost = []
+    for n in range(12):
+        p = sentence(r, 60).split()
+        q = sentence(r, 45)
+        texts = [" ".join(p[:30]), " ".join(p[30:]), " ".join(p[:30]), " ".join(p), " ".join(p[30:]), " ".join(p)]
+        texts = [f"{sentence(r, 40)} {x} {sentence(r, 40)}" for x in texts]
+        texts += [f"{' '.join(q.split()[:9])} {sentence(r, 70)} {q}", f"{sentence(r, 50)} {q}"]  # its second place has the whole
+        d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+        got = {(x.doc_id, x.start_word, x.end_word) for x in passages.repeated_passages(d).collect()}
+        lost.append({(3, 40, 100), (5, 40, 100), (6, 79, 124), (7, 50, 95)} - got)
+    assert not any(lost)
+
+
 # Decontamination
 
 
