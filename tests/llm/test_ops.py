@@ -277,6 +277,29 @@ def test_passages_whose_parts_have_earlier_holders(spark):
     assert not any(lost)
 
 
+@pytest.mark.parametrize("every", [7, 8])
+def test_passages_changed_all_along(spark, every):
+    r = random.Random(every)
+    rows = []
+    for _ in range(40):
+        p = sentence(r, 50).split()
+        rows += [" ".join(p), " ".join(f"q{i}" if i % every == every - 1 else w for i, w in enumerate(p))]
+    d = spark.createDataFrame([(i, f"{sentence(r, 60)} {t} {sentence(r, 60)}", "en", "s", 0) for i, t in enumerate(rows)], DOCS)
+    got = {(x.doc_id, x.partner_id) for x in passages.repeated_passages(d).collect() if x.end_word - x.start_word >= 47}  # of 50; an end of two words behind a changed one may go
+    assert got == {(i, i ^ 1) for i in range(80)}
+
+
+def test_one_seed_and_unlike_ends():
+    p = np.arange(100, 150, dtype=np.uint32)
+    q = p.copy()
+    q[[3, 7, 11, 15, 19, 28, 32, 36, 40, 44]] += 500  # one run of six words is left
+    far = np.arange(1000, 1040, dtype=np.uint32)
+    u, v = np.concatenate((far, p, far + 200)), np.concatenate((far + 400, q, far + 600))
+    got = passages.align(u, v, 0, 0, [60, 66, 60, 66], 40, 0.75)
+    assert len(got) == 1 and got[0][0] <= 41 and got[0][1] >= 88 and got[0][4] == 40
+    assert passages.align(u, v[::-1].copy(), 0, 0, [60, 66, 60, 66], 40, 0.75) == []
+
+
 # Decontamination
 
 
