@@ -32,7 +32,8 @@ BUCKET_BYTES = 24 << 20  # text behind one range of words
 CHUNK = 3 << 19
 ROUNDS = 3
 CLASSES = 6
-CLASS_WORDS, CLASS_DOCS = 1000, 4000  # the class model's words and sampled documents
+CLASS_WORDS, CLASS_DOCS = 1000, 4000  # the class model's words, and the texts its EM begins with
+CLASS_ROUNDS, CLASS_GAIN = 40, 1e-5  # rounds over all texts at most, and the least gain to go on
 DISCOUNT = 0.75
 URN = 5000.0
 LONGEST = 256  # bytes of a word in one lattice; longer words are scored in stretches of as many
@@ -242,11 +243,49 @@ def _mixture(x: np.ndarray, k: int, seed: int, rounds: int = 40) -> tuple[float,
     return float((m + np.log(z)).sum()), logp, prior
 
 
-def fit_classes(train: DataFrame, n_docs: int, k: int = CLASSES, n_words: int = CLASS_WORDS, sample: int = CLASS_DOCS) -> Classes:
-    """Classes from about `sample` training texts, chosen by hash; at most n_words counts of each
-    come to the driver."""
-    rate = min(1.0, sample / max(1, n_docs))
-    some = train.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("text").limit(2 * sample)
+def _packed(c: np.ndarray) -> list[bytes]:
+    """The words with a count of 1 to 3 of each text, two bytes each."""
+    row, word = np.nonzero(c)
+    x = (word * 4 + c[row, word]).astype("<u2")
+    cut = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(c)))))
+    return [x[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _unpacked(rows: list[bytes], n_words: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(rows), "<u2").astype(np.int64)
+    out = np.zeros((len(rows), n_words), np.float32)
+    out[np.repeat(np.arange(len(rows)), [len(r) // 2 for r in rows]), x >> 2] = x & 3
+    return out
+
+
+def _shares(logp: np.ndarray, prior: np.ndarray):
+    """One round over texts of a partition: (class * (words + 1) + word, sum); the last word of a
+    class is its number of texts, one more number is the log likelihood."""
+    k, n = logp.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, like = np.zeros((k, n + 1)), 0.0
+        for b in batches:
+            x = _unpacked(b.column(0).to_pylist(), n)
+            ll = x @ logp.T + prior
+            m = ll.max(axis=1, keepdims=True)
+            r = np.exp(ll - m)
+            z = r.sum(axis=1, keepdims=True)
+            r /= z
+            out[:, :n] += r.T @ x
+            out[:, n] += r.sum(axis=0)
+            like += float((m + np.log(z)).sum())
+        got = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(got, k * (n + 1))), pa.array(np.append(out.ravel()[got], like))], ["i", "s"])
+
+    return run
+
+
+def fit_classes(train: DataFrame, k: int = CLASSES, n_words: int = CLASS_WORDS, start: int = CLASS_DOCS, rounds: int = CLASS_ROUNDS) -> Classes:
+    """Classes by EM over all training texts. EM begins at the best fit of `start` of them, chosen
+    by hash of their counts, so that classes begin apart however many texts there are; from there
+    every round reads all texts and one number a class and word comes to the driver."""
+    texts = train.select("text")
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,7 +296,7 @@ def fit_classes(train: DataFrame, n_docs: int, k: int = CLASSES, n_words: int =
                 df = np.bincount(np.unique(inv * (hi - lo) + w.row) // (hi - lo), minlength=len(h))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(df.astype(np.int64))], ["h", "df"])
 
-    top = some.mapInArrow(frequent, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).filter("df > 1").orderBy(F.desc("df"), "h").limit(n_words)
+    top = texts.mapInArrow(frequent, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).filter("df > 1").orderBy(F.desc("df"), "h").limit(n_words)
     table = np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
     if not len(table):
         return Classes(table, np.zeros((k, 0)), np.zeros(k))
@@ -267,11 +306,22 @@ def fit_classes(train: DataFrame, n_docs: int, k: int = CLASSES, n_words: int =
             data, off = column_bytes(b.column(0))
             for lo, hi in chunks(off):
                 c = _class_counts(words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), table)
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.uint8).tobytes() for x in c], pa.binary())], ["x"])
+                yield pa.RecordBatch.from_arrays([pa.array(_packed(c.astype(np.int64)), pa.binary())], ["x"])
 
-    raw = sorted(bytes(r.x) for r in some.mapInArrow(count, "x binary").collect())
-    x = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, len(table)).astype(np.float32)
-    _, logp, prior = max((_mixture(x, k, seed) for seed in range(3)), key=lambda f: f[0])
+    rows = durable(texts.mapInArrow(count, "x binary"))
+    some = sorted(bytes(r.x) for r in rows.orderBy(F.xxhash64("x"), "x").limit(start).collect())
+    _, logp, prior = max((_mixture(_unpacked(some, len(table)), k, seed) for seed in range(3)), key=lambda f: f[0])
+    last, n = -np.inf, len(table)
+    for _ in range(rounds):
+        s = np.zeros(k * (n + 1) + 1)
+        for r in rows.mapInArrow(_shares(logp, prior), "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
+            s[r.i] = r.s
+        sums = s[:-1].reshape(k, n + 1)
+        p = sums[:, :n] + 0.1
+        logp, prior = np.log(p / p.sum(axis=1, keepdims=True)), np.log((sums[:, n] + 1) / (sums[:, n].sum() + k))
+        if s[-1] - last <= CLASS_GAIN * abs(s[-1]):
+            break
+        last = s[-1]
     return Classes(table, logp.astype(np.float32), prior.astype(np.float32))
 
 
@@ -497,7 +547,7 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text: str
     d = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     buckets = parts_for(text_volume(d), BUCKET_BYTES, 12)
     train = d.filter("not held_out")
-    classes = fit_classes(train, train.count())
+    classes = fit_classes(train)
     counted = durable(train.select("text").mapInArrow(_train_words(buckets, classes), "b int, words binary, cls binary, counts binary").groupBy("b").applyInArrow(_merge_words, "v long, by_class array<array<long>>, words binary, cls binary, counts binary"))
     by_class = np.zeros((2, CLASSES), np.int64)
     v = 0

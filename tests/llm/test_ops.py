@@ -205,6 +205,26 @@ def test_lm_scores(spark, odd, none):
     assert lm.score_documents(none, F.lit(False), rounds=1).count() == 0
 
 
+def test_classes_learn_from_all_texts(spark):
+    r = random.Random(12)
+    kinds = [[sentence(r, 1) + str(k) for _ in range(30)] for k in range(4)]
+    rows = [(i, " ".join(r.choice(kinds[i % 4 if i % 10 else 3]) for _ in range(30)), "en", "s", 0) for i in range(1200)]
+    d = spark.createDataFrame(rows, DOCS)
+    a, b = (lm.fit_classes(x, k=4, start=40) for x in (d, d.repartition(7)))
+    vocab = {w for _, t, *_ in rows for w in split(t)}
+    assert len(a.table) == len(vocab)  # words of all texts
+    assert (a.table == b.table).all() and np.allclose(a.logp, b.logp, atol=1e-4) and np.allclose(a.prior, b.prior, atol=1e-4)
+    # One more round over all texts changes nothing.
+    data, off = text.column_bytes(pa.array([x[1] for x in rows]))
+    x = a.counts(text.words(data, off))
+    ll = x @ a.logp.T + a.prior
+    share = np.exp(ll - ll.max(axis=1, keepdims=True))
+    share /= share.sum(axis=1, keepdims=True)
+    p = share.T @ x + 0.1
+    assert np.abs(np.exp(a.prior) - (share.sum(axis=0) + 1) / (len(x) + 4)).max() < 1e-3
+    assert np.abs(np.exp(a.logp) - p / p.sum(axis=1, keepdims=True)).max() < 1e-3
+
+
 # Repeated passages
 
 
