@@ -3,7 +3,8 @@
 Slot i of the schedule draws the point frac((i + 1) * golden ratio) and gives the slot to the source whose
 share of [0, 1) holds the point, so every prefix of the schedule is close to the target shares.
 A source's r-th slot takes block r modulo its block count of its own shuffled documents; blocks
-hold equally many words and a document may lie in several.
+of a source hold equally many words and a document may lie in several. A source's slots are settled to its
+target, whatever the schedule's rounding.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ SHARE = 1.5
 MOST = 2.0
 GOLDEN = 0.6180339887498949
 CHUNK = 1 << 16
+SLOTS = 1000  # blocks a source is cut into at least
 SUB_BUCKETS = 64
 
 
@@ -55,7 +57,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     nothing else is. Nulls: a null source is a source of its own, a null text has no words.
     Empty and wordless texts are never taken. Repeated rows are separate documents. An empty
     table gives no rows. `block` is the words in a block; by default a 20,000th of all words,
-    from 8 to 4096, so that a source's rounding stays far below its size. Reruns agree: shuffling
+    from 8 to 4096, and in every source a 1,000th of its words at most. A source's taken words are
+    its target, rounded, at every size. Reruns agree: shuffling
     and points depend on ids, texts and `seed` only.
     """
     spark = docs.sparkSession
@@ -64,13 +67,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     goal = targets([tuple(r) for r in d.groupBy("src").agg(F.sum("size")).collect()], weights, share, most)
     total = sum(g[1] for g in goal)
     block = block or min(4096, max(8, total // 20_000))
-    slots = int(sum(g[2] for g in goal) // block) + 1
-    cum, table = 0.0, []
-    whole = sum(g[2] for g in goal) or 1.0
+    table, cum = [], 0.0
     for s, size, want in goal:
-        table.append((s, size, want, cum, cum + want / whole, max(1, -(-size // block))))
-        cum += want / whole
-    sources = F.broadcast(spark.createDataFrame(table, "src string, source_size long, target double, lo double, hi double, n_blocks long"))  # one row a source
+        own = min(block, max(1, size // SLOTS))
+        due, n_blocks = min(int(want + 0.5), int(most * size)), max(1, -(-size // own))
+        passes, rest = divmod(due, size) if size else (0, 0)
+        table.append((s, size, want, own, rest, passes * n_blocks - (-rest // own), n_blocks))
+    slots = sum(t[5] for t in table)
+    for k, t in enumerate(table):
+        table[k] = (*t, cum, cum + t[5] / max(1, slots))
+        cum = table[k][-1]
+    sources = F.broadcast(spark.createDataFrame(table, "src string, source_size long, target double, block long, rest long, due long, n_blocks long, lo double, hi double"))  # one row a source
 
     # Schedule: slot -> source, then its rank among the source's slots, chunk by chunk.
     i = F.col("i")
@@ -80,14 +87,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     ahead = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     per = sched.groupBy("src", "chunk").agg(F.count("*").alias("c")).withColumn("ahead", F.coalesce(F.sum("c").over(ahead), F.lit(0))).drop("c")
     ranked = sched.alias("s").join(per.alias("p"), F.col("s.src").eqNullSafe(F.col("p.src")) & (F.col("s.chunk") == F.col("p.chunk"))).select("s.*", (F.row_number().over(Window.partitionBy("s.src", "s.chunk").orderBy("i")) - 1 + F.col("p.ahead")).alias("rank"))
-    # No block is taken more than `most` times, so no document is.
-    blocks = ranked.filter(F.col("rank") < F.floor(F.col("n_blocks") * most)).groupBy("src", (F.col("rank") % F.col("n_blocks")).alias("b")).agg(F.count("*").alias("times"))
+    # A source gives its due slots exactly: what the schedule gives beyond them is left, what it
+    # lacks follows, and the last slot ends inside its block, at `rest`.
+    have = sched.groupBy("src").agg(F.count("*").alias("have"))
+    late = sources.alias("s").join(have.alias("h"), F.col("s.src").eqNullSafe(F.col("h.src")), "left").withColumn("have", F.coalesce("have", F.lit(0))).filter("have < due")
+    cols = ["s.src", "s.block", "s.rest", "s.n_blocks"]
+    late = late.select(*cols, F.explode(F.sequence("have", F.col("due") - 1)).alias("rank"))
+    ranked = ranked.filter("rank < due").select("src", "block", "rest", "n_blocks", "rank").union(late)
+    blocks = ranked.groupBy("src", "rest", (F.col("rank") % F.col("n_blocks")).alias("b")).agg(F.count("*").alias("times"))
 
     # Documents on their source's shuffled line of words, cut into blocks.
     placed = numbered(d, ["src"], ["mixkey", "id"], key=F.col("mixkey"), parts=SUB_BUCKETS, name="at", weight=F.col("size"))
-    cut = placed.filter(F.col("size") > 0).select("src", "id", "mixkey", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("b"))
-    over = F.least(F.col("at") + F.col("size"), (F.col("c.b") + 1) * block) - F.greatest(F.col("at"), F.col("c.b") * block)
-    got = cut.alias("c").join(blocks.alias("k"), F.col("c.src").eqNullSafe(F.col("k.src")) & (F.col("c.b") == F.col("k.b"))).groupBy(F.col("c.src").alias("src"), "id", "mixkey", "at").agg(F.sum(over * F.col("times")).alias("taken"))
+    cut = placed.filter(F.col("size") > 0).alias("p").join(sources.alias("s"), F.col("p.src").eqNullSafe(F.col("s.src"))).select("p.src", "id", "mixkey", "at", "size", "block", F.explode(F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")))).alias("b"))
+    end = F.least(F.col("at") + F.col("size"), (F.col("c.b") + 1) * F.col("block"))
+    over = end - F.greatest(F.col("at"), F.col("c.b") * F.col("block"))
+    beyond = F.when((F.col("rest") > F.col("c.b") * F.col("block")) & (F.col("rest") < (F.col("c.b") + 1) * F.col("block")), F.greatest(F.lit(0), end - F.greatest("at", "rest"))).otherwise(0)
+    got = cut.alias("c").join(blocks.alias("k"), F.col("c.src").eqNullSafe(F.col("k.src")) & (F.col("c.b") == F.col("k.b"))).groupBy(F.col("c.src").alias("src"), "id", "mixkey", "at").agg(F.sum(over * F.col("times") - beyond).alias("taken"))
     out = placed.alias("d").join(got.alias("g"), F.col("d.src").eqNullSafe(F.col("g.src")) & F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.at") == F.col("g.at")), "left")
     out = out.join(sources.alias("s"), F.col("d.src").eqNullSafe(F.col("s.src")), "left")
     return out.select(F.col("d.id").alias(id_col), F.col("d.size").alias("size"), F.col("s.source_size").alias("source_size"), F.col("s.target").alias("target"), F.coalesce(F.col("g.taken"), F.lit(0)).cast("long").alias("taken"))

@@ -90,6 +90,16 @@ def test_mix(spark, odd, none):
     assert mixing.realise(d).columns == d.columns and mixing.realise(none).count() == 0 and mixing.realise(odd).count() >= 1
 
 
+def test_small_sources_meet_their_targets(spark):
+    rows = [(i, "w " * (100 if i % 50 else 7), "en", None if i % 50 == 0 else "big" if i % 50 > 1 else "mid", 0) for i in range(1000)]
+    d = spark.createDataFrame(rows, DOCS)
+    for block in (None, 4096):
+        got = mixing.mix_sources(d, block=block).toPandas()
+        got["source"] = got.target
+        g = got.groupby("source").agg(k=("taken", "sum"), t=("target", "first"))
+        assert len(g) == 3 and (abs(g.k - g.t) <= 0.5 + 1e-6).all() and (got.taken <= 2 * got["size"]).all()
+
+
 # Near duplicates
 
 
