@@ -4,13 +4,19 @@
    set id and are one node from then on.
 2. Tokens are exchanged by hash range, packed, with their set ids. Each range finds the tokens that
    at least two sets hold; only those travel back. A token of one set can neither join nor count
-   in an intersection, and rare-first orders put it in front of all others.
-3. Under any total order two sets of similarity >= t share a token among the first
-   n - ceil(t n) + 1 of each. Orders used: (frequency, h1), (unique first, h2), (unique first, h3).
-   A pair must pass all of them, a size filter and a bit-parity bound before exact verification.
-4. Components need no full pair list: a few rounds verify stars around one set per token, the
-   later ones only where a token's sets are not in one component yet; then all pairs that share a prefix token and still lie in different components are verified, so no
-   link between components can be missed. Pairs inside a component are never enumerated.
+   in an intersection, and every order puts it in front of all others.
+3. Let o be the least intersection of two sets of these sizes that reaches the similarity. Under any
+   total order the first token they share has a rank of at most n - o in each set. The first order is
+   (frequency, h1): a token of rank r in a set of n can serve only partners of up to `top` tokens,
+   o(n, top) <= n - r, so a posting lives only while its token is held, in another component, by a
+   set whose size lies between n * similarity and top. Sets full of rare tokens, the outliers of a
+   group of copies, thus leave the group's common tokens before any pair is made.
+4. Pairs of the first order are intersected with the filters of the orders (unique first, h2) and
+   (unique first, h3) and with a parity bound, on 16-bit marks of the prefixes; whole token sets
+   travel only for pairs that pass all of them, and are compared exactly.
+5. Components need no full pair list: rounds of stars, one centre a token, verify links between
+   components as long as they make postings die; then all pairs that share a living posting are
+   verified, so no link between components is missed. Pairs inside a component are not listed.
 """
 
 from __future__ import annotations
@@ -22,24 +28,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweight.fixpoint import connected_components, forget
-
-from .scale import durable, parts_for, small_batches, text_volume
+from .components import compose, connected_components, relabel
+from .scale import Scratch, parts_for, small_batches, text_volume
 from .text import TOKEN_BITS, chunks, column_bytes, mix, pack48, release, runs, text_sets, unpack48, words
 
 BUCKET_BYTES = 20 << 20  # text behind one token range
-STAR_ROUNDS = 3  # after the first
+FALL = 0.7  # rounds of stars go on while they leave less than this share of the postings
 MAPS = 24  # 64-bit words of a set's parity map
+STEP = 1.1  # ratio of neighbouring size classes
 _U = np.uint64
 SLICES = 8
 SALTS = (np.uint64(0x51ED270B), np.uint64(0xB492B66F))  # of the second and third order
 
 
 def need(n: np.ndarray | int, pct: int):
-    """Prefix length n - ceil(pct n / 100) + 1."""
+    """Prefix length n - ceil(pct n / 100) + 1: of what a set shares with any partner."""
     return n - (n * pct + 99) // 100 + 1
 
 
+def overlap(n: np.ndarray | int, m: np.ndarray | int, pct: int):
+    """Least intersection of sets of n and m tokens that reaches the similarity."""
+    return -(-pct * (n + m) // (100 + pct))
+
+
 def set_ids(row: np.ndarray, tok: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(set id, size) of each row: a 64-bit sum of mixed tokens, mixed again."""
     n = np.bincount(row, minlength=n_rows)
@@ -137,7 +148,10 @@ def _shared(parts: int):
 
 
 def _sets(pct: int):
-    """Per set whose prefixes reach its shared tokens: sorted tokens, parity map, first prefix."""
+    """Per set whose prefixes reach its shared tokens: size, number of unique tokens, shared tokens
+    sorted, parity map, marks of its prefixes under the second and third order, in their order,
+    and its first prefix."""
+    names = ["sid", "n", "alone", "toks", "bits", "two", "three", "pre"]
 
     def run(t: pa.Table) -> pa.Table:
         release()
@@ -149,7 +163,7 @@ def _sets(pct: int):
         owner, tok, df = owner[o], tok[o], df[o]
         h2 = mix(tok ^ SALTS[0])
         pos = ((h2 >> _U(32)) * _U(64 * MAPS)) >> _U(32)  # bit among 64 * MAPS
-        cols: list[list] = [[] for _ in range(5)]
+        cols: list[list] = [[] for _ in names]
         for s, ln in zip(*runs(sid[owner]), strict=True):
             n = int(size[owner[s]])
             room = need(n, pct) - (n - ln)  # what of the prefix its unique tokens leave
@@ -157,21 +171,27 @@ def _sets(pct: int):
                 continue
             x = slice(s, s + ln)
             bits = np.bincount(pos[x].astype(np.int64), minlength=64 * MAPS).astype(np.uint8) & 1
+            two, three = (tok[x][np.argsort(mix(tok[x] ^ salt), kind="stable")[:room]] for salt in SALTS)
             for to, v in zip(
                 cols,
                 (
-                    int(sid[owner[s]]), n, pack48(tok[x]), np.packbits(bits).view(np.int64).tolist(),
+                    int(sid[owner[s]]), n, int(n - ln), pack48(tok[x]), np.packbits(bits).tobytes(), _marks(two), _marks(three),
                     tok[x][np.lexsort((tok[x], df[x]))[:room]].view(np.int64).tolist(),
                 ),
                 strict=True,
             ):
                 to.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["sid", "n", "toks", "bits", "pre"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return run
 
 
+def _marks(tok: np.ndarray) -> bytes:
+    """Two bytes a token: equal tokens have equal marks."""
+    return (tok & _U(0xFFFF)).astype(np.uint16).tobytes()
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) > len(b):
@@ -181,10 +201,30 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def _first(tok: np.ndarray, n: int, pct: int, salt: np.uint64) -> np.ndarray:
-    """Shared tokens in the prefix under the order (unique first, mixed token)."""
-    room = need(n, pct) - (n - len(tok))
-    return tok if room >= len(tok) else np.sort(tok[np.argpartition(mix(tok ^ salt), room - 1)[:room]])
+def _filters(pct: int):
+    """Pairs that pass the parity bound and share a mark in both prefixes of either further order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << 16, bool)
+        for t in batches:
+            c = {n: t.column(i) for i, n in enumerate(t.schema.names)}
+            n, m = c["an"].to_numpy().astype(np.int64), c["bn"].to_numpy().astype(np.int64)
+            least = overlap(n, m, pct)
+            maps = [np.frombuffer(column_bytes(c[x])[0], np.uint64).reshape(-1, MAPS) for x in ("abits", "bbits")]
+            apart = np.bitwise_count(maps[0] ^ maps[1]).sum(axis=1).astype(np.int64)
+            ok = (n + m - apart) // 2 >= least  # |A xor B| is the parity distance at least
+            for order in ("two", "three"):
+                data, at = zip(*(column_bytes(c[x + order]) for x in "ab"), strict=True)
+                for i in np.flatnonzero(ok).tolist():
+                    a = np.frombuffer(data[0][at[0][i] : at[0][i + 1]], np.uint16)[: max(0, n[i] - least[i] + 1 - c["aalone"][i].as_py())]
+                    b = np.frombuffer(data[1][at[1][i] : at[1][i + 1]], np.uint16)[: max(0, m[i] - least[i] + 1 - c["balone"][i].as_py())]
+                    seen[a] = True
+                    ok[i] = seen[b].any()
+                    seen[a] = False
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([c[x].filter(keep) for x in ("a", "b", "ca", "cb")], ["a", "b", "ca", "cb"])
+
+    return run
 
 
 def _verify(pct: int):
@@ -192,39 +232,59 @@ def _verify(pct: int):
         for t in batches:
             ok = np.zeros(t.num_rows, bool)
             c = {n: t.column(i) for i, n in enumerate(t.schema.names)}
-            na, nb = c["na"].to_numpy(), c["nb"].to_numpy()
+            na, nb = c["an"].to_numpy(), c["bn"].to_numpy()
             for i in range(t.num_rows):
-                a, b = unpack48(c["atoks"][i].as_buffer()), unpack48(c["btoks"][i].as_buffer())
-                n, m = int(na[i]), int(nb[i])
-                if all(_common(_first(a, n, pct, salt), _first(b, m, pct, salt)) for salt in SALTS):
-                    k = _common(a, b)
-                    ok[i] = 100 * k >= pct * (n + m - k)
+                k = _common(unpack48(c["atoks"][i].as_buffer()), unpack48(c["btoks"][i].as_buffer()))
+                ok[i] = 100 * k >= pct * (int(na[i]) + int(nb[i]) - k)
             keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([c["a"].filter(keep), c["b"].filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([c[x].filter(keep) for x in ("ca", "cb")], ["a", "b"])
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity."""
-    s = sets.select("sid", "n", "toks")
-    a = s.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("toks").alias("atoks"))
-    b = s.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("btoks"))
-    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(_verify(pct), "a long, b long")
+PAIR = "a long, b long, ca long, cb long"
 
 
-def _components(links: DataFrame, posts: DataFrame) -> DataFrame:
-    """posts with the component (comp) each set has by these links."""
-    cc = connected_components(links)
-    out = durable(posts.drop("comp").join(cc.withColumnRenamed("v", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component"))
-    forget(out)
+def _links(pairs: DataFrame, sets: DataFrame, pct: int, scratch: Scratch) -> DataFrame:
+    """(a, b): components (ca, cb) of the pairs (a, b) of sets that have the similarity."""
+
+    def with_sets(p: DataFrame, *columns: str) -> DataFrame:
+        for x in "ab":
+            p = p.join(sets.select(F.col("sid").alias(x), *(F.col(c).alias(x + c) for c in columns)).hint("merge"), x)
+        return p
+
+    few = scratch.keep(with_sets(pairs, "n", "alone", "bits", "two", "three").mapInArrow(_filters(pct), PAIR))
+    out = scratch.keep(with_sets(few, "n", "toks").mapInArrow(_verify(pct), "a long, b long").distinct())
+    scratch.drop(few)
     return out
 
 
-def _mixed(posts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Postings of tokens that still hold several components, with their sets' parity maps."""
-    mixed = posts.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("t")
-    return durable(posts.join(mixed, "t", "left_semi").join(sets.select("sid", "bits"), "sid"))
+def _class(n):
+    """Size class of a set; it never falls as n grows, so classes of an interval's ends hold it."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / float(np.log(STEP))).cast("int")
+
+
+def _living(posts: DataFrame, pct: int) -> DataFrame:
+    """Postings whose token is held in another component by a set of a size they can serve."""
+    here = posts.groupBy("t", _class(F.col("n")).alias("cls")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    here = here.groupBy("t").agg(F.collect_list(F.struct("cls", "low", "high")).alias("here"))
+    least = F.floor((F.col("n") * pct + 99) / 100)
+    served = F.exists("here", lambda x: (x.cls >= _class(least)) & (x.cls <= _class(F.col("top"))) & ((x.low != F.col("comp")) | (x.high != F.col("comp"))))
+    return posts.join(here, "t").filter(served).drop("here")
+
+
+def _meet(x: str, y: str, pct: int):
+    """Whether the token both sides hold can be the first that two sets of the similarity share."""
+    a, b = (lambda c, s=s: F.col(s + c) for s in (x, y))
+    low, high = (lambda p, q: p("n") * pct <= q("n") * 100), (lambda p, q: q("n") <= p("top"))
+    return low(a, b) & low(b, a) & high(a, b) & high(b, a) & (a("comp") != b("comp"))
+
+
+def _side(posts: DataFrame, x: str) -> DataFrame:
+    return posts.select("t", *(F.col(c).alias(x + c) for c in ("sid", "n", "top", "comp")))
+
+
+PAIRED = ["asid AS a", "bsid AS b", "acomp AS ca", "bcomp AS cb"]
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, pct: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,58 +297,67 @@ def near_duplicates(docs: DataFrame, k: int = 5, pct: int = 75, id_col: str = "d
     too but never name a component unless all its rows are null. An empty table gives no rows;
     extra columns are ignored.
     """
+    scratch = Scratch(docs.sparkSession, "near")
     volume = text_volume(small_batches(docs), text)
     buckets = parts_for(volume, BUCKET_BYTES, 12)
-    members = durable(ids_of(docs, k, id_col, text))
+    members = scratch.keep(ids_of(docs, k, id_col, text))
     packed = _ranges(docs, k, buckets, text).groupBy("b").applyInArrow(_shared(buckets), "p int, sids binary, sizes binary, counts binary, tokens binary, df binary")
-    sets = durable(packed.groupBy("p").applyInArrow(_sets(pct), "sid long, n long, toks binary, bits array<long>, pre array<long>"))
-    forget(sets)
-    posts = durable(sets.select("sid", "n", F.explode("pre").alias("t"), F.col("sid").alias("comp")))
-    fits = lambda x, y: F.col(x) * 100 >= F.col(y) * pct  # noqa: E731  size filter, both ways below
-    differ = sum((F.bit_count(F.col("abits")[i].bitwiseXOR(F.col("bbits")[i])) for i in range(MAPS)), F.lit(0))
-    # |A xor B| >= parity distance, so the intersection is at most (|A| + |B| - distance) / 2.
-    most = (F.col("an") + F.col("bn") - differ) / 2
-    close = (most * 100 >= (F.col("an") + F.col("bn") - most) * pct) & fits("an", "bn") & fits("bn", "an")
-
-    # One star a token around the set with the least mixed id, which near copies mostly share.
-    centre = posts.groupBy("t").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n")).alias("c"), F.count("*").alias("f")).filter("f > 1").select("t", F.col("c.sid").alias("a"), F.col("c.n").alias("an"))
-    pairs = posts.join(centre, "t").filter("sid <> a").filter(fits("n", "an") & fits("an", "n")).select("a", F.col("sid").alias("b")).distinct()
-    links = durable(_links(pairs, sets, pct))
-    posts = _components(links, posts)
-    for r in range(1, STAR_ROUNDS + 1):
-        left = _mixed(posts, sets)
-        if left.isEmpty():
+    sets = scratch.keep(packed.groupBy("p").applyInArrow(_sets(pct), "sid long, n long, alone long, toks binary, bits binary, two binary, three binary, pre array<long>"))
+    posts = sets.select("sid", "n", "alone", F.posexplode("pre").alias("rank", "t"), F.col("sid").alias("comp"))
+    # A token of this rank serves partners of up to `top` tokens: overlap(n, top) <= n - rank.
+    top = F.floor((F.col("n") - F.col("rank") - F.col("alone")) * (100 + pct) / pct) - F.col("n")
+    posts = scratch.keep(_living(posts.select("sid", "n", "t", "comp", top.alias("top")), pct))
+    names, left, turn = None, posts.count(), 0
+    while left:
+        # A star a token. The first round takes the set with the least mixed id, which near copies
+        # mostly share; later ones another set for every token.
+        order = F.xxhash64("sid", F.lit(turn), *(["t"] if turn else []))
+        centre = _side(posts.groupBy("t").agg(F.min_by(F.struct("sid", "n", "top", "comp"), F.struct(order, "sid")).alias("c")).select("t", "c.*"), "b")
+        pairs = _side(posts, "a").join(centre, "t").filter(_meet("a", "b", pct)).selectExpr(*PAIRED).distinct()
+        posts, names = _joined(pairs, posts, names, sets, pct, scratch)
+        before, left, turn = left, posts.count(), turn + 1
+        if left > FALL * before:
             break
-        # Another star a token, around another member for every token: each set meets as many
-        # members as it has tokens; the closest of each other component is verified.
-        centre = left.groupBy("t").agg(F.min_by(F.struct("sid", "n", "comp", "bits"), F.xxhash64("sid", "t", F.lit(r))).alias("c")).select("t", *(F.col(f"c.{x}").alias("b" + x) for x in ("sid", "n", "comp", "bits")))
-        met = left.select("t", *(F.col(x).alias("a" + x) for x in ("sid", "n", "comp", "bits"))).join(centre, "t").filter("acomp <> bcomp").filter(close)
-        pairs = met.groupBy("asid", "bcomp").agg(F.min_by("bsid", F.struct(differ, F.col("bsid"))).alias("b")).select(F.col("asid").alias("a"), "b")
-        links = durable(links.union(_links(pairs.distinct(), sets, pct)))
-        posts = _components(links, posts)
-    # Every pair that shares a prefix token and is not in one component yet. One side of such a
-    # pair lies outside the token's largest component, so that one is never joined with itself.
-    left = _mixed(posts, sets)
-    main = left.groupBy("t", "comp").agg(F.count("*").alias("c")).groupBy("t").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    left = left.join(main, "t")
-    a = left.filter("comp <> main").select("t", *(F.col(x).alias("a" + x) for x in ("sid", "n", "comp", "bits")))
-    b = left.select("t", (F.col("comp") == F.col("main")).alias("bmain"), *(F.col(x).alias("b" + x) for x in ("sid", "n", "comp", "bits")))
-    pairs = a.join(b, "t").filter("acomp <> bcomp").filter("bmain or asid < bsid").filter(close).select(F.col("asid").alias("a"), F.col("bsid").alias("b")).distinct()
-    links = durable(links.union(_links(pairs, sets, pct)))
-    cc = connected_components(links)
-    named = members.join(cc.withColumnRenamed("v", "sid"), "sid", "left").withColumn("root", F.coalesce("component", "sid"))
+    if left:
+        # All pairs that share a living posting. One side of a pair lies outside the token's largest
+        # component, so that one is never joined with itself.
+        main = posts.groupBy("t", "comp").agg(F.count("*").alias("c")).groupBy("t").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        sides = posts.join(main, "t")
+        a = _side(sides.filter("comp <> main"), "a")
+        b = sides.select("t", *(F.col(c).alias("b" + c) for c in ("sid", "n", "top", "comp")), (F.col("comp") == F.col("main")).alias("bmain"))
+        pairs = a.join(b, "t").filter(_meet("a", "b", pct)).filter("bmain or asid < bsid").selectExpr(*PAIRED).distinct()
+        posts, names = _joined(pairs, posts, names, sets, pct, scratch)
+    scratch.drop(sets, posts)
+    named = members.withColumn("root", F.col("sid"))
+    if names is not None:
+        named = relabel(named, "root", names)
     least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _joined(pairs: DataFrame, posts: DataFrame, names: DataFrame | None, sets: DataFrame, pct: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Living postings and component names after the links among these pairs."""
+    links = _links(pairs, sets, pct, scratch)
+    if links.isEmpty():
+        scratch.drop(links)
+        return posts, names
+    new = connected_components(links, scratch)
+    all_names = scratch.keep(compose(names, new))
+    living = scratch.keep(_living(relabel(posts, "comp", new), pct))
+    scratch.drop(links, new, posts, *([] if names is None else [names]))
+    return living, all_names
+
+
 def one_of_each(docs: DataFrame, k: int = 5, pct: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near duplicates: of each component the row with the smallest id, with
     all its columns. Texts without words all stay; of rows that share the kept id one stays."""
     near = near_duplicates(docs, k, pct, id_col, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = durable(near.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__times"), F.max("n_shingles").alias("__n")))
-    out = docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["__id"]), "inner")
-    if not keep.filter("__times > 1 and __n > 0").isEmpty():
-        first = Window.partitionBy("__id").orderBy(F.xxhash64(F.col(text)))
-        out = out.withColumn("__row", F.row_number().over(first)).filter("__row = 1 or __n = 0").drop("__row")
-    return out.select(docs.columns)
+    scratch = Scratch(docs.sparkSession, "kept")
+    keep = scratch.keep(near.groupBy("doc_id").agg(F.count("*").alias("times"), F.max("n_shingles").alias("n")))
+    d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"))  # no column of docs can clash
+    out = d.join(keep, F.col("doc")[id_col].cast("long").eqNullSafe(keep["doc_id"]), "inner")
+    if not keep.filter("times > 1 and n > 0").isEmpty():
+        first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("doc")[text]))
+        out = out.withColumn("row", F.row_number().over(first)).filter("row = 1 or n = 0")
+    return out.select("doc.*")

@@ -2,11 +2,68 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweight.fixpoint import durable as durable
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder
+    set on the context. A temporary one is made only where all run on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = None if held.isEmpty() else held.get()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+class Scratch:
+    """Tables of one run in the shared folder: written once, read column by column, removed when
+    told. They survive lost executors; the shuffle files behind a written table go with its job."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.base = f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+        self.held: list[tuple[DataFrame, str]] = []
+        self.made = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{self.made}"
+        self.made += 1
+        before = self.spark.conf.get(CLEAN_UP, "false")
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *dfs: DataFrame) -> None:
+        """Remove these tables; nothing may read them any more."""
+        for df in dfs:
+            for held, path in self.held:
+                if held is df:
+                    remove(self.spark, path)
+        self.held = [x for x in self.held if not any(x[0] is df for df in dfs)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
 
 ARROW_ROWS = 2000
 
