@@ -15,8 +15,9 @@
    (unique first, h3) and with a parity bound, on 16-bit marks of the prefixes; whole token sets
    travel only for pairs that pass all of them, and are compared exactly.
 5. Components need no full pair list: rounds of stars, one centre a token, verify links between
-   components as long as they make postings die; then all pairs that share a living posting are
-   verified, so no link between components is missed. Pairs inside a component are not listed.
+   components as long as that makes postings die; then all pairs of different components that share
+   a living posting are verified, so no link between components is missed. Pairs inside a component
+   are not listed.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from .scale import Scratch, parts_for, small_batches, text_volume
 from .text import TOKEN_BITS, chunks, column_bytes, mix, pack48, release, runs, text_sets, unpack48, words
 
 BUCKET_BYTES = 20 << 20  # text behind one token range
-FALL = 0.7  # rounds of stars go on while they leave less than this share of the postings
+EACH = 4  # rounds of stars go on while there are more pairs than this for each living posting
+FALL = 0.9  # and while they leave less than this share of the postings
 MAPS = 24  # 64-bit words of a set's parity map
 STEP = 1.1  # ratio of neighbouring size classes
 _U = np.uint64
@@ -175,13 +177,13 @@ def _sets(pct: int):
             for to, v in zip(
                 cols,
                 (
-                    int(sid[owner[s]]), n, int(n - ln), pack48(tok[x]), np.packbits(bits).tobytes(), _marks(two), _marks(three),
+                    int(sid[owner[s]]), n, int(n - ln), pack48(tok[x]), np.packbits(bits).view(np.int64).tolist(), _marks(two), _marks(three),
                     tok[x][np.lexsort((tok[x], df[x]))[:room]].view(np.int64).tolist(),
                 ),
                 strict=True,
             ):
                 to.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return run
@@ -210,7 +212,7 @@ def _filters(pct: int):
             c = {n: t.column(i) for i, n in enumerate(t.schema.names)}
             n, m = c["an"].to_numpy().astype(np.int64), c["bn"].to_numpy().astype(np.int64)
             least = overlap(n, m, pct)
-            maps = [np.frombuffer(column_bytes(c[x])[0], np.uint64).reshape(-1, MAPS) for x in ("abits", "bbits")]
+            maps = [c[x].flatten().to_numpy().view(np.uint64).reshape(-1, MAPS) for x in ("abits", "bbits")]
             apart = np.bitwise_count(maps[0] ^ maps[1]).sum(axis=1).astype(np.int64)
             ok = (n + m - apart) // 2 >= least  # |A xor B| is the parity distance at least
             for order in ("two", "three"):
@@ -280,8 +282,25 @@ def _meet(x: str, y: str, pct: int):
     return low(a, b) & low(b, a) & high(a, b) & high(b, a) & (a("comp") != b("comp"))
 
 
-def _side(posts: DataFrame, x: str) -> DataFrame:
-    return posts.select("t", *(F.col(c).alias(x + c) for c in ("sid", "n", "top", "comp")))
+def _apart(x: str, y: str):
+    """Parity distance of two sets: |A xor B| at least."""
+    return sum((F.bit_count(F.col(x + "bits")[i].bitwiseXOR(F.col(y + "bits")[i])) for i in range(MAPS)), F.lit(0))
+
+
+def _close(x: str, y: str, pct: int):
+    """Whether the parity distance lets two sets reach the similarity."""
+    most = (F.col(x + "n") + F.col(y + "n") - _apart(x, y)) / 2
+    return most * 100 >= (F.col(x + "n") + F.col(y + "n") - most) * pct
+
+
+def _pairs(posts: DataFrame) -> int:
+    """Pairs of postings of one token in different components."""
+    per = posts.groupBy("t", "comp").agg(F.count("*").alias("c")).groupBy("t").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
+    return per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.lit(0))).first()[0]
+
+
+def _side(posts: DataFrame, x: str, columns=("sid", "n", "top", "comp")) -> DataFrame:
+    return posts.select("t", *(F.col(c).alias(x + c) for c in columns))
 
 
 PAIRED = ["asid AS a", "bsid AS b", "acomp AS ca", "bcomp AS cb"]
@@ -302,20 +321,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, pct: int = 75, id_col: str = "d
     buckets = parts_for(volume, BUCKET_BYTES, 12)
     members = scratch.keep(ids_of(docs, k, id_col, text))
     packed = _ranges(docs, k, buckets, text).groupBy("b").applyInArrow(_shared(buckets), "p int, sids binary, sizes binary, counts binary, tokens binary, df binary")
-    sets = scratch.keep(packed.groupBy("p").applyInArrow(_sets(pct), "sid long, n long, alone long, toks binary, bits binary, two binary, three binary, pre array<long>"))
+    sets = scratch.keep(packed.groupBy("p").applyInArrow(_sets(pct), "sid long, n long, alone long, toks binary, bits array<long>, two binary, three binary, pre array<long>"))
     posts = sets.select("sid", "n", "alone", F.posexplode("pre").alias("rank", "t"), F.col("sid").alias("comp"))
     # A token of this rank serves partners of up to `top` tokens: overlap(n, top) <= n - rank.
     top = F.floor((F.col("n") - F.col("rank") - F.col("alone")) * (100 + pct) / pct) - F.col("n")
     posts = scratch.keep(_living(posts.select("sid", "n", "t", "comp", top.alias("top")), pct))
-    names, left, turn = None, posts.count(), 0
-    while left:
-        # A star a token. The first round takes the set with the least mixed id, which near copies
-        # mostly share; later ones another set for every token.
-        order = F.xxhash64("sid", F.lit(turn), *(["t"] if turn else []))
-        centre = _side(posts.groupBy("t").agg(F.min_by(F.struct("sid", "n", "top", "comp"), F.struct(order, "sid")).alias("c")).select("t", "c.*"), "b")
-        pairs = _side(posts, "a").join(centre, "t").filter(_meet("a", "b", pct)).selectExpr(*PAIRED).distinct()
+    # One star a token, around the set in which it ranks lowest for the set's size: the one with the
+    # fewest rare tokens, so the middle of a group of copies.
+    centre = _side(posts.groupBy("t").agg(F.min_by(F.struct("sid", "n", "top", "comp"), F.struct(-F.col("top") / F.col("n"), F.xxhash64("sid"), "sid")).alias("c")).select("t", "c.*"), "b")
+    pairs = _side(posts, "a").join(centre, "t").filter(_meet("a", "b", pct)).selectExpr(*PAIRED).distinct()
+    posts, names = _joined(pairs, posts, None, sets, pct, scratch)
+    posts, before = scratch.keep(posts.join(sets.select("sid", "bits").hint("merge"), "sid")), posts
+    scratch.drop(before)
+    left, turn = posts.count(), 0
+    while left and _pairs(posts) > EACH * left:
+        # A star a token around another set near the middle: each set meets as many members of other
+        # components as it has tokens, and the closest of each component is compared.
+        turn += 1
+        own = ("sid", "n", "top", "comp", "bits")
+        centre = _side(posts.groupBy("t").agg(F.min_by(F.struct(*own), F.struct(-F.col("top") / F.col("n") * (F.pmod(F.xxhash64("sid", "t", F.lit(turn)), F.lit(1024)) / 1024), "sid")).alias("c")).select("t", "c.*"), "b", own)
+        met = _side(posts, "a", own).join(centre, "t").filter(_meet("a", "b", pct) & _close("a", "b", pct))
+        pairs = met.groupBy("asid", "acomp", "bcomp").agg(F.min_by("bsid", F.struct(_apart("a", "b"), "bsid")).alias("bsid")).selectExpr(*PAIRED)
         posts, names = _joined(pairs, posts, names, sets, pct, scratch)
-        before, left, turn = left, posts.count(), turn + 1
+        before, left = left, posts.count()
         if left > FALL * before:
             break
     if left:
@@ -323,9 +351,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, pct: int = 75, id_col: str = "d
         # component, so that one is never joined with itself.
         main = posts.groupBy("t", "comp").agg(F.count("*").alias("c")).groupBy("t").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
         sides = posts.join(main, "t")
-        a = _side(sides.filter("comp <> main"), "a")
-        b = sides.select("t", *(F.col(c).alias("b" + c) for c in ("sid", "n", "top", "comp")), (F.col("comp") == F.col("main")).alias("bmain"))
-        pairs = a.join(b, "t").filter(_meet("a", "b", pct)).filter("bmain or asid < bsid").selectExpr(*PAIRED).distinct()
+        own = ("sid", "n", "top", "comp", "bits", "main")
+        pairs = _side(sides.filter("comp <> main"), "a", own).join(_side(sides, "b", own), "t")
+        pairs = pairs.filter("bcomp = bmain or asid < bsid").filter(_meet("a", "b", pct) & _close("a", "b", pct)).selectExpr(*PAIRED).distinct()
         posts, names = _joined(pairs, posts, names, sets, pct, scratch)
     scratch.drop(sets, posts)
     named = members.withColumn("root", F.col("sid"))
