@@ -1,44 +1,49 @@
 """Main text of web pages by site style trees (after Yi, Liu and Li, 2003).
 
-Each page is parsed once into blocks with the chain of containers above them. Containers whose
-tag, role or class names say what they are (menus, footers, adverts, forms, reader comments ...)
-have importance 0; plain paragraphs, headings and lists of an <article> or <main> have importance
-1. All other blocks are judged by their host's style tree: pages of a host are merged on
-container paths, and a path's node importance is the entropy of the presentations (sequences of
-child tags) seen there, a block's content importance one less the entropy of its text over the
-pages that have the path, both to the base of the number of those pages. Branches of low
-composite importance - the same text in the same frame on page after page - are removed.
-Copies of one page count once, so a page is not judged by its own copies. Counts are aggregated by
-(host, path, text) before they move, so a host of any size stays spread.
+Each page is parsed once into blocks of text with the chain of containers above them, and the blocks
+are written to a table. The pages of a host are merged on container paths (tags with their class
+names) to one tree. A path's presentation importance is the entropy of the presentations (sequences
+of child tags) seen there; a block's content importance is one less the entropy of its text over the
+pages that have the path, both to the base of the number of those pages. Every branch is judged,
+those of articles too: where the composite importance is low - the same text in the same frame on
+page after page - the branch is removed. Copies of one page count once, so a page is not judged by
+its own copies. Counts are aggregated by (host, path, text) before they move, so a host of any size
+stays spread.
+
+Adverts, menus and footers whose text differs on every page have high entropy, so the tree alone
+keeps them. What a page says of itself comes first, therefore: branches of elements and roles that
+are no text of the article (nav, footer, form, script ...), and branches whose class names say so,
+unless such a branch holds most of the page's article. If articles hold most of a page's text, what
+lies outside of them is not main text.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scale import durable, small_batches
+from .scale import Scratch, small_batches
 
 GAMMA = 0.9
 LOW = 0.2
 LEAST_PAGES = 4  # distinct pages of a host with a path before its blocks are judged
 
-# Element and name lists.
+# Element, class and role names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
 DROP = frozenset("nav footer aside form script style noscript template iframe svg math canvas object button select option textarea input label fieldset dialog menu head title audio video noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption figcaption figure article main body html hgroup address".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus respond share sharing social related recommended subscribe newsletter signup login search widget toolbar pagination pager".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TWINS = frozenset("p li tr td th dt dd option".split()) | HEADINGS  # an open one ends where the next begins
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -52,51 +57,61 @@ def host_of(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
-def _kind(tag: str, attrs: str) -> tuple[int, str]:
-    """(0 keep, 1 drop, 2 headings only; the class names that make the presentation)."""
-    verdict, names = (1 if tag in DROP else 2 if tag == "header" else 0), ""
+def _kind(tag: str, attrs: str) -> tuple[bool, bool, str]:
+    """(no text of the article, named so, a lead, the class names that make the presentation)."""
+    drop, named, lead, names = tag in DROP, False, tag == "header", ""
     if attrs and tag not in ("html", "body"):
         for m in _ATTR.finditer(attrs):
             key, val = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if key == "hidden" or key == "aria-hidden" and val.lower() == "true" or key == "style" and _HIDE.search(val):
-                verdict = 1
+                drop = True
             elif key == "role":
-                verdict = 1 if val.strip().lower() in ROLES else verdict
+                drop |= val.strip().lower() in ROLES
             elif key in ("class", "id"):
-                got = set(_SPLIT.split(val.lower()))
                 names += f".{val.strip().lower()}" if key == "class" else ""
-                if got & NAMES:
-                    verdict = 1
-                elif "header" in got and verdict == 0:
-                    verdict = 2
-    return verdict, names
+                got = _SPLIT.split(val.lower())
+                named |= not NAMES.isdisjoint(got)
+                lead |= "header" in got
+    return drop, named, lead, names
 
 
-def parse(doc: str) -> list[tuple[str, bool, int, int]]:
-    """Blocks of a page in order: (text, settled, path hash, presentation of the container).
+class _Open:
+    """An open container: what is inherited below it, and the child tags it shows."""
 
-    A block is settled if it is plain content of an article; dropped branches give no blocks. If
-    the page has an article or main element, blocks outside of them are left out.
-    """
-    out: list[list] = []
-    # stack of [tag, verdict (inherited), in article, plain, path, child tags]
-    stack: list[list] = [["", 0, False, True, "", []]]
+    __slots__ = ("tag", "drop", "article", "lead", "named", "path", "kids")
+
+    def __init__(self, tag: str, drop: bool, article: bool, lead: bool, named: tuple, path: int):
+        self.tag, self.drop, self.article, self.lead, self.named, self.path = tag, drop, article, lead, named, path
+        self.kids: list[str] = []
+
+
+def parse(doc: str) -> list[tuple[str, int, int]]:
+    """Blocks of a page in order: (text, path hash, presentation of the container). Branches that
+    the page itself marks as no main text give no blocks."""
+    out: list[tuple] = []  # text, in an article, named containers, path, child tags
+    stack = [_Open("", False, False, False, (), 0)]
+    opened: Counter = Counter()
+    holds_h1: set[int] = set()
     buf: list[str] = []
-    any_article = False
+    marks = 0
 
     def flush() -> None:
         if buf:
             text = " ".join(_html.unescape("".join(buf)).split())
             buf.clear()
             if text:
-                top = next(x for x in reversed(stack) if x[0] not in INLINE)
-                out.append([text, top[2], top[2] and top[3], top[4], top[5]])
+                top = next(x for x in reversed(stack) if x.tag not in INLINE)
+                out.append((text, top.article, top.named, top.path, top.kids))
+                if top.tag == "h1":
+                    holds_h1.update(top.named)
 
     def shown() -> bool:
-        v = stack[-1][1]
-        return v == 0 or v == 2 and any(x[0] in HEADINGS for x in stack)
+        top = stack[-1]
+        return not top.drop and (not top.lead or any(x.tag == "p" or x.tag in HEADINGS for x in stack))
 
     def close(at: int) -> None:
+        for x in stack[at:]:
+            opened[x.tag] -= 1
         del stack[at:]
 
     pos, n = 0, len(doc)
@@ -112,11 +127,10 @@ def parse(doc: str) -> list[tuple[str, bool, int, int]]:
         if not tag:
             continue
         if m.group(1):
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if at:
+            if opened[tag] > 0:
                 if tag not in INLINE:
                     flush()
-                close(at)
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag == "br" or tag == "wbr":
             if buf and tag == "br":
@@ -124,101 +138,103 @@ def parse(doc: str) -> list[tuple[str, bool, int, int]]:
             continue
         if tag not in INLINE:
             flush()
-            if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") or tag in HEADINGS:
-                for i in range(len(stack) - 1, 0, -1):  # an open twin ends here
-                    if stack[i][0] == tag or stack[i][0] == "p":
+            if tag in TWINS:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag or stack[i].tag == "p":
                         close(i)
                         break
-                    if stack[i][0] not in INLINE:
+                    if stack[i].tag not in INLINE:
                         break
         parent = stack[-1]
-        parent[5].append(tag)
+        parent.kids.append(tag)
         if tag in VOID:
             continue
-        own, names = _kind(tag, m.group(3))
-        if own == 2 and not parent[2]:
-            own = 1  # a page's header; an article's own keeps its headings
-        verdict = 1 if 1 in (own, parent[1]) else max(own, parent[1])
+        drop, named, lead, names = _kind(tag, m.group(3))
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(doc, pos)
             pos = end.end() if end else n
             continue
-        inside = parent[2] or tag in ("article", "main") and verdict != 1
-        any_article |= inside
-        plain = (tag in PLAIN or tag in INLINE) and not names and (parent[3] or not parent[2])
-        stack.append([tag, verdict, inside, plain, f"{parent[4]}/{tag}{names}" if len(stack) < 64 else parent[4], []])
-        if m.group(3).endswith("/") and tag in ("svg", "path"):
-            stack.pop()
+        drop |= parent.drop or tag == "header" and not parent.article
+        if named and not drop:
+            marks += 1
+        own = (*parent.named, marks) if named and not drop else parent.named
+        inside = parent.article or tag in ("article", "main") and not drop
+        top = _Open(tag, drop, inside, parent.lead or lead, own, _hash(f"{parent.path}/{tag}{names}"))
+        if not (m.group(3).endswith("/") and tag in ("svg", "path")):
+            stack.append(top)
+            opened[tag] += 1
     flush()
-    return [(t, bool(settled), xxhash.xxh64_intdigest(path) >> 1, xxhash.xxh64_intdigest(">".join(kids)) >> 1) for t, inside, settled, path, kids in out if inside or not any_article]
+    return [(text, path, _hash(">".join(kids))) for text, _, _, path, kids in _own_text(out, holds_h1)]
+
+
+def _own_text(blocks: list[tuple], holds_h1: set[int]) -> list[tuple]:
+    """The blocks without those in named containers and, if articles hold most, outside of them.
+
+    A named container stays if it holds most of the page's article text, or, on a page without
+    article, most of the text with its main heading.
+    """
+    inside = sum(len(b[0]) for b in blocks if b[1])
+    whole = inside or sum(len(b[0]) for b in blocks)
+    size: Counter = Counter()
+    for text, article, named, *_ in blocks:
+        if article or not inside:
+            for k in named:
+                size[k] += len(text)
+    stay = {k for k, v in size.items() if 2 * v > whole and (inside or k in holds_h1)}
+    left = [b for b in blocks if stay.issuperset(b[2])]
+    inside = sum(len(b[0]) for b in left if b[1])
+    return [b for b in left if b[1]] if 2 * inside > sum(len(b[0]) for b in left) else left
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
 
-def _open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, style, text hash, page fingerprint) of the blocks that need a style tree."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, host, print, texts, keys) of every page; print is the fingerprint of its texts."""
+    kind = pa.list_(pa.struct([("path", pa.int64()), ("style", pa.int64()), ("body", pa.int64())]))
     for b in batches:
-        rows = []
-        for url, doc in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        hosts, prints, texts, keys = [], [], [], []
+        for url, doc in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             blocks = parse(doc or "")
-            if all(x[1] for x in blocks):
-                continue
-            page, host = _hash("\n".join(x[0] for x in blocks)), host_of(url)
-            rows += {(host, path, style, _hash(t), page) for t, settled, path, style in blocks if not settled}
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["host", "path", "style", "body", "page"])
-
-
-def low_importance(pages: DataFrame, url: str = "url", html: str = "html", low: float = LOW, least: int = LEAST_PAGES, gamma: float = GAMMA) -> DataFrame:
-    """(host, path, body): blocks that the hosts' style trees find unimportant."""
-    seen = durable(pages.select(F.col(url).cast("string"), F.col(html).cast("string")).mapInArrow(_open_blocks, "host string, path long, style long, body long, page long").distinct())
-    m = seen.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("m")).filter(F.col("m") >= least)
-    styles = seen.select("host", "path", "style", "page").distinct().groupBy("host", "path", "style").agg(F.count("*").alias("c")).groupBy("host", "path").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("clogc"))
+            hosts.append(host_of(url))
+            texts.append([x[0] for x in blocks])
+            prints.append(_hash("\n".join(texts[-1])))
+            keys.append([{"path": path, "style": style, "body": _hash(text)} for text, path, style in blocks])
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(prints, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(keys, kind)],
+            ["page_id", "url", "host", "print", "texts", "keys"],
+        )
+
+
+def low_importance(blocks: DataFrame, low: float = LOW, least: int = LEAST_PAGES, gamma: float = GAMMA) -> DataFrame:
+    """(host, path, body): what the hosts' style trees find unimportant, from (host, print, path,
+    style, body) of the blocks."""
+    seen = blocks.groupBy("host", "path", "style", "body", "print").agg(F.lit(1))  # copies count once
+    m = seen.select("host", "path", "print").distinct().groupBy("host", "path").agg(F.count("*").alias("m")).filter(F.col("m") >= least)
+    styles = seen.select("host", "path", "style", "print").distinct().groupBy("host", "path", "style").agg(F.count("*").alias("c")).groupBy("host", "path").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("clogc"))
     node = m.join(styles, ["host", "path"]).withColumn("node", (F.log(F.col("all").cast("double")) - F.col("clogc") / F.col("all")) / F.log(F.col("m").cast("double")))
-    body = seen.select("host", "path", "body", "page").distinct().groupBy("host", "path", "body").agg(F.count("*").alias("c"))
+    body = seen.select("host", "path", "body", "print").distinct().groupBy("host", "path", "body").agg(F.count("*").alias("c"))
     both = body.filter("c > 1").join(node, ["host", "path"]).withColumn("content", 1 - F.log(F.col("c").cast("double")) / F.log(F.col("m").cast("double")))
     return both.filter((1 - gamma) * F.least(F.lit(1.0), F.col("node")) + gamma * F.col("content") < low).select("host", "path", "body")
 
 
-def _texts(open_only: bool):
-    names = ["row", "page_id", "url", "host", "texts", "keys"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, hosts, texts, keys = [], [], [], []
-            for i, (url, doc) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                blocks = parse(doc or "")
-                if all(x[1] for x in blocks) == open_only:
-                    continue
-                keep.append(i)
-                hosts.append(host_of(url))
-                texts.append([x[0] for x in blocks])
-                keys.append([None if x[1] else (x[2], _hash(x[0])) for x in blocks])
-            at = pa.array(np.array(keep, np.int64))
-            kind = pa.list_(pa.struct([("path", pa.int64()), ("body", pa.int64())]))
-            rows = [[None if k is None else {"path": k[0], "body": k[1]} for k in ks] for ks in keys]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(hosts, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(rows, kind)], names)
-
-    return run
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", low: float = LOW) -> DataFrame:
     """page_id, url, text, n_chars of every page: its main text, blocks joined by two newlines.
 
-    Null or empty html gives an empty text. Null urls share one host. Repeated pages have rows of
-    their own and equal texts. Broken markup is read leniently; whole pages are read however long.
-    An empty table gives no rows; extra columns are ignored.
+    Null or empty html gives an empty text. Null urls share one host, whose name is empty. Repeated
+    pages have rows of their own and equal texts. Paths that fewer than LEAST_PAGES different pages
+    of a host have are not judged by the tree. Broken markup is read leniently; whole pages are read
+    however long or deep. An empty table gives no rows; extra columns are ignored.
     """
-    d = small_batches(pages).select(F.xxhash64(id_col, url, html).alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    schema = "row long, page_id long, url string, host string, texts array<string>, keys array<struct<path:long,body:long>>"
-    settled = d.mapInArrow(_texts(False), schema).select("page_id", "url", "texts")
-    low = low_importance(pages, url, html)
-    judged = d.mapInArrow(_texts(True), schema).withColumn("copy", F.monotonically_increasing_id())
-    judged = durable(judged)
-    bad = judged.select("copy", "host", F.explode("keys").alias("k")).filter("k is not null").select("copy", "host", "k.path", "k.body").join(low, ["host", "path", "body"], "left_semi").groupBy("copy").agg(F.collect_set(F.struct("path", "body")).alias("bad"))
-    kept = judged.join(bad, "copy", "left")
-    kept = kept.withColumn("texts", F.filter("texts", lambda _, i: ~F.coalesce(F.array_contains("bad", F.element_at("keys", i + 1)), F.lit(False)))).select("page_id", "url", "texts")
-    out = settled.union(kept).withColumn("text", F.array_join("texts", "\n\n"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    scratch = Scratch(pages.sparkSession, "pages")
+    d = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    schema = "page_id long, url string, host string, print long, texts array<string>, keys array<struct<path:long,style:long,body:long>>"
+    parsed = scratch.keep(d.mapInArrow(_blocks, schema).withColumn("row", F.monotonically_increasing_id()))
+    blocks = parsed.select("row", "host", "print", F.explode("keys").alias("k")).select("row", "host", "print", "k.*")
+    bad = blocks.select("row", "host", "path", "body").join(low_importance(blocks, low), ["host", "path", "body"], "left_semi")
+    bad = bad.groupBy("row").agg(F.collect_set(F.struct("path", "body")).alias("bad"))
+    kept = parsed.join(bad, "row", "left")
+    gone = lambda i: F.array_contains("bad", F.struct(F.element_at("keys", i + 1)["path"].alias("path"), F.element_at("keys", i + 1)["body"].alias("body")))
+    text = F.array_join(F.filter("texts", lambda _, i: ~F.coalesce(gone(i), F.lit(False))), "\n\n")
+    return kept.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -372,6 +372,40 @@ def test_leaks_equal_brute_force(spark, odd, none):
     assert {x.doc_id for x in decontam.leaks(odd, b).collect()} == set() and decontam.clean(odd, b).count() == len(ODD)
 
 
+@pytest.mark.parametrize("m", [6, 8, 12, 24, 48, 80, 150])
+def test_recall_at_every_length(m):
+    assert decontam.measured_recall(m, trials=400) >= decontam.RECALL
+
+
+@pytest.mark.parametrize("m", [6, 24, 48, 80])
+def test_leaks_of_each_length_are_found(spark, m):
+    r = random.Random(m)
+    items, docs = [], []
+    for i in range(60):
+        it = [f"{r.randrange(4000)}" for _ in range(m)]
+        items.append((i, " ".join(it)))
+        for _ in range(int(decontam.tau(m))):
+            k = r.randrange(len(it))
+            it[k : k + 1] = r.choice([[], ["new"], [it[k], "more"]])
+        docs.append((i, " ".join([*sentence(r, 30).split(), *it, *sentence(r, 30).split()]), "en", "s", 0))
+    got = {(x.doc_id, x.item_id) for x in decontam.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got & {(i, i) for i in range(60)}) >= 59  # 0.99 of 60
+
+
+def test_long_and_repeated_items(spark):
+    r = random.Random(31)
+    long = " ".join(str(r.randrange(9999)) for _ in range(200_000))
+    items = [(i, sentence(r, 20)) for i in range(50)] + [(90, long), (7, "again"), (7, "again")]
+    docs = [(1, "x again y", "en", "s", 0), (1, "x again y", "en", "s", 0), (None, items[3][1], "en", "s", 0), (5, long[:4000], "en", "s", 0)]
+    d, b = spark.createDataFrame(docs, DOCS).withColumn("bad", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
+    it = decontam.Items([i for i, _ in items], [t for _, t in items], decontam.MAX_EDIT, decontam.SAMPLES)
+    held = it.hash.nbytes + it.marks.nbytes + sum(x.nbytes for t in it.tables for x in t)
+    assert held < 2000 * len(it.hash)  # in proportion to the words, not items x longest item
+    got = sorted((x.doc_id or 0, x.item_id) for x in decontam.leaks(d, b).collect())
+    assert got == [(0, 3), (1, 7), (1, 7), (1, 7), (1, 7)]
+    assert [x.doc_id for x in decontam.clean(d, b).collect()] == [5]
+
+
 # Pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -395,6 +429,56 @@ def test_main_text(spark, none):
     assert html.extract(d.limit(0)).count() == 0
 
 
+def test_wrappers_named_like_clutter_stay():
+    page = lambda x: html.parse(f"<html><body><nav>menu</nav>{x}</body></html>")
+    text = lambda x: [b[0] for b in page(x)]
+    assert text('<article><h1>T</h1><div class="entry-content sharing-enabled"><p>a long story</p></div></article>') == ["T", "a long story"]
+    assert text('<article><h1>T</h1><div class="post related-work"><p>a long story</p><div class="related">more</div></div></article>') == ["T", "a long story"]
+    assert text('<article><header><h1>T</h1><p>lead</p><ul><li>share</ul></header><p>story</p></article>') == ["T", "lead", "story"]
+    assert text('<div id="content"><h1>T</h1><p>the page is a long story of its own</p></div><article>card</article>') == ["T", "the page is a long story of its own", "card"]
+    assert text('<div class="ad">an advert, longer than it</div><article>x</article>') == ["x"]
+    assert text("<div>outside</div><main><p>one</p><p>two two two</p></main>") == ["one", "two two two"]
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    assert text(deep) == ["deep"] and len({b[1] for b in page("<div><p>a</p></div><p>b</p>")}) == 2
+    assert text("<p>" + "long &amp; " * 200_000) == [" ".join(["long &"] * 200_000)]
+
+
+def test_style_tree_equals_brute_force(spark):
+    r = random.Random(21)
+    rows, pages = [], []
+    for i in range(60):
+        host = f"h{i % 3}.example" if i % 4 else "H1.example"
+        parts = [r.choice(("<p>same</p>", "<p>same<br></p>", f"<p>own {i}</p>")), r.choice(("<div>a <b>b</b></div>", f"<div>{i}</div>", "<div>a b</div>")), "<section>all</section>"]
+        pages.append((i, f"http://{host}/x", f"<html><body>{''.join(parts[: r.randrange(1, 4)])}</body></html>"))
+    pages += [(90, *pages[5][1:]), (91, None, "<p>no host</p>")]
+    for _, url, doc in pages:
+        blocks = html.parse(doc)
+        rows += [(html.host_of(url), hash("|".join(b[0] for b in blocks)), b[1], b[2], html._hash(b[0])) for b in blocks]
+    want = set()
+    for host, path in {(x[0], x[2]) for x in rows}:
+        here = [x for x in rows if (x[0], x[2]) == (host, path)]
+        m = len({x[1] for x in here})
+        if m < html.LEAST_PAGES:
+            continue
+        c = {}
+        for _, style in {(x[1], x[3]) for x in here}:
+            c[style] = c.get(style, 0) + 1
+        n = sum(c.values())
+        node = -sum(k / n * math.log(k / n) for k in c.values()) / math.log(m)
+        for body in {x[4] for x in here}:
+            k = len({x[1] for x in here if x[4] == body})
+            if (1 - html.GAMMA) * min(1, node) + html.GAMMA * (1 - math.log(k) / math.log(m)) < html.LOW:
+                want.add((host, path, body))
+    d = spark.createDataFrame(rows, "host string, print long, path long, style long, body long")
+    assert {tuple(x) for x in html.low_importance(d).collect()} == want and want
+
+
+def test_the_tree_judges_articles_too(spark):
+    page = lambda i: f"<article><h1>Story {i}</h1><p>words of {i}</p><p>Follow us for more stories</p></article>"
+    d = spark.createDataFrame([(i, "http://x.example/", page(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {x.text for x in html.extract(d).collect()} == {f"Story {i}\n\nwords of {i}" for i in range(12)}
+
+
 # Classifiers
 
 
