@@ -207,15 +207,21 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def low_importance(blocks: DataFrame, low: float = LOW, least: int = LEAST_PAGES, gamma: float = GAMMA) -> DataFrame:
-    """(host, path, body): what the hosts' style trees find unimportant, from (host, print, path,
-    style, body) of the blocks."""
-    seen = blocks.groupBy("host", "path", "style", "body", "print").agg(F.lit(1))  # copies count once
-    m = seen.select("host", "path", "print").distinct().groupBy("host", "path").agg(F.count("*").alias("m")).filter(F.col("m") >= least)
-    styles = seen.select("host", "path", "style", "print").distinct().groupBy("host", "path", "style").agg(F.count("*").alias("c")).groupBy("host", "path").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("clogc"))
+def low_importance(pages: DataFrame, low: float = LOW, least: int = LEAST_PAGES, gamma: float = GAMMA) -> DataFrame:
+    """(host, path, body): what the hosts' style trees find unimportant, from (row, host, print,
+    keys) of pages. Of pages of a host with one fingerprint one counts, and in a page each path,
+    presentation and text once."""
+    once = pages.groupBy("host", "print").agg(F.min("row").alias("row")).select("row")
+    seen = pages.select("row", "host", "keys").join(once, "row", "left_semi")
+
+    def per(*what: str) -> DataFrame:
+        one = F.array_distinct(F.transform("keys", lambda k: F.struct(*(k[c].alias(c) for c in what))))
+        return seen.select("host", F.explode(one).alias("k")).groupBy("host", *(F.col(f"k.{c}").alias(c) for c in what)).agg(F.count("*").alias("c"))
+
+    m = per("path").withColumnRenamed("c", "m").filter(F.col("m") >= least)
+    styles = per("path", "style").groupBy("host", "path").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("clogc"))
     node = m.join(styles, ["host", "path"]).withColumn("node", (F.log(F.col("all").cast("double")) - F.col("clogc") / F.col("all")) / F.log(F.col("m").cast("double")))
-    body = seen.select("host", "path", "body", "print").distinct().groupBy("host", "path", "body").agg(F.count("*").alias("c"))
-    both = body.filter("c > 1").join(node, ["host", "path"]).withColumn("content", 1 - F.log(F.col("c").cast("double")) / F.log(F.col("m").cast("double")))
+    both = per("path", "body").filter("c > 1").join(node, ["host", "path"]).withColumn("content", 1 - F.log(F.col("c").cast("double")) / F.log(F.col("m").cast("double")))
     return both.filter((1 - gamma) * F.least(F.lit(1.0), F.col("node")) + gamma * F.col("content") < low).select("host", "path", "body")
 
 
@@ -231,9 +237,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     d = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     schema = "page_id long, url string, host string, print long, texts array<string>, keys array<struct<path:long,style:long,body:long>>"
     parsed = scratch.keep(d.mapInArrow(_blocks, schema).withColumn("row", F.monotonically_increasing_id()))
-    blocks = parsed.select("row", "host", "print", F.explode("keys").alias("k")).select("row", "host", "print", "k.*")
-    bad = blocks.select("row", "host", "path", "body").join(low_importance(blocks, low), ["host", "path", "body"], "left_semi")
-    bad = bad.groupBy("row").agg(F.collect_set(F.struct("path", "body")).alias("bad"))
+    # Few blocks are of low importance, so these tables are small; Spark broadcasts them if their
+    # written size allows, and joins by an exchange if not.
+    worst = scratch.keep(low_importance(parsed, low))
+    blocks = parsed.select("row", "host", F.explode("keys").alias("k")).select("row", "host", "k.path", "k.body")
+    bad = scratch.keep(blocks.join(worst, ["host", "path", "body"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("path", "body")).alias("bad")))
     kept = parsed.join(bad, "row", "left")
     gone = lambda i: F.array_contains("bad", F.struct(F.element_at("keys", i + 1)["path"].alias("path"), F.element_at("keys", i + 1)["body"].alias("body")))
     text = F.array_join(F.filter("texts", lambda _, i: ~F.coalesce(gone(i), F.lit(False))), "\n\n")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_scopes: list[list[Scratch]] = []
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Remove, at the end, all tables that operators have written inside."""
+    mine: list[Scratch] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        for s in mine:
+            s.close()
+
+
 class Scratch:
     """Tables of one run in the shared folder: written once, read column by column, removed when
     told. They survive lost executors; the shuffle files behind a written table go with its job."""
@@ -37,6 +55,8 @@ class Scratch:
         self.base = f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
         self.held: list[tuple[DataFrame, str]] = []
         self.made = 0
+        if _scopes:
+            _scopes[-1].append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.made}"
@@ -44,7 +64,7 @@ class Scratch:
         before = self.spark.conf.get(CLEAN_UP, "false")
         self.spark.conf.set(CLEAN_UP, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(CLEAN_UP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -59,6 +79,10 @@ class Scratch:
                     remove(self.spark, path)
         self.held = [x for x in self.held if not any(x[0] is df for df in dfs)]
 
+    def close(self) -> None:
+        remove(self.spark, self.base)
+        self.held = []
+
 
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -451,9 +451,12 @@ def test_style_tree_equals_brute_force(spark):
         parts = [r.choice(("<p>same</p>", "<p>same<br></p>", f"<p>own {i}</p>")), r.choice(("<div>a <b>b</b></div>", f"<div>{i}</div>", "<div>a b</div>")), "<section>all</section>"]
         pages.append((i, f"http://{host}/x", f"<html><body>{''.join(parts[: r.randrange(1, 4)])}</body></html>"))
     pages += [(90, *pages[5][1:]), (91, None, "<p>no host</p>")]
-    for _, url, doc in pages:
+    table = []
+    for row, url, doc in pages:
         blocks = html.parse(doc)
-        rows += [(html.host_of(url), hash("|".join(b[0] for b in blocks)), b[1], b[2], html._hash(b[0])) for b in blocks]
+        mark = hash("|".join(b[0] for b in blocks))
+        rows += [(html.host_of(url), mark, b[1], b[2], html._hash(b[0])) for b in blocks]
+        table.append((row, html.host_of(url), mark, [(b[1], b[2], html._hash(b[0])) for b in blocks]))
     want = set()
     for host, path in {(x[0], x[2]) for x in rows}:
         here = [x for x in rows if (x[0], x[2]) == (host, path)]
@@ -469,7 +472,7 @@ def test_style_tree_equals_brute_force(spark):
             k = len({x[1] for x in here if x[4] == body})
             if (1 - html.GAMMA) * min(1, node) + html.GAMMA * (1 - math.log(k) / math.log(m)) < html.LOW:
                 want.add((host, path, body))
-    d = spark.createDataFrame(rows, "host string, print long, path long, style long, body long")
+    d = spark.createDataFrame(table, "row long, host string, print long, keys array<struct<path:long,style:long,body:long>>")
     assert {tuple(x) for x in html.low_importance(d).collect()} == want and want
 
 
@@ -504,6 +507,85 @@ def test_classifiers_hold_out(spark, op, label, least):
     assert np.allclose(got.sort_values("doc_id").score, again.sort_values("doc_id").score)
 
 
+def test_votes_equal_brute_force():
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.normal(size=(200, quality.TERMS))) * (rng.random((200, quality.TERMS)) < 0.1)
+    x[50:60] = x[40]  # ties
+    space = quality.Space(x, (rng.random(200) < 0.5).astype(float))
+    q = np.concatenate((x[35:65], np.abs(rng.normal(size=(20, quality.TERMS)))))
+    got = space.vote(q)
+    u = np.rint((lambda v: v / np.linalg.norm(v, axis=1, keepdims=True) * quality.GRAIN)(space._weigh(q) @ space.axes))
+    for i, v in enumerate(u):
+        s = [int(v @ r) for r in space.vectors.astype(float)]
+        near = sorted(range(200), key=lambda j: (-s[j], j))[: space.k]
+        w = [max(s[j] / quality.GRAIN**2, 0) ** 8 + 1e-6 for j in near]
+        want = (sum(a * space.label[j] for a, j in zip(w, near, strict=True)) + 0.2 * space.prior) / (sum(w) + 0.2)
+        assert abs(got[i] - want) < 1e-9
+    assert (np.concatenate([space.vote(q[k : k + 1]) for k in range(len(q))]) == got).all()  # however rows are dealt
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    sf = "/root/testdata/sf0.01"
+    d, y = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    for op in (quality, toxicity):
+        a, b = ({(r.doc_id, r.score) for r in op.score_documents(d.repartition(n), y, F.lit(False)).collect()} for n in (1, 40))
+        assert a == b
+
+
+def test_boosting_and_calibration_equal_brute_force():
+    from callweight.llm.boost import Boosted, Isotonic
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
+    m = Boosted(trees=1, depth=1, rate=1.0).fit(x, y)
+    p = y.mean()
+    best = None  # the best single split over all features and bin edges
+    for f in range(3):
+        for e in m.edges[f]:
+            left = x[:, f] <= e
+            if min(left.sum(), (~left).sum()) * p * (1 - p) < m.least:
+                continue
+            gain = sum((y[s] - p).sum() ** 2 / (s.sum() * p * (1 - p) + m.l2) for s in (left, ~left))
+            if best is None or gain > best[0] + 1e-9:
+                best = gain, left
+    g = [(y[s] - p).sum() / (s.sum() * p * (1 - p) + m.l2) for s in (best[1], ~best[1])]
+    assert np.allclose(m.raw(x), np.log(p / (1 - p)) + np.where(best[1], *g))
+    deep = Boosted().fit(x, y)
+    assert ((deep.raw(x) > 0) == y).mean() > 0.97
+    z = np.round(rng.normal(size=60), 1)
+    t = (z + rng.normal(size=60) > 0).astype(float)
+    cal = Isotonic().fit(z, t)
+    # Each pool's mean is max over starts of min over ends of the mean between (Barlow et al., 1972).
+    u = np.unique(z)
+    mean = [max(min(t[(z >= a) & (z <= b)].mean() for b in u[u >= v]) for a in u[u <= v]) for v in u]
+    n = [sum((z == w).sum() for w, x in zip(u, mean, strict=True) if abs(x - y_) < 1e-9) for y_ in mean]
+    want = np.maximum.accumulate([(x * k + 0.5) / (k + 1) for x, k in zip(mean, n, strict=True)])
+    assert np.allclose(cal(u), want)
+
+
+def test_learned_words_equal_brute_force(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(["bad", "worse"] if i % 3 == 0 and r.random() < 0.6 else ["fine", "good", "the", "sun"]) for _ in range(20)), int(i % 3 == 0)) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(40)
+    df = {}
+    for _, t, y in rows:
+        for w in set(t.split()):
+            df.setdefault(w, [0, 0])[y] += 1
+    odds = {w: math.log((p + 0.5) / 101) - math.log((n + 0.5) / 201) for w, (n, p) in df.items() if p >= toxicity.LEARN_DOCS}
+    want = sorted((w for w, o in odds.items() if o >= toxicity.LEARN_ODDS), key=lambda w: (-odds[w] * math.sqrt(df[w][1]), w))
+    assert toxicity.learn_words(d) == want and want
+
+
+@pytest.mark.parametrize("op", [quality, toxicity])
+def test_samples_are_bounded_in_rows(spark, op):
+    from callweight.llm.labelled import labelled_sample
+
+    d = spark.createDataFrame([(i % 60, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    y = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, y int")
+    assert labelled_sample(d, y, "y", F.lit(False), rows=50).count() == 50
+
+
 @pytest.mark.parametrize("op", [quality, toxicity])
 def test_classifiers_on_odd_rows(spark, odd, none, op):
     y = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (None, 1, 1), (2, None, None), (4, 1, 1)], "doc_id long, quality int, toxic int")
