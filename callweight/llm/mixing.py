@@ -113,11 +113,12 @@ def realise(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
 
     A document taken for t of its s words appears floor(t / s) times and once more with the chance
     of the remainder, drawn from its id by hash, so sources stay near their targets and reruns
-    agree. Rows that share an id share the decision; wordless texts are not taken.
+    agree. Rows that share an id, null ids too, share the decision; null, empty and wordless texts
+    are not taken. An empty table gives no rows; no column of docs can clash.
     """
-    plan = mix_sources(docs, id_col=id_col, **kw).groupBy(F.col(id_col).alias("__id")).agg(F.sum("taken").alias("__t"), F.sum("size").alias("__s")).filter("__t > 0")
-    share = F.col("__t") / F.col("__s")
-    draw = F.pmod(F.xxhash64(F.lit(23), "__id"), F.lit(1 << 20)) / (1 << 20)
-    plan = plan.withColumn("__times", (F.floor(share) + (draw < share - F.floor(share)).cast("int")).cast("int")).filter("__times > 0")
-    out = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"]), "inner")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    plan = mix_sources(docs, id_col=id_col, **kw).groupBy(F.col(id_col).alias("id")).agg(F.sum("taken").alias("t"), F.sum("size").alias("s")).filter("t > 0")
+    share = F.col("t") / F.col("s")
+    draw = F.pmod(F.xxhash64(F.lit(23), "id"), F.lit(1 << 20)) / (1 << 20)
+    plan = plan.select(F.struct("id", (F.floor(share) + (draw < share - F.floor(share)).cast("int")).cast("int").alias("times")).alias("plan")).filter("plan.times > 0")
+    out = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc")).join(plan, F.col("doc")[id_col].eqNullSafe(F.col("plan")["id"]), "inner")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("plan.times")))).select("doc.*")

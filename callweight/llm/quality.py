@@ -28,6 +28,7 @@ NEIGHBOURS = 25
 SHAPES, PAIRS, MEASURES = 512, 256, 128
 TERMS = SHAPES + PAIRS + MEASURES
 BLOCK = 1024
+GRAIN = 1 << 10  # vectors are whole numbers of this fraction, so single-precision products are exact in any order
 MEASURE_WEIGHT = 4.0  # of a measure against a word seen once
 _U = np.uint64
 
@@ -82,18 +83,26 @@ def terms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest of each row, ties to the smaller column; in order of columns."""
+    edge = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+    over, tie = near > edge, near == edge
+    take = over | tie & (np.cumsum(tie, axis=1) <= k - over.sum(axis=1, keepdims=True))
+    return np.nonzero(take)[1].reshape(len(near), k)
+
+
 class Space:
     """Latent-semantic space of a labelled sample."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, dims: int = DIMS, k: int = NEIGHBOURS):
-        self.k, self.label = k, y.astype(np.float32)
+        self.k, self.label = k, y.astype(np.float64)
         self.prior = float((y.sum() + 1) / (len(y) + 2))
         self.idf = np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1)) + 0.1 if len(x) else np.ones(TERMS)
         z = self._weigh(x)
         gram = z.T @ z
         _, vec = np.linalg.eigh(gram)
-        self.axes = vec[:, ::-1][:, :dims].astype(np.float32)
-        self.vectors = self._unit(z.astype(np.float32) @ self.axes)
+        self.axes = vec[:, ::-1][:, :dims]
+        self.vectors = self._unit(z @ self.axes)
 
     def _weigh(self, x: np.ndarray) -> np.ndarray:
         z = x * self.idf
@@ -101,19 +110,20 @@ class Space:
 
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        """Unit vectors in whole numbers of 1 / GRAIN."""
+        return np.rint(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9) * GRAIN).astype(np.float32)
 
     def vote(self, x: np.ndarray) -> np.ndarray:
         """Share of label 1 among each row's nearest sample texts, by similarity."""
         if not len(self.label):
             return np.full(len(x), self.prior)
-        v = self._unit(self._weigh(x).astype(np.float32) @ self.axes)
+        v = self._unit(self._weigh(x) @ self.axes)
         out = np.empty(len(x))
         k = min(self.k, len(self.label))
         for lo in range(0, len(x), BLOCK):
             near = v[lo : lo + BLOCK] @ self.vectors.T
-            at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            s = np.take_along_axis(near, at, axis=1).astype(float)
+            at = _nearest(near, k)
+            s = np.take_along_axis(near, at, axis=1).astype(float) / GRAIN**2
             wt = np.maximum(s, 0) ** 8 + 1e-6
             out[lo : lo + BLOCK] = ((wt * self.label[at]).sum(axis=1) + 0.2 * self.prior) / (wt.sum(axis=1) + 0.2)
         return out
@@ -154,8 +164,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out, label: str = "
 
     Null and empty texts have no terms and take a vote among equals; whole texts are read however
     long. Null ids are scored, not learned from, and not held out. Without usable labels every
-    score is the prior 1/2. Equal texts get equal scores; ties among neighbours may fall to any of
-    them, the same on every run. An empty table gives no rows; extra columns are ignored.
+    score is the prior 1/2. Equal texts get equal scores, however rows are dealt to tasks: cosines
+    are exact and ties among neighbours fall to the one with the smaller id. An empty table gives no rows; extra columns are ignored.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = with_score(d, labels, held_out, label, rows)
@@ -163,6 +173,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out, label: str = "
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, held_out, cut: float = 0.5, label: str = "quality", rows: int = ROWS) -> DataFrame:
-    """The documents the vote does not reject (score of at least `cut`), with all their columns."""
-    mark = "__quality"
+    """The documents the vote does not reject (score of at least `cut`), with all their columns.
+
+    Null and empty texts are judged like any text without terms; null ids are judged, not learned
+    from. Repeated rows all stay or all go. An empty table gives no rows; no column of docs clashes.
+    """
+    mark = "score" + "_" * max(map(len, docs.columns))  # longer than any column of docs
     return with_score(docs, labels, held_out, label, rows, name=mark).filter(F.col(mark) >= cut).drop(mark)

@@ -130,7 +130,7 @@ _LEX, _YOU, _SQUEEZED = word_hashes(LEXICON), word_hashes(SECOND), word_hashes([
 
 
 def _word_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, positive documents, negative documents) of a run of labelled texts."""
+    """(word, positive documents, negative documents) of a run of labelled texts, for all its words."""
     for b in batches:
         data, off = column_bytes(b.column(0))
         y = b.column(1).to_numpy()
@@ -141,18 +141,15 @@ def _word_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word, row = pair // (hi - lo), pair % (hi - lo)
             pos = np.bincount(word, weights=y[lo:hi][row], minlength=len(at)).astype(np.int64)
             neg = np.bincount(word, minlength=len(at)) - pos
-            some = np.flatnonzero(pos)
-            raw, ln = word_texts(w, at[some])
+            raw, ln = word_texts(w, at)
             cut = np.concatenate(([0], np.cumsum(ln)))
-            yield pa.RecordBatch.from_arrays([pa.array([raw[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(pos[some]), pa.array(neg[some])], ["word", "pos", "neg"])
+            yield pa.RecordBatch.from_arrays([pa.array([raw[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(pos), pa.array(neg)], ["word", "pos", "neg"])
 
 
 def learn_words(sample: DataFrame, limit: int = LEARNED) -> list[str]:
     """Words far likelier in toxic texts of the sample, at most `limit`; most telling first."""
     y = Counter({r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()})
     odds = F.log((F.col("pos") + 0.5) / (y[1] + 1.0)) - F.log((F.col("neg") + 0.5) / (y[0] + 1.0))
-    # Negative counts of words that no chunk's toxic text holds stay unseen; the odds are then a
-    # little high for rare words only, which LEARN_DOCS keeps out.
     got = sample.select("text", "label").mapInArrow(_word_labels, "word binary, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     got = got.filter((F.col("pos") >= max(LEARN_DOCS, 0.01 * y[1])) & (odds >= LEARN_ODDS)).orderBy(F.desc(odds * F.sqrt("pos")), "word").limit(limit)
     return [bytes(r.word).decode("utf-8", "replace") for r in got.collect()]
@@ -168,10 +165,16 @@ class Model:
         return np.clip(self.calibrate(self.trees.raw(features(data, off, self.learned))), 0.0, 1.0)
 
 
+def _calibrates():
+    return F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(4)) == 0
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most `rows` labelled documents; a quarter of them calibrates."""
+    """Learn from at most `rows` labelled documents. A quarter of them, by hash of the id, only
+    calibrates; words and trees are learned from the rest. If one part has a single label, the
+    calibration is that of the prior: all scores are shrunk to the share of label 1."""
     sample = labelled_sample(docs, labels, label, held_out, rows)
-    learned = learn_words(sample)
+    learned = learn_words(sample.filter(~_calibrates()))
     table = word_hashes(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,18 +182,17 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", rows
             data, off = column_bytes(b.column(1))
             for lo, hi in chunks(off):
                 x = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], table)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in (0, 2, 3)), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "cal", "x"])
 
-    got = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    got = sample.select("doc_id", "text", "label", _calibrates().alias("cal")).mapInArrow(run, "doc_id long, label int, cal boolean, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got.x.tolist(), np.float64).reshape(len(got), len(FEATURES))
     y = got.label.to_numpy(float)
-    part = (got.doc_id.to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62) == 0
-    if not len(y) or len(np.unique(y)) < 2:
-        mean = float(y.mean()) if len(y) else 0.0
-        return Model(Boosted(trees=0).fit(x, y), Isotonic().fit(np.array([0.0]), np.array([mean])), learned)
+    part = got.cal.to_numpy(bool)
+    mean = float(y.mean()) if len(y) else 0.0
+    if len(np.unique(y[part])) < 2 or len(np.unique(y[~part])) < 2:
+        return Model(Boosted(trees=0).fit(x, y), Isotonic().fit(np.zeros(max(1, len(y))), np.full(max(1, len(y)), mean)), learned)
     trees = Boosted().fit(x[~part], y[~part])
-    cal = part if len(np.unique(y[part])) == 2 else np.ones(len(y), bool)
-    return Model(trees, Isotonic().fit(trees.raw(x[cal]), y[cal]), learned)
+    return Model(trees, Isotonic().fit(trees.raw(x[part]), y[part]), learned)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", cut: float = 0.7, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
