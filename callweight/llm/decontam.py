@@ -293,5 +293,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -
     that share an id go or stay together. Repeated rows all stay or all go. An empty table on
     either side changes nothing; no column of docs can clash.
     """
-    bad = leaks(docs, benchmark, id_col=id_col, **kw).select(F.struct(F.col("doc_id")).alias("bad")).distinct()
+    # Written first, so that Spark knows its size: few rows are broadcast, many meet the documents in
+    # an exchange.
+    scratch = Scratch(docs.sparkSession, "clean")
+    bad = scratch.keep(leaks(docs, benchmark, id_col=id_col, **kw).select(F.struct(F.col("doc_id")).alias("bad")).distinct())
     return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["bad"]["doc_id"]), "left_anti")

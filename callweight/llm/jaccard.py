@@ -384,7 +384,7 @@ def one_of_each(docs: DataFrame, k: int = 5, pct: int = 75, id_col: str = "doc_i
     scratch = Scratch(docs.sparkSession, "kept")
     keep = scratch.keep(near.groupBy("doc_id").agg(F.count("*").alias("times"), F.max("n_shingles").alias("n")))
     d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"))  # no column of docs can clash
-    out = d.join(keep, F.col("doc")[id_col].cast("long").eqNullSafe(keep["doc_id"]), "inner")
+    out = d.join(keep.hint("merge"), F.col("doc")[id_col].cast("long").eqNullSafe(keep["doc_id"]), "inner")  # what stays grows with the table
     if not keep.filter("times > 1 and n > 0").isEmpty():
         first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("doc")[text]))
         out = out.withColumn("row", F.row_number().over(first)).filter("row = 1 or n = 0")
