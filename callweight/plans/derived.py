@@ -23,24 +23,34 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("src", "dst").agg(F.min("l_returnflag").alias("f"), F.count("*").alias("n"))
 
 
-def _first(e: DataFrame, k: int, *order) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy("src").orderBy(*order))
-    return e.withColumn("seq", r).filter(F.col("seq") <= k)
+def _numbered(e: DataFrame) -> DataFrame:
+    """Calls of each function in order of the callee."""
+    seq = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    return e.select("src", "dst", seq.alias("seq"), (F.col("f") == "R").alias("indirect"))
+
+
+def _ends(spark: SparkSession, sf_dir: str, *what: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").withColumn("layer", F.substring("p_brand", 7, 9).cast("int"))
+    side = lambda end, x: p.select(F.col("p_partkey").alias(end), *(F.col(c).alias(x + c) for c in what))
+    return raw_edges(spark, sf_dir).join(side("src", "a_"), "src").join(side("dst", "b_"), "dst")
 
 
 def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = raw_edges(spark, sf_dir).filter("src % 6 < dst % 6")
-    return _first(e, 3, "dst").select("src", "dst", "seq", (F.col("f") == "R").alias("indirect"))
+    """Calls inside a family (part type) from a layer (brand number) to a later one: no cycle."""
+    e = _ends(spark, sf_dir, "p_type", "layer").filter("a_p_type = b_p_type and a_layer < b_layer")
+    return _numbered(e)
 
 
 def cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _first(raw_edges(spark, sf_dir), 1, F.desc("n"), "dst").select("src", "dst", "seq", (F.col("f") == "R").alias("indirect"))
+    """Calls inside a file (brand): components of all shapes."""
+    return _numbered(_ends(spark, sf_dir, "p_brand").filter("a_p_brand = b_p_brand"))
 
 
 CTE = """
 V AS (SELECT p_partkey AS id, p_name AS name, p_brand AS file, p_type AS decl_file, CAST(16 + 8 * p_size AS BIGINT) AS frame FROM part),
 X AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst, l_returnflag FROM lineitem),
 E_raw AS (SELECT src, dst, min(l_returnflag) AS f, count(*) AS n FROM X WHERE dst IS NOT NULL GROUP BY src, dst),
-E_dag AS (SELECT src, dst, seq, f = 'R' AS indirect FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS seq FROM E_raw WHERE src % 6 < dst % 6) WHERE seq <= 3),
-E_cyc AS (SELECT src, dst, seq, f = 'R' AS indirect FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS seq FROM E_raw) WHERE seq <= 1)
+E_ends AS (SELECT e.*, a.p_type = b.p_type AND CAST(substr(a.p_brand, 7) AS INTEGER) < CAST(substr(b.p_brand, 7) AS INTEGER) AS down, a.p_brand = b.p_brand AS inner_ FROM E_raw e JOIN part a ON a.p_partkey = e.src JOIN part b ON b.p_partkey = e.dst),
+E_dag AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS seq, f = 'R' AS indirect FROM E_ends WHERE down),
+E_cyc AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS seq, f = 'R' AS indirect FROM E_ends WHERE inner_)
 """

@@ -41,7 +41,7 @@ def long(c):
 
 def frames(spark, sf):
     li = D.table(spark, sf, "lineitem")
-    return li.select(F.col("l_partkey").cast("string").alias("func"), (F.col("l_quantity").cast("long") * 16).alias("bytes"), F.lit("static").alias("qualifier"), F.concat(F.lit("src/u"), F.col("l_suppkey"), F.lit(".c")).alias("file"), F.col("l_linenumber").cast("int").alias("line"))
+    return li.select(F.col("l_partkey").cast("string").alias("func"), (F.col("l_quantity").cast("long") * 16).alias("bytes"), F.lit("static").alias("qualifier"), F.concat(F.lit("src/u"), F.col("l_suppkey"), F.lit(".c")).alias("file"), F.col("l_linenumber").cast("int").alias("line"), (F.col("l_returnflag") != "N").alias("returned"))
 
 
 # Sources.
@@ -155,15 +155,15 @@ def escapes(spark, sf):
 
 # Joins.
 
-FRAMES_SQL = """F AS (SELECT CAST(l_partkey AS VARCHAR) AS func, 'u' || CAST(l_suppkey AS VARCHAR) AS stem, CAST(l_quantity AS BIGINT) * 16 AS bytes FROM lineitem WHERE l_partkey % 3 <> 0),
+FRAMES_SQL = """F AS (SELECT CAST(l_partkey AS VARCHAR) AS func, 'u' || CAST(l_suppkey AS VARCHAR) AS stem, CAST(l_quantity AS BIGINT) * 16 AS bytes FROM lineitem WHERE l_returnflag <> 'N'),
 FN AS (SELECT func, max(bytes) AS b FROM F GROUP BY 1), FF AS (SELECT stem, func, max(bytes) AS b FROM F GROUP BY 1, 2),
-N AS (SELECT CAST(id AS VARCHAR) AS id, CAST(id AS VARCHAR) AS name, 'src/u' || CAST(id % 20 AS VARCHAR) || '.c' AS file, 'u' || CAST(id % 20 AS VARCHAR) AS stem FROM V WHERE id % 2 = 0)"""
+N AS (SELECT CAST(id AS VARCHAR) AS id, CAST(id AS VARCHAR) AS name, 'src/u' || CAST(id % 20 AS VARCHAR) || '.c' AS file, 'u' || CAST(id % 20 AS VARCHAR) AS stem FROM V WHERE frame > 200)"""
 
 
 def _half(spark, sf):
-    f = frames(spark, sf).filter(F.col("func").cast("long") % 3 != 0)
+    f = frames(spark, sf).filter("returned")
     s = F.col("id").cast("string")
-    n = D.nodes(spark, sf).filter("id % 2 = 0").select(s.alias("id"), s.alias("name"), F.concat(F.lit("src/u"), (F.col("id") % 20).cast("string"), F.lit(".c")).alias("file"))
+    n = D.nodes(spark, sf).filter("frame > 200").select(s.alias("id"), s.alias("name"), F.concat(F.lit("src/u"), (F.col("id") % 20).cast("string"), F.lit(".c")).alias("file"))
     return n, *readers.frame_index(f)
 
 
@@ -287,10 +287,10 @@ def reciprocal_edges(spark, sf):
     return explore.reciprocal(D.raw_edges(spark, sf))
 
 
-@query("WITH N AS (SELECT src, dst FROM E_dag WHERE src % 7 <> 0 UNION SELECT dst, src FROM E_dag WHERE src % 11 = 0) SELECT src, dst, 'added' AS change FROM (SELECT src, dst FROM N EXCEPT SELECT src, dst FROM E_dag) UNION ALL SELECT src, dst, 'removed' FROM (SELECT src, dst FROM E_dag EXCEPT SELECT src, dst FROM N)")
+@query("WITH N AS (SELECT src, dst FROM E_dag WHERE NOT indirect UNION SELECT dst, src FROM E_dag WHERE seq = 1) SELECT src, dst, 'added' AS change FROM (SELECT src, dst FROM N EXCEPT SELECT src, dst FROM E_dag) UNION ALL SELECT src, dst, 'removed' FROM (SELECT src, dst FROM E_dag EXCEPT SELECT src, dst FROM N)")
 def edge_diff(spark, sf):
     e = D.dag(spark, sf)
-    new = e.filter("src % 7 <> 0").select("src", "dst").union(e.filter("src % 11 = 0").select("dst", "src")).distinct()
+    new = e.filter("not indirect").select("src", "dst").union(e.filter("seq = 1").select("dst", "src")).distinct()
     return explore.edge_diff(e, new)
 
 
@@ -315,10 +315,10 @@ def roots(spark, sf):
     return metrics.find_roots(D.nodes(spark, sf), D.cyclic(spark, sf)).select("root")
 
 
-@query("WITH P AS (SELECT id FROM V WHERE id % 50 = 1) SELECT id AS root, true AS is_pinned FROM P UNION ALL SELECT id, false FROM V WHERE id NOT IN (SELECT dst FROM E_cyc) AND id NOT IN (SELECT id FROM P)")
+@query("WITH P AS (SELECT id FROM V WHERE starts_with(decl_file, 'PROMO')) SELECT id AS root, true AS is_pinned FROM P UNION ALL SELECT id, false FROM V WHERE id NOT IN (SELECT dst FROM E_cyc) AND id NOT IN (SELECT id FROM P)")
 def roots_pinned(spark, sf):
     n = D.nodes(spark, sf)
-    return metrics.find_roots(n, D.cyclic(spark, sf), n.filter("id % 50 = 1")).select("root", "is_pinned")
+    return metrics.find_roots(n, D.cyclic(spark, sf), n.filter(S.matches_globs("decl_file", ["PROMO*"]))).select("root", "is_pinned")
 
 
 @query(f"WITH {CLOSURE_SQL} SELECT a, b FROM C")
@@ -439,7 +439,7 @@ def neighborhood_edges(spark, sf):
     return explore.neighbourhood(D.dag(spark, sf), FOCUS, 3, 4)[1]
 
 
-WALK_SQL = """PT AS (SELECT id AS start, id AS n, frame AS total, 1 AS d, CAST(id AS VARCHAR) AS path FROM V WHERE id % 40 = 6
+WALK_SQL = """PT AS (SELECT id AS start, id AS n, frame AS total, 1 AS d, CAST(id AS VARCHAR) AS path FROM V
 UNION ALL SELECT PT.start, E_dag.dst, PT.total + V.frame, PT.d + 1, PT.path || '>' || CAST(E_dag.dst AS VARCHAR) FROM PT JOIN E_dag ON E_dag.src = PT.n JOIN V ON V.id = E_dag.dst),
 DONE AS (SELECT * FROM PT WHERE n NOT IN (SELECT src FROM E_dag))"""
 
@@ -451,22 +451,22 @@ def _text(c="nodes"):
 @query(f"WITH {WALK_SQL}, M AS (SELECT *, max(d) OVER (PARTITION BY start) AS m FROM DONE), R AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY total DESC, path) AS rank FROM M WHERE m = 1 OR d > 1) SELECT start, path, total, CAST(rank AS INTEGER) AS rank FROM R WHERE rank <= 5")
 def paths_from(spark, sf):
     n = D.nodes(spark, sf)
-    p = explore.paths_from(n, D.dag(spark, sf), n.filter("id % 40 = 6"), limit=explore.PATHS)
+    p = explore.paths_from(n, D.dag(spark, sf), n, limit=explore.PATHS)
     return p.select("start", _text().alias("path"), "total", F.col("rank").cast("int").alias("rank"))
 
 
-@query(f"""WITH PT AS (SELECT id AS e, id AS n, frame AS total, 1 AS d, CAST(id AS VARCHAR) AS path FROM V WHERE id % 40 = 11
+@query(f"""WITH PT AS (SELECT id AS e, id AS n, frame AS total, 1 AS d, CAST(id AS VARCHAR) AS path FROM V
 UNION ALL SELECT PT.e, E_dag.src, PT.total + V.frame, PT.d + 1, CAST(E_dag.src AS VARCHAR) || '>' || PT.path FROM PT JOIN E_dag ON E_dag.dst = PT.n JOIN V ON V.id = E_dag.src)
 SELECT e AS "end", path, total FROM PT WHERE d > 1 AND n NOT IN (SELECT dst FROM E_dag)""")
 def paths_to(spark, sf):
     n = D.nodes(spark, sf)
-    return explore.paths_to(n, D.dag(spark, sf), n.filter("id % 40 = 11")).select("end", _text().alias("path"), "total")
+    return explore.paths_to(n, D.dag(spark, sf), n).select("end", _text().alias("path"), "total")
 
 
 @query()
 def paths_capped(spark, sf):
     n = D.nodes(spark, sf)
-    return explore.paths_capped(n, D.dag(spark, sf), n.filter("id % 40 = 6")).select("start", "rank", _text().alias("path"), "total", "by_cycle", "by_depth")
+    return explore.paths_capped(n, D.dag(spark, sf), n).select("start", "rank", _text().alias("path"), "total", "by_cycle", "by_depth")
 
 
 @query(f"WITH {PATHS_SQL} SELECT id AS start, down_depth AS hops FROM PK")
@@ -475,7 +475,7 @@ def longest_chain(spark, sf):
     return explore.longest_chain(n, D.dag(spark, sf), n).select("start", F.size("nodes").alias("hops"))
 
 
-@query("WITH W AS (SELECT src AS id, dst AS a, 1 AS h FROM E_cyc UNION SELECT W.id, E_cyc.dst, W.h + 1 FROM W JOIN E_cyc ON E_cyc.src = W.a WHERE W.a <> W.id AND W.h < 200) SELECT id, CAST(min(h) AS INTEGER) AS hops FROM W WHERE id = a GROUP BY id")
+@query("WITH W AS (SELECT src AS id, dst AS a, 1 AS h FROM E_cyc UNION SELECT W.id, E_cyc.dst, W.h + 1 FROM W JOIN E_cyc ON E_cyc.src = W.a WHERE W.a <> W.id AND W.h < 40) SELECT id, CAST(min(h) AS INTEGER) AS hops FROM W WHERE id = a GROUP BY id")
 def shortest_cycle(spark, sf):
     e = D.cyclic(spark, sf)
     on = metrics.components(D.nodes(spark, sf), e).filter("recursive")
