@@ -1,56 +1,27 @@
-"""Driver-controlled fixpoint loops over edge tables: the only iterative code of the engine.
+"""Durable cuts of lineage for driver-controlled loops over edge tables.
 
 Every loop cuts lineage with a reliable checkpoint (it survives lost executors), moves only a
-delta where the semantics allow it, and stops on a count.
+delta where the semantics allow it, and stops on a count or fails.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through the session's shared checkpoint folder.
 
-    Only where spark.checkpoint.dir is unset (one machine, tests) a temporary folder is made.
+    Only where spark.checkpoint.dir is unset and all runs on one machine a temporary folder is made.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="ckpt-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def forget(df: DataFrame) -> None:
-    """Let Spark drop shuffle and checkpoint files that nothing refers to any more. Its cleaner acts
-    when the driver's JVM collects garbage, which a small driver heap may put off for a whole loop."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
-def connected_components(edges: DataFrame, max_iter: int = 60) -> DataFrame:
-    """(v, component): the smallest vertex reachable from each vertex of edges(a, b).
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014): O(log n) rounds, each of
-    them a pre-aggregated minimum per vertex and an equi-join, so no neighbourhood is ever
-    gathered in one task.
-    """
-    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = durable(e)
-    last = None
-    for _ in range(max_iter):
-        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v"), F.col("u")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(low, "x").filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: u > v always holds here; each u hands its smallest v to itself and its other v
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = durable(large.join(small_low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").filter("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
-        if now == last:
-            break
-        last = now
-    roots = e.select(F.col("v").alias("v"), F.col("v").alias("component")).distinct()
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("v"), "component").union(roots)

@@ -135,15 +135,17 @@ def pill(frame: Column, peak: Column, bounded: Column, recursive: Column, is_roo
 _VAR = re.compile(r"\$\{([^}]*)\}")
 
 
-def expand_vars(value: str, workspace: str = "", folders: Mapping[str, str] | None = None, home: str | None = None, env: Mapping[str, str] | None = None, config: Mapping[str, str] | None = None) -> str:
+def expand_vars(value: str, workspace: str | None = None, folders: Mapping[str, str] | None = None, home: str | None = None, env: Mapping[str, str] | None = None, config: Mapping[str, str] | None = None) -> str:
     """${workspaceFolder[:N]}, ${userHome}, ${pathSeparator}, ${/}, ${env:N} (missing: empty),
-    ${config:k} (missing: as it stands); anything else stays as it is. Driver side."""
+    ${config:k}; folders and settings that are missing or null and anything else stay as they are.
+    Driver side."""
     env = os.environ if env is None else env
 
     def one(m: re.Match) -> str:
         kind, _, arg = m.group(1).partition(":")
         if kind == "workspaceFolder":
-            return (folders or {}).get(arg, m.group(0)) if arg else workspace
+            at = (folders or {}).get(arg) if arg else workspace
+            return m.group(0) if at is None else at
         if m.group(1) == "userHome":
             return os.path.expanduser("~") if home is None else home
         if m.group(1) in ("pathSeparator", "/"):
@@ -151,7 +153,8 @@ def expand_vars(value: str, workspace: str = "", folders: Mapping[str, str] | No
         if kind == "env":
             return env.get(arg, "")
         if kind == "config":
-            return str((config or {}).get(arg, m.group(0)))
+            got = (config or {}).get(arg)
+            return m.group(0) if got is None else str(got)
         return m.group(0)
 
     return _VAR.sub(one, value)

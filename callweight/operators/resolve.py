@@ -24,18 +24,23 @@ def display_keys(functions: DataFrame, mode: str = "ordinal", name: str = "name"
     return d.withColumn("key", F.when(F.col("__r") > 1, F.concat("key", F.lit("~"), F.col("__r"))).otherwise(F.col("key"))).drop("__s", "__n", "__r")
 
 
-def resolve_calls(raw: DataFrame, functions: DataFrame) -> DataFrame:
-    """(src, dst, seq): raw(src, src_file, callee, seq) against functions(id, name, file, ord).
+def resolve_names(raw: DataFrame, functions: DataFrame) -> DataFrame:
+    """raw(src, src_file, callee, ...) with dst, the function each call goes to.
 
-    Calls go by bare name; among homonyms the caller's file wins, then the earliest definition.
-    Calls to undefined names drop out; a callee named twice keeps its first place.
+    Calls go by bare name; among homonyms one of the caller's file wins, then the earliest
+    definition. Calls to undefined names drop out. Both joins meet one row a key, so a name with
+    many definitions and many calls multiplies nothing.
     """
-    f = functions.select(F.col("id").alias("dst"), F.col("name").alias("callee"), F.col("file").alias("dst_file"), F.col("ord").alias("dst_ord"))
-    m = raw.join(f, "callee")
-    # The best homonym is a minimum, so it is aggregated map-side; no window over hot names.
-    best = F.min_by("dst", F.struct((F.col("dst_file") != F.col("src_file")).cast("int"), "dst_ord")).alias("dst")
-    one = m.groupBy("src", "src_file", "callee").agg(best, F.min("seq").alias("seq"))
-    return one.groupBy("src", "dst").agg(F.min("seq").alias("seq"))
+    near = functions.groupBy(F.col("name").alias("callee"), F.col("file").alias("src_file")).agg(F.min_by("id", "ord").alias("__near"))
+    far = functions.groupBy(F.col("name").alias("callee")).agg(F.min_by("id", "ord").alias("__far"))
+    d = raw.join(far, "callee").join(near, ["callee", "src_file"], "left")
+    return d.withColumn("dst", F.coalesce("__near", "__far")).drop("__near", "__far")
+
+
+def resolve_calls(raw: DataFrame, functions: DataFrame) -> DataFrame:
+    """(src, dst, seq): raw(src, src_file, callee, seq) against functions(id, name, file, ord); a
+    callee named twice keeps its first place."""
+    return resolve_names(raw, functions).groupBy("src", "dst").agg(F.min("seq").alias("seq"))
 
 
 def callee_lists(calls: DataFrame) -> DataFrame:

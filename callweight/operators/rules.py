@@ -99,9 +99,10 @@ def unused_overrides(rules: DataFrame, matched: DataFrame) -> DataFrame:
     return rules.join(matched.filter("rule is not null").select("rule"), "rule", "left_anti")
 
 
-def bind(matched: DataFrame, rules: list[dict]) -> tuple[DataFrame, DataFrame, list]:
-    """(edges, sites, conditions): edges(caller, callee, verified, cond_id) that the rules create,
-    sites with overridden and candidates, and the condition of each cond_id.
+def bind(matched: DataFrame, rules: list[dict], *also: str) -> tuple[DataFrame, DataFrame, list]:
+    """(edges, sites, conditions): edges(caller, callee, verified, cond_id, place) that the rules
+    create, with the site's columns `also`, sites with overridden and candidates, and the condition
+    of each cond_id. Edges name their targets as the rules do; place is a target's in its rule.
 
     Plain targets make verified edges; conditional ones unverified edges with a condition, of
     which the last stands if a target is named twice. A matched site counts as overridden even if
@@ -110,16 +111,16 @@ def bind(matched: DataFrame, rules: list[dict]) -> tuple[DataFrame, DataFrame, l
     spark = matched.sparkSession
     rows, conds = [], []
     for i, r in enumerate(rules):
-        rows += [(i, t, True, None) for t in r.get("targets") or []]
+        rows += [(i, t, True, None, k) for k, t in enumerate(r.get("targets") or [])]
         last: dict[str, int] = {}
         for c in r.get("conditional") or []:
             if isinstance(c, dict) and c.get("when") and c.get("targets"):
                 conds.append(c["when"])
                 for t in c["targets"]:
                     last[t] = len(conds) - 1
-        rows += [(i, t, False, k) for t, k in last.items()]
-    made = F.broadcast(spark.createDataFrame(rows, "rule int, callee string, verified boolean, cond_id int"))
-    edges = matched.join(made, "rule").select("caller", "callee", "verified", "cond_id").distinct()
+        rows += [(i, t, False, k, len(r.get("targets") or []) + n) for n, (t, k) in enumerate(last.items())]
+    made = F.broadcast(spark.createDataFrame(rows, "rule int, callee string, verified boolean, cond_id int, place int"))
+    edges = matched.join(made, "rule").select("caller", "callee", "verified", "cond_id", *(["place", *also] if also else [])).distinct()
     names = made.groupBy("rule").agg(F.array_distinct(F.flatten(F.array(F.collect_list("callee")))).alias("__t"))
     old = F.col("candidates") if "candidates" in matched.columns else F.array().cast("array<string>")
     sites = matched.join(names, "rule", "left").withColumn("overridden", F.col("rule").isNotNull()).withColumn("candidates", F.array_union(old, F.coalesce("__t", F.array().cast("array<string>")))).drop("__t")

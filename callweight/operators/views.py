@@ -66,19 +66,28 @@ def cli_rows(functions: DataFrame, metrics: DataFrame, calls: DataFrame, roots_o
     d = functions.join(metrics, "id").join(c, "id", "left")
     if roots_only:
         d = d.filter("is_pinned_root or is_auto_root")
-    return d.select("id", "name", "file", (F.col("line0") + 1).alias("line") if "line0" in functions.columns else F.lit(None).cast("int").alias("line"), "frame", "peak", severity("peak", warn, critical).alias("severity"), "recursive", "depth", F.coalesce("callees", F.lit("")).alias("callees"), F.col(order).alias("ord")).orderBy(F.desc_nulls_last("peak"), "ord")
+    return d.select("id", "name", "file", (F.col("line0") + 1).alias("line") if "line0" in functions.columns else F.lit(None).cast("int").alias("line"), "frame", "peak", "bounded", severity("peak", warn, critical).alias("severity"), "recursive", "depth", F.coalesce("callees", F.lit("")).alias("callees"), F.col(order).alias("ord")).orderBy(F.desc_nulls_last("peak"), "ord")
 
 
 def report_rows(functions: DataFrame, metrics: DataFrame, per_root: DataFrame, roots_only: bool = True, warn: int = WARN, critical: int = CRITICAL) -> DataFrame:
-    """One row a function and root, with `(auto)` where no root sees it; worst severity first."""
+    """One row a function and root, worst severity first. A function's row of its own root has the
+    kind `self`; with roots_only only those rows are left. A root without rows stands for itself as
+    `(auto)`; a function that no root reaches has one row, `(unreached)`."""
     f = functions.join(metrics, "id")
-    if roots_only:
-        f = f.filter("is_pinned_root or is_auto_root")
-    p = per_root.select("id", "root", F.when(F.col("is_pinned"), "pinned").otherwise("auto").alias("root_kind"), F.col("peak").alias("rp"), F.col("bounded").alias("rb"))
+    line = F.col("line0") + 1 if "line0" in functions.columns else F.lit(None).cast("int")
+    qualifier = F.col("qualifier") if "qualifier" in functions.columns else F.lit(None).cast("string")
+    p = per_root.select("id", F.col("root").alias("__root"), F.when(F.col("root") == F.col("id"), "self").when(F.col("is_pinned"), "pinned").otherwise("auto").alias("root_kind"), F.col("peak").alias("rp"), F.col("bounded").alias("rb"))
+    own = F.col("is_pinned_root") | F.col("is_auto_root")
     d = f.join(p, "id", "left")
+    if roots_only:
+        d = d.filter(own).filter("__root is null or root_kind = 'self'")
+    unseen = F.when(own, "auto").otherwise("unreached")
     pk = F.coalesce("rp", "peak")
     ghost = F.col("ghost") if "ghost" in functions.columns else F.lit(False)
-    d = d.select("id", "name", "file", F.coalesce(F.col("root").cast("string"), F.lit("(auto)")).alias("root"), F.coalesce("root_kind", F.lit("auto")).alias("root_kind"), F.greatest(F.col("down_depth") - 1, F.lit(0)).alias("depth"), F.col("frame").alias("own_frame"), pk.alias("peak"), F.coalesce("rb", "bounded").alias("bounded"), "recursive", F.coalesce(ghost, F.lit(False)).alias("ghost"), severity(pk, warn, critical).alias("severity"))
+    d = d.select(
+        "id", "name", "file", line.alias("line"), qualifier.alias("own_qualifier"), F.coalesce(F.col("__root").cast("string"), F.concat(F.lit("("), unseen, F.lit(")"))).alias("root"), F.coalesce("root_kind", unseen).alias("root_kind"),
+        F.greatest(F.col("down_depth") - 1, F.lit(0)).alias("depth"), F.col("frame").alias("own_frame"), pk.alias("peak"), F.coalesce("rb", "bounded").alias("bounded"), "recursive", F.coalesce(ghost, F.lit(False)).alias("ghost"), severity(pk, warn, critical).alias("severity"),
+    )
     return d.orderBy(F.desc(severity_rank("peak", warn, critical)), F.desc_nulls_last("peak"), "name", "root")
 
 

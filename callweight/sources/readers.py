@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..fixpoint import durable
 from ..functions.scalars import stem
 from ..schema import BUILD_DB, FACTS
 
@@ -20,15 +21,21 @@ SOURCES = (".c", ".cc", ".cpp", ".cxx")
 def parse_frames(lines: DataFrame, line: str = "value") -> DataFrame:
     """(func, bytes, qualifier, file, line) of frame text: columns parted by tabs, or by blanks
     where there is no tab; lines whose size is no integer are skipped. The place is split from the
-    right: file:line:col:func, file:line:func, or func alone."""
+    right: file:line:col:func, file:line:func, file:func, or func alone."""
     v = F.trim(F.col(line))
     cells = F.when(v.contains("\t"), F.split(v, "\t")).otherwise(F.split(v, r"\s+"))
     d = lines.select("*", cells.alias("__c")).filter(F.size("__c") >= 2)
     place, n = F.trim(F.col("__c")[0]), F.expr("try_cast(trim(__c[1]) as bigint)")
-    four, three = r"^(.*):(\d+):(\d+):([^:]*)$", r"^(.*):(\d+):([^:]*)$"
-    pick = lambda i4, i3, alone: F.when(place.rlike(four), F.regexp_extract(place, four, i4)).when(place.rlike(three), F.regexp_extract(place, three, i3)).otherwise(alone)
+    shapes = (r"^(.*):(\d+):(\d+):([^:]*)$", r"^(.*):(\d+):([^:]*)$", r"^(.*):([^:]*)$")
+
+    def pick(groups: tuple, alone: Column) -> Column:
+        out = F
+        for shape, g in zip(shapes, groups, strict=True):
+            out = out.when(place.rlike(shape), g if isinstance(g, Column) else F.regexp_extract(place, shape, g))
+        return out.otherwise(alone)
+
     keep = [c for c in lines.columns if c != line]
-    return d.select(*keep, pick(4, 3, place).alias("func"), n.alias("bytes"), F.trim(F.coalesce(F.try_element_at("__c", F.lit(3)), F.lit(""))).alias("qualifier"), pick(1, 1, F.lit("")).alias("file"), pick(2, 2, F.lit("0")).cast("int").alias("line")).filter("bytes is not null and func <> ''")
+    return d.select(*keep, pick((4, 3, 2), place).alias("func"), n.alias("bytes"), F.trim(F.coalesce(F.try_element_at("__c", F.lit(3)), F.lit(""))).alias("qualifier"), pick((1, 1, 1), F.lit("")).alias("file"), pick((2, 2, F.lit("0")), F.lit("0")).cast("int").alias("line")).filter("bytes is not null and func <> ''")
 
 
 def read_frames(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,37 +95,33 @@ def shell_split(command: pd.Series) -> pd.Series:
     return command.map(lambda c: None if c is None else shlex.split(c))
 
 
-_PATH_FLAGS = ("-I", "-isystem", "-iquote", "-idirafter")
+# Flags that say nothing about what a unit calls, and flags that take a folder.
+DROPPED = frozenset("-c -S -MMD -MD -MP -w".split())
+DROPPED_STARTS = ("-fstack-usage", "-fdump-")
+FOLDER_FLAGS = frozenset("-isystem -iquote -idirafter".split())
+INPUTS = (*SOURCES, ".o")
 
 
 def clean_args(args: list[str], directory: str) -> list[str]:
-    """Compiler arguments without compiler, sources, outputs, dependency, dump and warning flags;
-    include folders made absolute."""
-    out, i = [], 0
-    args = list(args)
-    first = True
-    while i < len(args):
-        a = args[i]
-        i += 1
-        if first and not a.startswith("-"):
-            first = False
-            continue
-        first = False
+    """Compiler arguments without the compiler itself, inputs, outputs, dependency, dump and warning
+    flags; include folders absolute, those of -I joined to the flag."""
+    out: list[str] = []
+    rest = iter(args[1:])
+    place = lambda p: os.path.normpath(os.path.join(directory, p)) if p and not os.path.isabs(p) else p
+    for a in rest:
         if a == "-o":
-            i += 1
-            continue
-        if a in ("-c", "-S", "-MMD", "-MD", "-MP", "-w") or a.startswith(("-o", "-fstack-usage", "-fdump-", "-W")):
+            next(rest, None)
+        elif a in DROPPED or a.startswith(DROPPED_STARTS) or a.startswith("-W") and a != "-W" or a.endswith(INPUTS):
             continue
-        flag = next((f for f in sorted(_PATH_FLAGS, key=len, reverse=True) if a.startswith(f)), None)
-        if flag:
-            p = a[len(flag) :]
-            if not p and i < len(args):
-                p, i = args[i], i + 1
-            out += [flag, os.path.normpath(os.path.join(directory, p))] if a == flag else [flag + os.path.normpath(os.path.join(directory, p))]
-            continue
-        if not a.startswith("-") and a.lower().endswith((*SOURCES, ".o", ".obj")):
-            continue
-        out.append(a)
+        elif a in FOLDER_FLAGS:
+            if (p := next(rest, None)) is not None:
+                out += [a, place(p)]
+        elif a.startswith("-I"):
+            p = a[2:] or next(rest, None)
+            if a != "-I" or p is not None:
+                out.append("-I" + place(p))
+        else:
+            out.append(a)
     return out
 
 
@@ -154,18 +157,26 @@ def merge_facts(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return tables | {"fn_defs": defs}
 
 
-def suggest_targets(tables: dict[str, DataFrame], max_hops: int = 16) -> DataFrame:
+def suggest_targets(tables: dict[str, DataFrame], max_hops: int = 1000) -> DataFrame:
     """(callee, idx, func): functions that may arrive at a parameter, following forwards; a
     suggestion for overrides, never an edge."""
     have = tables["arg_funcs"].select("callee", "idx", F.explode("funcs").alias("func"))
     fwd = tables["param_fwd"].select("callee", "idx", F.col("src").alias("f"), F.col("src_idx").alias("fi"))
     new = have
     for _ in range(max_hops):
-        new = new.toDF("f", "fi", "func").join(fwd, ["f", "fi"]).select("callee", "idx", "func").distinct().join(have, ["callee", "idx", "func"], "left_anti")
+        new = durable(new.toDF("f", "fi", "func").join(fwd, ["f", "fi"]).select("callee", "idx", "func").distinct().join(have, ["callee", "idx", "func"], "left_anti"))
         if new.isEmpty():
-            break
+            return have
         have = have.union(new)
-    return have
+    raise RuntimeError(f"functions still arrive at parameters after {max_hops} forwards")
+
+
+def suggestions(sites: DataFrame, functions: DataFrame, suggested: DataFrame) -> DataFrame:
+    """(caller_usr, line, via, funcs): for each call through a parameter, the functions that may
+    arrive there; sites of fact_tables, functions(usr, name), suggested(callee, idx, func)."""
+    s = sites.filter("via_param >= 0").join(functions.select(F.col("usr").alias("caller_usr"), F.col("name").alias("callee")), "caller_usr")
+    s = s.join(suggested.withColumnRenamed("idx", "via_param"), ["callee", "via_param"])
+    return s.groupBy("caller_usr", "line", "via").agg(F.sort_array(F.collect_set("func")).alias("funcs"))
 
 
 def load_rules(text: str | None, key: str) -> list[dict]:

@@ -7,6 +7,7 @@ import json
 import logging
 import time
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
@@ -39,12 +40,37 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def result_document(rows: DataFrame, roots: DataFrame, meta: dict) -> str:
-    """The whole result as one JSON text, streamed row by row to the driver; for small graphs."""
+def document_parts(rows: DataFrame, roots: DataFrame, meta: dict) -> Iterator[str]:
+    """The whole result as one JSON text, part by part; one partition of rows is on the driver at a time."""
+    yield '{"byName":{'
     body = rows.select(F.col("id").cast("string").alias("k"), F.to_json(F.struct(*rows.columns)).alias("v")).toLocalIterator()
-    by_name = ",".join(f"{json.dumps(r.k)}:{r.v}" for r in body)
-    names = {k: sorted(str(r.root) for r in roots.filter(c).select("root").toLocalIterator()) for k, c in (("roots", F.lit(True)), ("pinnedRoots", F.col("is_pinned")), ("autoRoots", F.col("is_auto")))}
-    return "{" + f'"byName":{{{by_name}}},' + json.dumps(names)[1:-1] + f',"meta":{json.dumps(meta)}' + "}"
+    for i, r in enumerate(body):
+        yield f"{',' if i else ''}{json.dumps(r.k)}:{r.v}"
+    yield "}"
+    for k, c in (("roots", F.lit(True)), ("pinnedRoots", F.col("is_pinned")), ("autoRoots", F.col("is_auto"))):
+        yield f',"{k}":['
+        for i, r in enumerate(roots.filter(c).select(F.col("root").cast("string").alias("root")).orderBy("root").toLocalIterator()):
+            yield f"{',' if i else ''}{json.dumps(r.root)}"
+        yield "]"
+    yield f',"meta":{json.dumps(meta)}}}'
+
+
+def result_document(rows: DataFrame, roots: DataFrame, meta: dict) -> str:
+    """The same as one string; for small graphs."""
+    return "".join(document_parts(rows, roots, meta))
+
+
+def write_text(parts: Iterable[str], path: str) -> None:
+    """Parts of a text to a file of the driver, one after the other."""
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.writelines(parts)
+
+
+def csv_parts(rows: DataFrame, columns: dict[str, str]) -> Iterator[str]:
+    """CSV of rows under other headings: {heading: column}."""
+    yield ",".join(columns) + "\r\n"
+    for r in csv_lines(rows, list(columns.values())).toLocalIterator():
+        yield r.value + "\r\n"
 
 
 def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -57,8 +83,16 @@ def write_csv(rows: DataFrame, columns: list[str], path: str) -> None:
     rows.select(*[F.col(c).cast("string").alias(c) for c in columns]).na.fill("").write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
-CLI_COLUMNS = ["name", "file", "line", "frame", "peak", "severity", "recursive", "depth", "callees"]
-HOST_COLUMNS = ["name", "file", "root", "root_kind", "depth", "own_frame", "peak", "bounded", "recursive", "ghost", "severity"]
+# Headings of the two CSV reports and the columns they show.
+CLI_COLUMNS = {"function": "name", "file": "file", "line": "line", "frame_bytes": "frame", "peak_bytes": "peak", "peak_bounded": "bounded_text", "max_depth": "depth", "recursive": "recursive_text", "severity": "severity", "callees": "callees"}
+HOST_COLUMNS = {"function": "name", "file": "file", "line": "line", "root": "root", "root_kind": "root_kind", "longest_calls_into": "depth", "own_frame_bytes": "own_frame", "own_qualifier": "own_qualifier", "peak_stack_bytes": "peak", "peak_bounded": "bounded_text", "recursive": "recursive_text", "ghost": "ghost_text", "severity": "severity"}
+
+
+def with_flags(rows: DataFrame) -> DataFrame:
+    """rows with yes or no beside each flag."""
+    have = [c for c in ("bounded", "recursive", "ghost") if c in rows.columns]
+    return rows.select("*", *(F.when(F.col(c), "yes").otherwise("no").alias(c + "_text") for c in have))
+
 
 _PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title>
 <style>body{{font:14px sans-serif}}td,th{{padding:2px 8px;text-align:left}}.critical{{color:#b00}}.warn{{color:#a60}}.card{{display:inline-block;margin:4px;padding:8px;border:1px solid #ccc}}</style>
@@ -73,14 +107,19 @@ rows.sort((a,b)=>(k(a)>k(b)?1:k(a)<k(b)?-1:0)*(h.d?-1:1)).forEach(r=>r.parentNod
 """
 
 
-def html_report(rows: DataFrame, columns: list[str], cards: dict, title: str = "Report", note: str = "") -> str:
-    """A page with summary cards and a table that sorts and filters; rows stream to the driver."""
+def html_parts(rows: DataFrame, columns: list[str], cards: dict, title: str = "Report", note: str = "") -> Iterator[str]:
+    """A page with summary cards and a table that sorts and filters, part by part."""
     esc = lambda x: html.escape("" if x is None else str(x))
-    out = [_PAGE.format(title=esc(title), note=esc(note), head="".join(f"<th>{esc(c)}</th>" for c in columns), cards="".join(f'<span class="card">{esc(k)}: <b>{esc(v)}</b></span>' for k, v in cards.items()))]
+    yield _PAGE.format(title=esc(title), note=esc(note), head="".join(f"<th>{esc(c)}</th>" for c in columns), cards="".join(f'<span class="card">{esc(k)}: <b>{esc(v)}</b></span>' for k, v in cards.items()))
     for r in rows.select(*columns).toLocalIterator():
         css = r["severity"] if "severity" in columns else ""
-        out.append(f'<tr class="{esc(css)}">' + "".join(f"<td>{esc(r[c])}</td>" for c in columns) + "</tr>\n")
-    return "".join([*out, _SCRIPT])
+        yield f'<tr class="{esc(css)}">' + "".join(f"<td>{esc(r[c])}</td>" for c in columns) + "</tr>\n"
+    yield _SCRIPT
+
+
+def html_report(rows: DataFrame, columns: list[str], cards: dict, title: str = "Report", note: str = "") -> str:
+    """The same page as one string; for small graphs."""
+    return "".join(html_parts(rows, columns, cards, title, note))
 
 
 def template_json(entries: DataFrame, coverage: DataFrame) -> str:
