@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixpoint import connected_components
 from ..fixpoint import durable as durable
 from . import rules as _rules  # noqa: F401  (conditions of conditional_per_root)
 
@@ -26,12 +27,12 @@ def closure_doubling(edges: DataFrame, max_iter: int = 40) -> DataFrame:
         r = durable(r.union(step).distinct())
         now = r.count()
         if now == n:
-            break
+            return r
         n = now
-    return r
+    raise RuntimeError(f"the closure still grows after {max_iter} rounds")
 
 
-def closure_seeded(edges: DataFrame, seeds: DataFrame, max_iter: int = 1000) -> DataFrame:
+def closure_seeded(edges: DataFrame, seeds: DataFrame, max_iter: int = 100_000) -> DataFrame:
     """(seed, node): nodes that each seed reaches, itself included. Only new pairs move on."""
     e = durable(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
     seen = durable(seeds.select("seed", F.col("seed").alias("node")).distinct())
@@ -39,9 +40,9 @@ def closure_seeded(edges: DataFrame, seeds: DataFrame, max_iter: int = 1000) ->
     for _ in range(max_iter):
         new = durable(new.join(e, "node").select("seed", F.col("next").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti"))
         if new.isEmpty():
-            break
+            return durable(seen)
         seen = seen.union(new)
-    return durable(seen)
+    raise RuntimeError(f"the closure still grows after {max_iter} rounds")
 
 
 def trim(edges: DataFrame, max_iter: int = 1000) -> DataFrame:
@@ -65,7 +66,7 @@ def _scc_colour(e: DataFrame, max_iter: int = 10_000) -> DataFrame:
     e = durable(e)
     for _ in range(max_iter):
         if e.isEmpty():
-            break
+            return found
         nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
         colour = durable(nodes.select("id", F.col("id").alias("c")))
         while True:
@@ -80,7 +81,7 @@ def _scc_colour(e: DataFrame, max_iter: int = 10_000) -> DataFrame:
         found = comp if found is None else found.union(comp)
         gone = comp.select("id")
         e = trim(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
-    return found
+    raise RuntimeError(f"components are left after {max_iter} colourings")
 
 
 def components(nodes: DataFrame, edges: DataFrame, limit: int = DOUBLING_LIMIT) -> DataFrame:
@@ -164,6 +165,8 @@ def relax_down(nodes: DataFrame, edges: DataFrame, max_iter: int = 10_000) -> Da
         new = nxt.filter("rose").select("id", "peak", "down", "rec")
         if new.isEmpty():
             break
+    else:
+        raise RuntimeError(f"values still rise after {max_iter} rounds")
     out = state.select("id", "peak", "down", "rec")
     if tail is not None:
         ends = out.select(F.col("id").alias("t"), "peak", "down", "rec")
@@ -255,7 +258,7 @@ def conditional_per_root(nodes: DataFrame, edges: DataFrame, roots: DataFrame, c
     key = lambda a, m: F.concat_ws("\u0001", "root", a, F.col(m).cast("string"))
     seen = durable(roots.select("root", F.col("root").alias("id")).join(n, "id").select("root", "id", F.col("bit").alias("mask")))
     new, steps = seen, None
-    for _ in range(max_depth * 4):
+    for _ in range(max_depth * (len(bits) + 1) + 1):  # a path of max_depth nodes changes its mask at most len(bits) times
         go = new.withColumnRenamed("id", "src").join(e, "src").filter(holds).select("root", "src", "mask", F.col("dst").alias("id"), F.col("mask").bitwiseOR(F.col("dbit")).alias("to"))
         go = durable(go.select(key("src", "mask").alias("src"), key("id", "to").alias("dst"), "root", "id", F.col("to").alias("mask")))
         steps = go.select("src", "dst") if steps is None else steps.union(go.select("src", "dst"))
@@ -263,6 +266,8 @@ def conditional_per_root(nodes: DataFrame, edges: DataFrame, roots: DataFrame, c
         if new.isEmpty():
             break
         seen = durable(seen.union(new))
+    else:
+        raise RuntimeError("conditional paths go deeper than max_depth allows")
     states = durable(seen.join(n.select("id", "frame"), "id").select("root", F.col("id").alias("node"), "mask", "frame", key("id", "mask").alias("id")))
     steps = durable(steps.distinct())
     pk = peaks(states.select("id", "frame"), steps)
@@ -279,8 +284,8 @@ def replay_peaks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, peak, down_depth) in the visiting order of a memoised depth-first walk in which a
     revisited node returns its own frame: an order-dependent legacy model of cycles.
 
-    Only nodes that reach a cycle are replayed, in one group: such sub-graphs are small by nature;
-    nodes(id, frame, ord), edges(src, dst, seq).
+    Only nodes that reach a cycle are replayed; parts of that sub-graph that share no call are
+    independent of each other and go to a task each. nodes(id, frame, ord), edges(src, dst, seq).
     """
     pk = peaks(nodes, edges)
     bad = pk.filter("bounded").select("id")
@@ -330,7 +335,9 @@ def replay_peaks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         ids = list(frame)
         return pd.DataFrame({"id": pd.Series(ids).astype(own.id.dtype), "peak": [done[i][0] for i in ids], "down_depth": [done[i][1] for i in ids]})
 
-    again = rows.unionByName(arcs).withColumn("__g", F.lit(1)).groupBy("__g").applyInPandas(walk, f"id {kind}, peak long, down_depth int")
+    inner = e.join(bad.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    parts = connected_components(inner).withColumnRenamed("v", "id")
+    again = rows.unionByName(arcs).join(parts, "id", "left").withColumn("__g", F.coalesce("component", "id")).drop("component").groupBy("__g").applyInPandas(lambda pdf: walk(pdf.drop(columns="__g")), f"id {kind}, peak long, down_depth int")
     return rest.union(again)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import program
 from ..functions import scalars as S
 from ..operators import explore, metrics, resolve, rules, views
 from ..sources import readers
@@ -47,14 +48,17 @@ def frames(spark, sf):
 # Sources.
 
 
-@query("SELECT CAST(l_partkey AS VARCHAR) AS func, max(CAST(l_quantity AS BIGINT) * 16) AS bytes FROM lineitem GROUP BY 1", graph=False)
+FRAME_ROWS = "R AS (SELECT CAST(l_partkey AS VARCHAR) AS func, 'u' || CAST(l_suppkey AS VARCHAR) AS stem, 'src/u' || CAST(l_suppkey AS VARCHAR) || '.c' AS file, CAST(l_linenumber AS INTEGER) AS line, CAST(l_quantity AS BIGINT) * 16 AS bytes FROM lineitem)"
+
+
+@query(f"WITH {FRAME_ROWS}, O AS (SELECT *, row_number() OVER (PARTITION BY func ORDER BY bytes DESC, file, line) AS r FROM R) SELECT func, bytes, file, line FROM O WHERE r = 1", graph=False)
 def frame_max_by_func(spark, sf):
-    return readers.frame_index(frames(spark, sf))[0].select("func", "bytes")
+    return readers.frame_index(frames(spark, sf))[0].select("func", "bytes", "file", "line")
 
 
-@query("SELECT 'u' || CAST(l_suppkey AS VARCHAR) AS stem, CAST(l_partkey AS VARCHAR) AS func, max(CAST(l_quantity AS BIGINT) * 16) AS bytes FROM lineitem GROUP BY 1, 2", graph=False)
+@query(f"WITH {FRAME_ROWS}, O AS (SELECT *, row_number() OVER (PARTITION BY stem, func ORDER BY bytes DESC, file, line) AS r FROM R) SELECT stem, func, bytes, line FROM O WHERE r = 1", graph=False)
 def frame_max_by_file_func(spark, sf):
-    return readers.frame_index(frames(spark, sf))[1].select("stem", "func", "bytes")
+    return readers.frame_index(frames(spark, sf))[1].select("stem", "func", "bytes", "line")
 
 
 @query("SELECT CAST(l_partkey AS VARCHAR) AS func, CAST(l_quantity AS BIGINT) * 16 AS bytes, 'static' AS qualifier, 'src/u' || CAST(l_suppkey AS VARCHAR) || '.c' AS file, CAST(l_linenumber AS INTEGER) AS line FROM lineitem", graph=False)
@@ -63,6 +67,16 @@ def frame_line_parse(spark, sf):
     return readers.parse_frames(t)
 
 
+@query("""WITH R AS (SELECT l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, l_returnflag AS f, l_linenumber % 4 AS shape FROM lineitem)
+SELECT 'fn' || CAST(l_partkey AS VARCHAR) AS func, q AS bytes, CASE WHEN shape = 3 THEN '' ELSE 'C:/d/u' || CAST(l_suppkey AS VARCHAR) || '.c' END AS file, CAST(CASE WHEN shape < 2 THEN l_linenumber ELSE 0 END AS INTEGER) AS line, f AS qualifier FROM R""", graph=False)
+def frame_shapes(spark, sf):
+    li = D.table(spark, sf, "lineitem")
+    func, file, shape = F.concat(F.lit("fn"), F.col("l_partkey")), F.concat(F.lit("C:/d/u"), F.col("l_suppkey"), F.lit(".c")), F.col("l_linenumber") % 4
+    place = F.when(shape == 0, F.concat_ws(":", file, "l_linenumber", F.lit("9"), func)).when(shape == 1, F.concat_ws(":", file, "l_linenumber", func)).when(shape == 2, F.concat_ws(":", file, func)).otherwise(func)
+    gap = F.when(shape == 3, " ").otherwise("\t")
+    return readers.parse_frames(li.select(F.concat(place, gap, F.col("l_quantity").cast("long"), gap, "l_returnflag").alias("value")))
+
+
 @query("SELECT CAST(n AS BIGINT) AS id, 'fn_' || lpad(CAST(n AS VARCHAR), 4, '0') AS name, CAST(CASE WHEN n >= 60 AND n < 260 THEN 32 + 8 * (n % 7) ELSE 16 + (48 * n) % 1600 + CASE WHEN n >= 20 AND n < 60 THEN 512 ELSE 0 END END AS BIGINT) AS frame FROM range(3000) t(n)", graph=False)
 def synthetic_topology(spark, sf):
     return readers.synthetic_graph(spark)[0].select(long("id"), "name", "frame")
@@ -118,10 +132,10 @@ def path_filter(spark, sf):
     return views.filter_list(D.nodes(spark, sf), "#1", "file", "name").select("id", "name", "file")
 
 
-@query("""SELECT id, name, CASE WHEN lower(name) = 'part' THEN 0 WHEN starts_with(lower(name), 'part') THEN 1 ELSE 2 END AS rank FROM V
-WHERE contains(lower(name), 'part') ORDER BY 3, 2, 1 LIMIT 200""")
+@query("""SELECT id, name, CASE WHEN lower(name) = 'ring' THEN 0 WHEN starts_with(lower(name), 'ring') THEN 1 ELSE 2 END AS rank FROM V
+WHERE contains(lower(name), 'ring') ORDER BY 3, 2, 1 LIMIT 200""")
 def symbol_search(spark, sf):
-    return views.search(D.nodes(spark, sf).select("id", "name"), "part")
+    return views.search(D.nodes(spark, sf).select("id", "name"), "ring")
 
 
 @query("WITH H AS (SELECT id, CAST(id AS VARCHAR) AS s FROM V) SELECT id, CASE WHEN instr(s, '1') > 0 THEN substr(s, 1, instr(s, '1') - 1) || '[1]' || substr(s, instr(s, '1') + 1) ELSE s END AS text FROM H")
@@ -187,7 +201,7 @@ def callee_resolution(spark, sf):
     return resolve.resolve_calls(c.select("src", "src_file", "callee", "seq"), n).withColumn("seq", F.col("seq").cast("int"))
 
 
-OVERRIDES = [{"caller": f"f{i}", **({"file": f"a/Brand#{11 + i}"} if i % 2 else {}), **({"line": i % 50 + 1} if i % 3 == 0 else {}), **({"via": f"v{i % 4}"} if i % 5 == 0 else {}), "targets": [f"t{i}"]} for i in range(40)] + [{"caller": f"f{i}", "targets": ["x"]} for i in range(0, 40, 2)]
+OVERRIDES = [{"caller": f"f{i}", **({"conditional": [{"when": {"fromRoot": "m"}, "targets": [f"c{i}"]}]} if i in (7, 9) else {}), **({"file": f"a/Brand#{11 + i}"} if i % 2 else {}), **({"line": i % 50 + 1} if i % 3 == 0 else {}), **({"via": f"v{i % 4}"} if i % 5 == 0 else {}), "targets": [f"t{i}"]} for i in range(40)] + [{"caller": f"f{i}", "targets": ["x"]} for i in range(0, 40, 2)]
 _RULES_SQL = "RULES(rule, caller, file, line, via) AS (VALUES " + ", ".join(f"({i}, '{r['caller']}', {repr(r['file'].split('/')[-1]) if 'file' in r else 'NULL'}, {r.get('line', 'NULL')}, {repr(r['via']) if 'via' in r else 'NULL'})" for i, r in enumerate(OVERRIDES)) + ")"
 SITES_SQL = "SITES AS (SELECT src * 1000003 + dst AS site, 'f' || CAST(src % 60 AS VARCHAR) AS caller, V.file AS file, CAST(src % 50 + 1 AS INTEGER) AS line1, 'v' || CAST(dst % 4 AS VARCHAR) AS via FROM E_dag JOIN V ON V.id = src WHERE indirect)"
 MATCH_SQL = f"""{_RULES_SQL}, {SITES_SQL}, SC AS (SELECT s.site, r.rule, row_number() OVER (PARTITION BY s.site ORDER BY (CASE WHEN r.file IS NULL THEN 0 ELSE 1 END) + (CASE WHEN r.line IS NULL THEN 0 ELSE 1 END) + (CASE WHEN r.via IS NULL THEN 0 ELSE 1 END) DESC, r.rule) AS k
@@ -216,10 +230,11 @@ def unused_overrides(spark, sf):
     return rules.unused_overrides(table, m).select("rule", "caller")
 
 
-@query(f"WITH {MATCH_SQL} SELECT DISTINCT B.caller, CASE WHEN B.rule < 40 THEN 't' || CAST(B.rule AS VARCHAR) ELSE 'x' END AS callee FROM B WHERE B.rule IS NOT NULL")
+@query(f"""WITH {MATCH_SQL} SELECT DISTINCT B.caller, CASE WHEN B.rule < 40 THEN 't' || CAST(B.rule AS VARCHAR) ELSE 'x' END AS callee, true AS verified, CAST(NULL AS INTEGER) AS cond_id FROM B WHERE B.rule IS NOT NULL
+UNION ALL SELECT DISTINCT B.caller, 'c' || CAST(B.rule AS VARCHAR), false, CAST(CASE B.rule WHEN 7 THEN 0 ELSE 1 END AS INTEGER) FROM B WHERE B.rule IN (7, 9)""")
 def override_edges(spark, sf):
     m, _ = matched(spark, sf)
-    return rules.bind(m, OVERRIDES)[0].select("caller", "callee").distinct()
+    return rules.bind(m, OVERRIDES)[0].select("caller", "callee", "verified", "cond_id")
 
 
 @query(f"WITH {MATCH_SQL} SELECT 'bind targets of ' || via AS _hint, caller, file, CASE WHEN c > 1 THEN via END AS via FROM (SELECT *, count(*) OVER (PARTITION BY caller) AS c FROM B) WHERE rule IS NULL")
@@ -228,22 +243,22 @@ def fp_template(spark, sf):
     return views.template(s)[0].drop("targets")
 
 
-@query(f"WITH {MATCH_SQL} SELECT caller AS id, count(*) AS sites FROM B WHERE rule IS NULL GROUP BY caller")
+@query(f"WITH {MATCH_SQL} SELECT caller AS id, count(*) AS sites, CAST(substr(caller, 2) AS BIGINT) * 100 AS peak FROM B WHERE rule IS NULL GROUP BY caller")
 def fp_sites_list(spark, sf):
     _, s, _ = rules.bind(matched(spark, sf)[0], OVERRIDES)
     s = s.withColumnRenamed("caller", "id")
-    return views.unbound_sites(s, s.select("id", F.lit(0).alias("peak")).distinct()).select("id", "sites")
+    return views.unbound_sites(s, s.select("id", (F.substring("id", 2, 9).cast("long") * 100).alias("peak")).distinct())
 
 
-REMOVALS = [{"callee": "5"}, {"callee": "11", "caller": "*"}, {"callee": "17", "file": "x/Brand#13"}, {"callee": "23", "when": {"callerContains": "6"}}, {"callee": "29", "when": {"any": [{"fromRoot": "12"}, {"not": {"callerContains": "18"}}]}}, {"callee": "35", "when": {"all": [{"callerContains": "6"}, {"callerContains": "12"}]}}, {"callee": "nobody"}, {"callee": "41", "caller": "3"}]
+REMOVALS = [{"callee": "177"}, {"callee": "27", "caller": "*"}, {"callee": "25", "file": "x/Brand#5"}, {"callee": "62", "when": {"callerContains": "162"}}, {"callee": "42", "when": {"any": [{"fromRoot": "65"}, {"not": {"callerContains": "4"}}]}}, {"callee": "46", "when": {"all": [{"callerContains": "162"}, {"callerContains": "65"}]}}, {"callee": "nobody"}, {"callee": "50", "caller": "7"}]
 REMOVE_SQL = """E AS (SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, V.file AS file FROM E_dag JOIN V ON V.id = src),
-L AS (SELECT * FROM E WHERE NOT (dst = '5' OR dst = '11' OR (dst = '17' AND file = 'Brand#13'))),
-R AS (SELECT s, s AS n FROM (VALUES ('6'), ('12'), ('18')) t(s) UNION SELECT R.s, L.dst FROM R JOIN L ON L.src = R.n),
-H AS (SELECT src, dst, 0 AS rule FROM E WHERE dst = '5' UNION ALL SELECT src, dst, 1 FROM E WHERE dst = '11' UNION ALL SELECT src, dst, 2 FROM E WHERE dst = '17' AND file = 'Brand#13'
-UNION ALL SELECT src, dst, 3 FROM E WHERE dst = '23' AND EXISTS (SELECT 1 FROM R WHERE s = '6' AND n = src)
-UNION ALL SELECT src, dst, 4 FROM E WHERE dst = '29' AND (EXISTS (SELECT 1 FROM R WHERE s = '12' AND n = src) OR NOT EXISTS (SELECT 1 FROM R WHERE s = '18' AND n = src))
-UNION ALL SELECT src, dst, 5 FROM E WHERE dst = '35' AND EXISTS (SELECT 1 FROM R WHERE s = '6' AND n = src) AND EXISTS (SELECT 1 FROM R WHERE s = '12' AND n = src)
-UNION ALL SELECT src, dst, 7 FROM E WHERE dst = '41' AND src = '3')"""
+L AS (SELECT * FROM E WHERE NOT (dst = '177' OR dst = '27' OR (dst = '25' AND file = 'Brand#5'))),
+R AS (SELECT s, s AS n FROM (VALUES ('162'), ('65'), ('4')) t(s) UNION SELECT R.s, L.dst FROM R JOIN L ON L.src = R.n),
+H AS (SELECT src, dst, 0 AS rule FROM E WHERE dst = '177' UNION ALL SELECT src, dst, 1 FROM E WHERE dst = '27' UNION ALL SELECT src, dst, 2 FROM E WHERE dst = '25' AND file = 'Brand#5'
+UNION ALL SELECT src, dst, 3 FROM E WHERE dst = '62' AND EXISTS (SELECT 1 FROM R WHERE s = '162' AND n = src)
+UNION ALL SELECT src, dst, 4 FROM E WHERE dst = '42' AND (EXISTS (SELECT 1 FROM R WHERE s = '65' AND n = src) OR NOT EXISTS (SELECT 1 FROM R WHERE s = '4' AND n = src))
+UNION ALL SELECT src, dst, 5 FROM E WHERE dst = '46' AND EXISTS (SELECT 1 FROM R WHERE s = '162' AND n = src) AND EXISTS (SELECT 1 FROM R WHERE s = '65' AND n = src)
+UNION ALL SELECT src, dst, 7 FROM E WHERE dst = '50' AND src = '7')"""
 
 
 def _named(spark, sf):
@@ -257,7 +272,7 @@ def edge_removal_conditional(spark, sf):
     return rules.prune_edges(e, REMOVALS, n)[0].select("src", "dst")
 
 
-@query("WITH E AS (SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, V.file AS file FROM E_dag JOIN V ON V.id = src) SELECT src, dst FROM E WHERE NOT (dst = '5' OR dst = '11' OR (dst = '17' AND file = 'Brand#13'))")
+@query("WITH E AS (SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, V.file AS file FROM E_dag JOIN V ON V.id = src) SELECT src, dst FROM E WHERE NOT (dst = '177' OR dst = '27' OR (dst = '25' AND file = 'Brand#5'))")
 def edge_removal(spark, sf):
     e, n = _named(spark, sf)
     return rules.prune_edges(e, REMOVALS[:3], n)[0].select("src", "dst")
@@ -269,6 +284,38 @@ def removal_unmatched(spark, sf):
     return rules.prune_edges(e, REMOVALS, n)[1].select("rule")
 
 
+# The whole program from unit facts.
+
+BINDINGS = [{"caller": "hot bolt", "via": "v1", "targets": ["blue ring", "no such name"]}, {"caller": "large ring", "conditional": [{"when": {"fromRoot": "hot bolt"}, "targets": ["red bolt"]}, {"when": {"fromRoot": "x"}, "targets": ["gone"]}]}, {"caller": "blue ring", "file": "x/Brand#14.c", "targets": ["hot bolt"]}]
+EXCLUDED = [{"callee": "small ring", "caller": "hot bolt"}, {"callee": "red ring", "file": "a/Brand#7.c"}]
+PROGRAM_SQL = """D AS (SELECT CAST(id AS VARCHAR) AS usr, id, name, 'src/' || file || '.c' AS file, CAST(substr(file, 7) AS INTEGER) AS u FROM V),
+RAW AS (SELECT a.usr, a.name AS caller, a.file, b.name AS callee, false AS indirect, CAST(NULL AS INTEGER) AS cond_id FROM E_dag JOIN D a ON a.id = src JOIN D b ON b.id = dst
+UNION ALL SELECT a.usr, a.name, a.file, t.callee, true, t.c FROM E_dag JOIN D a ON a.id = src JOIN (VALUES ('hot bolt', 'blue ring', NULL), ('large ring', 'red bolt', 0), ('blue ring', 'hot bolt', NULL)) t(caller, callee, c) ON t.caller = a.name
+WHERE E_dag.indirect AND (a.name = 'large ring' OR (a.name = 'hot bolt' AND dst % 4 = 1) OR (a.name = 'blue ring' AND a.file = 'src/Brand#14.c'))),
+M AS (SELECT r.*, d.usr AS dst, row_number() OVER (PARTITION BY r.usr, r.callee ORDER BY CASE WHEN d.file = r.file THEN 0 ELSE 1 END, d.u, d.id) AS k FROM (SELECT DISTINCT usr, file, callee FROM RAW) r JOIN D d ON d.name = r.callee),
+G AS (SELECT RAW.usr AS src, M.dst, min(RAW.indirect) AS indirect, CASE WHEN bool_and(RAW.cond_id IS NOT NULL) THEN max(RAW.cond_id) END AS cond_id, min(RAW.caller) AS caller, min(RAW.callee) AS callee, min(RAW.file) AS file FROM RAW JOIN M ON M.usr = RAW.usr AND M.callee = RAW.callee AND M.k = 1 GROUP BY RAW.usr, M.dst)"""
+
+
+def program_facts(spark, sf):
+    """Parts as functions of their brand's unit, the acyclic calls by name, pointers as call sites."""
+    n = D.nodes(spark, sf).withColumn("usr", F.col("id").cast("string")).withColumn("path", F.concat(F.lit("src/"), "file", F.lit(".c")))
+    unit = F.substring("file", 7, 9).cast("long")
+    e = D.dag(spark, sf).join(n.select(F.col("id").alias("src"), "usr", "file"), "src").join(n.select(F.col("id").alias("dst"), F.col("name").alias("callee")), "dst").withColumn("unit_ord", F.substring("file", 7, 9).cast("long"))
+    site = e.filter("indirect").select(F.col("file").alias("unit"), "unit_ord", (F.col("src") * 4096 + F.col("seq")).alias("seq"), F.col("usr").alias("caller_usr"), F.lit(1).alias("line"), F.concat(F.lit("v"), (F.col("dst") % 4).cast("string")).alias("via"), F.lit(-1).alias("via_param"))
+    return {
+        "fn_defs": n.select(F.col("file").alias("unit"), unit.alias("unit_ord"), F.col("id").alias("seq"), "usr", "name", F.col("path").alias("file"), F.col("decl_file"), F.lit(0).alias("line0"), F.lit(False).alias("is_static")),
+        "raw_calls": e.select(F.col("file").alias("unit"), "unit_ord", F.col("seq").cast("long").alias("seq"), "usr", "callee"),
+        "raw_sites": site,
+    }
+
+
+@query(f"WITH {PROGRAM_SQL} SELECT src, dst, indirect, cond_id FROM G WHERE NOT (callee = 'small ring' AND caller = 'hot bolt') AND NOT (callee = 'red ring' AND file = 'src/Brand#7.c')")
+def program_calls(spark, sf):
+    g = program.build(program_facts(spark, sf), BINDINGS, EXCLUDED)
+    usr = g.functions.select("id", "usr")
+    return g.calls.join(usr.toDF("src", "s"), "src").join(usr.toDF("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), "indirect", "cond_id")
+
+
 # Aggregates over edges.
 
 
@@ -393,19 +440,19 @@ CONDITIONS = [{"callerContains": "c1"}, {"any": [{"callerContains": "c2"}, {"not
 COND_SQL = """CN AS (SELECT id, frame, CASE WHEN id % 5 = 1 THEN 1 WHEN id % 5 = 2 THEN 2 ELSE 0 END AS bit FROM V),
 RT AS (SELECT id AS root FROM V WHERE id NOT IN (SELECT dst FROM E_dag)),
 CE AS (SELECT src, dst, CASE WHEN dst % 4 = 0 THEN 0 WHEN dst % 4 = 1 THEN 1 END AS c FROM E_dag),
-CP AS (SELECT root, root AS id, bit AS mask, frame AS v, 1 AS d FROM RT JOIN CN ON CN.id = root
-UNION ALL SELECT CP.root, CE.dst, CP.mask | CN.bit, CP.v + CN.frame, CP.d + 1 FROM CP JOIN CE ON CE.src = CP.id JOIN CN ON CN.id = CE.dst
+CP AS (SELECT root, root AS id, bit AS mask, frame AS v, 1 AS d, [root] AS p FROM RT JOIN CN ON CN.id = root
+UNION ALL SELECT CP.root, CE.dst, CP.mask | CN.bit, CP.v + CN.frame, CP.d + 1, list_append(CP.p, CE.dst) FROM CP JOIN CE ON CE.src = CP.id JOIN CN ON CN.id = CE.dst
 WHERE CE.c IS NULL OR (CE.c = 0 AND (CP.mask & 1) <> 0) OR (CE.c = 1 AND ((CP.mask & 2) <> 0 OR (CP.mask & 1) = 0)))"""
 
 
-@query(f"WITH {COND_SQL} SELECT root, id, CAST(max(d) AS INTEGER) AS depth, max(v) AS entry FROM CP GROUP BY root, id")
+@query(f"WITH {COND_SQL}, PKS AS (SELECT root, id, max(v) AS peak FROM (SELECT root, unnest(p) AS id, v FROM CP) GROUP BY root, id) SELECT CP.root, CP.id, CAST(max(d) AS INTEGER) AS depth, max(v) AS entry, CAST(max(PKS.peak) AS BIGINT) AS peak, false AS bounded FROM CP JOIN PKS ON PKS.root = CP.root AND PKS.id = CP.id GROUP BY CP.root, CP.id")
 def per_root_conditional(spark, sf):
     n, e = D.nodes(spark, sf), D.dag(spark, sf)
     # Watched functions are two of a graph whose ids stand for themselves: c1 and c2 are classes here.
     name = F.when(F.col("id") % 5 == 1, "c1").when(F.col("id") % 5 == 2, "c2")
     e = e.withColumn("cond_id", F.when(F.col("dst") % 4 == 0, 0).when(F.col("dst") % 4 == 1, 1))
     roots_ = metrics.find_roots(n, e)
-    return metrics.conditional_per_root(n.withColumn("watch", name), e, roots_, CONDITIONS).select("root", "id", "depth", "entry")
+    return metrics.conditional_per_root(n.withColumn("watch", name), e, roots_, CONDITIONS).select("root", "id", "depth", "entry", "peak", "bounded")
 
 
 @query()
@@ -414,9 +461,13 @@ def cycle_replay(spark, sf):
     return metrics.replay_peaks(n, D.cyclic(spark, sf))
 
 
-@query(f"WITH {PATHS_SQL} SELECT id, peak FROM PK")
+FEW_SQL = "F0 AS (SELECT id, CASE WHEN frame % 32 = 0 THEN frame END AS f FROM V), P AS (SELECT id AS s, id AS n, coalesce(f, 0) AS v, 1 AS d FROM F0 UNION ALL SELECT P.s, E_dag.dst, P.v + coalesce(F0.f, 0), P.d + 1 FROM P JOIN E_dag ON E_dag.src = P.n JOIN F0 ON F0.id = E_dag.dst)"
+
+
+@query(f"WITH {FEW_SQL}, K AS (SELECT id FROM F0 WHERE f IS NOT NULL UNION SELECT src FROM E_dag JOIN F0 ON F0.id = dst WHERE f IS NOT NULL) SELECT s AS id, CASE WHEN s IN (SELECT id FROM K) THEN CAST(max(v) AS BIGINT) END AS peak, false AS bounded FROM P GROUP BY s")
 def legacy_depths(spark, sf):
-    return metrics.legacy_depths(D.nodes(spark, sf), D.dag(spark, sf)).select("id", "peak")
+    n = D.nodes(spark, sf)
+    return metrics.legacy_depths(n.withColumn("frame", F.when(F.col("frame") % 32 == 0, F.col("frame"))), D.dag(spark, sf))
 
 
 # Exploration.
@@ -434,6 +485,24 @@ def neighborhood_nodes(spark, sf):
     return explore.neighbourhood(D.dag(spark, sf), FOCUS, 3, 4)[0]
 
 
+def _loop_focus(spark, sf):
+    on = metrics.components(D.nodes(spark, sf), D.cyclic(spark, sf)).filter("size > 2")
+    at = on.agg(F.min("id")).first()[0]
+    return FOCUS if at is None else at
+
+
+CYC_HOOD = f"""{SCC_SQL}, FO AS (SELECT coalesce(min(S.id), {FOCUS}) AS f FROM S WHERE scc IN (SELECT scc FROM S GROUP BY scc HAVING count(*) > 2)),
+DN AS (SELECT f AS id, 0 AS h FROM FO UNION SELECT E_cyc.dst, DN.h + 1 FROM DN JOIN E_cyc ON E_cyc.src = DN.id WHERE DN.h < 4),
+UP AS (SELECT f AS id, 0 AS h FROM FO UNION SELECT E_cyc.src, UP.h + 1 FROM UP JOIN E_cyc ON E_cyc.dst = UP.id WHERE UP.h < 3),
+LN AS (SELECT id, min(h) AS layer FROM DN GROUP BY id), LU AS (SELECT id, -min(h) AS layer FROM UP WHERE id NOT IN (SELECT id FROM LN) GROUP BY id),
+L AS (SELECT * FROM LN UNION ALL SELECT * FROM LU)"""
+
+
+@query(f"WITH {CYC_HOOD} SELECT src, dst, x.scc = y.scc AS recursive FROM E_cyc JOIN L a ON a.id = src JOIN L b ON b.id = dst JOIN S x ON x.id = src JOIN S y ON y.id = dst")
+def neighborhood_edges_cyclic(spark, sf):
+    return explore.neighbourhood(D.cyclic(spark, sf), _loop_focus(spark, sf), 3, 4)[1].select("src", "dst", "recursive")
+
+
 @query(f"WITH {HOOD_SQL} SELECT src, dst, ((a.layer < b.layer AND b.layer <= 0) OR (a.layer >= 0 AND a.layer < b.layer)) AS on_focus, false AS recursive FROM E_dag JOIN L a ON a.id = src JOIN L b ON b.id = dst")
 def neighborhood_edges(spark, sf):
     return explore.neighbourhood(D.dag(spark, sf), FOCUS, 3, 4)[1]
@@ -463,7 +532,11 @@ def paths_to(spark, sf):
     return explore.paths_to(n, D.dag(spark, sf), n).select("end", _text().alias("path"), "total")
 
 
-@query()
+@query("""WITH PT AS (SELECT id AS start, id AS n, frame AS total, 1 AS d, CAST(id AS VARCHAR) AS path, CAST('' AS VARCHAR) AS walk FROM V
+UNION ALL SELECT PT.start, E_dag.dst, PT.total + V.frame, PT.d + 1, PT.path || '>' || CAST(E_dag.dst AS VARCHAR), PT.walk || lpad(CAST(E_dag.seq AS VARCHAR), 6, '0') FROM PT JOIN E_dag ON E_dag.src = PT.n JOIN V ON V.id = E_dag.dst),
+FIRST20 AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY walk) AS k FROM PT WHERE n NOT IN (SELECT src FROM E_dag)),
+R AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY total DESC, k) AS rank FROM FIRST20 WHERE k <= 20)
+SELECT start, CAST(rank AS INTEGER) AS rank, path, total, false AS by_cycle, false AS by_depth FROM R WHERE rank <= 5""")
 def paths_capped(spark, sf):
     n = D.nodes(spark, sf)
     return explore.paths_capped(n, D.dag(spark, sf), n).select("start", "rank", _text().alias("path"), "total", "by_cycle", "by_depth")
@@ -560,14 +633,34 @@ def report_rows(spark, sf):
     return _report(spark, sf).select("id", "name", "root", "depth", "own_frame", "peak", "severity")
 
 
-@query(f"WITH {REPORT_SQL} SELECT count(*) AS rows, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warn') AS warn, CAST(0 AS BIGINT) AS bounded, CAST(0 AS BIGINT) AS recursive, CAST(0 AS BIGINT) AS ghosts FROM RP")
+CYC_SQL = CONDENSED_SQL + """, PKC AS (SELECT s AS scc, CAST(max(v) AS BIGINT) AS peak, bool_or(n IN (SELECT S.scc FROM REC JOIN S ON S.id = REC.id)) AS bounded FROM CP GROUP BY s),
+RTC AS (SELECT id AS root FROM V WHERE id NOT IN (SELECT dst FROM E_cyc)),
+PRC AS (SELECT r.root, b.id, CAST(max(CP.v) AS BIGINT) AS entry FROM RTC r JOIN S a ON a.id = r.root JOIN CP ON CP.s = a.scc JOIN S b ON b.scc = CP.n GROUP BY r.root, b.id),
+RR AS (SELECT V.id, coalesce(PRC.entry + PKC.peak - CAST(W.w AS BIGINT), PKC.peak) AS peak, PKC.bounded, V.id IN (SELECT id FROM REC) AS recursive, V.decl_file = 'PROMO' AS ghost,
+CASE WHEN PRC.root IS NULL THEN 'unreached' WHEN PRC.root = V.id THEN 'self' ELSE 'auto' END AS root_kind
+FROM V JOIN S ON S.id = V.id JOIN PKC ON PKC.scc = S.scc JOIN W ON W.scc = S.scc LEFT JOIN PRC ON PRC.id = V.id),
+RS AS (SELECT *, CASE WHEN peak <= 1024 THEN 'ok' WHEN peak <= 4096 THEN 'warn' ELSE 'critical' END AS severity FROM RR)"""
+
+
+def _cyclic_report(spark, sf):
+    n, e = D.nodes(spark, sf).withColumn("ghost", F.col("decl_file") == "PROMO"), D.cyclic(spark, sf)
+    a = metrics.analyse(n, e)
+    return views.report_rows(n, a["metrics"], a["per_root"], roots_only=False)
+
+
+@query(f"WITH {CYC_SQL} SELECT id, peak, bounded, recursive, ghost, root_kind, severity FROM RS")
+def report_rows_cyclic(spark, sf):
+    return _cyclic_report(spark, sf).select("id", "peak", "bounded", "recursive", "ghost", "root_kind", "severity")
+
+
+@query(f"WITH {CYC_SQL} SELECT count(*) AS rows, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warn') AS warn, count(*) FILTER (bounded) AS bounded, count(DISTINCT CASE WHEN recursive THEN id END) AS recursive, count(DISTINCT CASE WHEN ghost THEN id END) AS ghosts FROM RS")
 def report_totals(spark, sf):
-    return views.report_totals(_report(spark, sf))
+    return views.report_totals(_cyclic_report(spark, sf))
 
 
-@query(f"WITH {PATHS_SQL} SELECT count(*) FILTER (peak > 4096) AS critical, count(*) FILTER (peak > 1024 AND peak <= 4096) AS warning, CAST(0 AS BIGINT) AS recursive, count(*) AS functions FROM PK")
+@query(f"WITH {CYC_SQL} SELECT count(*) FILTER (PKC.peak > 4096) AS critical, count(*) FILTER (PKC.peak > 1024 AND PKC.peak <= 4096) AS warning, count(*) FILTER (V.id IN (SELECT id FROM REC)) AS recursive, count(*) AS functions FROM V JOIN S ON S.id = V.id JOIN PKC ON PKC.scc = S.scc")
 def report_cards(spark, sf):
-    return views.cards(metrics.peaks(D.nodes(spark, sf), D.dag(spark, sf)))
+    return views.cards(metrics.peaks(D.nodes(spark, sf), D.cyclic(spark, sf)))
 
 
 @query(f"WITH {PATHS_SQL}, C AS (SELECT src, string_agg(CAST(dst AS VARCHAR), ';' ORDER BY seq) AS c FROM E_dag GROUP BY src) SELECT V.id, V.frame, PK.peak, coalesce(C.c, '') AS callees FROM V JOIN PK ON PK.id = V.id LEFT JOIN C ON C.src = V.id")

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from .fixpoint import durable
 from .functions.scalars import matches_globs
 from .operators import metrics, resolve, rules, views
+from .schema import FRAMES
 from .sources import readers, sinks
 
 log = logging.getLogger("callweight")
-AFTER = 1 << 40  # bound calls follow a function's direct ones
 
 # Exit codes.
 NO_BUILD_DB, NO_FACTS = 2, 3
@@ -145,7 +145,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if args.cache_dir:
         sinks.write_unit_facts(facts.withColumn("unit_key", F.md5("unit")), args.cache_dir)
     tables = readers.merge_facts(readers.fact_tables(facts))
-    frames = readers.read_frames(spark, args.su_dir) if args.su_dir else spark.createDataFrame([], "func string, bytes long, qualifier string, file string, line int")
+    frames = readers.read_frames(spark, args.su_dir) if args.su_dir else spark.createDataFrame([], FRAMES)
     got = run(tables, frames, _rules(args.fp_overrides, "overrides"), _rules(args.edge_removals, "removals"), args.root_pattern, args.max_depth)
     meta = {"root": args.root, "suDir": args.su_dir, "fileCount": units.count(), "functionCount": got["functions"].count(), "generatedAt": time.strftime("%Y-%m-%dT%H:%M:%S")}
     drawn = got["functions"].drop("ord")

@@ -1,4 +1,4 @@
-"""Table schemas: facts as scanned, the resolved graph, and results."""
+"""Schemas of what is read: build databases, unit facts, frames."""
 
 FACTS = (
     "unit string, "
@@ -10,11 +10,4 @@ FACTS = (
     "includes array<string>"
 )
 FRAMES = "func string, bytes long, qualifier string, file string, line int"
-FUNCTIONS = "id string, name string, file string, decl_file string, line0 int, is_static boolean, usr string, frame long, qualifier string, ghost boolean, ord int"
-CALLS = "src string, dst string, seq int, indirect boolean, cond_id int"
-FP_SITES = "id string, line1 int, via string, via_param int, overridden boolean, candidates array<string>"
-OVERRIDES = "rule int, caller string, file string, line int, via string, targets array<string>, conditional string"
-REMOVALS = "rule int, callee string, caller string, file string, cond string"
-METRICS = "id string, peak long, bounded boolean, recursive boolean, recursive_via_fp boolean, down_depth int, depth int, scc string, fp_verified boolean, is_pinned_root boolean, is_auto_root boolean"
-PER_ROOT = "id string, root string, depth int, entry long, peak long, bounded boolean, is_auto boolean, is_pinned boolean"
 BUILD_DB = "directory string, file string, command string, arguments array<string>"
