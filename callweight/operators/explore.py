@@ -32,11 +32,13 @@ def bfs(edges: DataFrame, start: DataFrame, hops: int | None = None) -> DataFram
 def neighbourhood(edges: DataFrame, focus, up: int, down: int, budget: int = BUDGET) -> tuple[DataFrame, DataFrame, bool]:
     """(nodes, edges, cut): nodes(id, layer, truncated_callees, truncated_callers) around a focus,
     positive layers below and negative above; a node on both sides is below. At most `budget`
-    nodes, the nearer first, below before above, then by id. edges(src, dst, on_focus, recursive).
+    nodes, the nearer first, below before above, then by id. edges(src, dst, on_focus, recursive,
+    indirect): recursive tells cycles inside the neighbourhood.
     """
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
-    e = durable(edges.select("src", "dst").distinct())
+    pointer = F.max("indirect") if "indirect" in edges.columns else F.lit(False)
+    e = durable(edges.groupBy("src", "dst").agg(pointer.alias("indirect")))
     at = spark.createDataFrame([(focus,)], f"id {kind}")
     below = bfs(e, at, down).withColumnRenamed("hop", "layer")
     above = bfs(reversed_edges(e), at, up).filter("hop > 0").join(below, "id", "left_anti").select("id", (-F.col("hop")).alias("layer"))
@@ -52,7 +54,7 @@ def neighbourhood(edges: DataFrame, focus, up: int, down: int, budget: int = BUD
     comp = components(n.select("id"), inside.select("src", "dst"))
     same = inside.join(comp.select(F.col("id").alias("src"), F.col("scc").alias("s")), "src").join(comp.select(F.col("id").alias("dst"), F.col("scc").alias("d")), "dst")
     on = ((F.col("lf") < F.col("lt")) & (F.col("lt") <= 0)) | ((F.col("lf") >= 0) & (F.col("lf") < F.col("lt"))) | (F.col("src") == F.col("dst"))
-    return nodes, same.select("src", "dst", on.alias("on_focus"), (F.col("s") == F.col("d")).alias("recursive")), cut
+    return nodes, same.select("src", "dst", on.alias("on_focus"), (F.col("s") == F.col("d")).alias("recursive"), "indirect"), cut
 
 
 def drill_down(depth: int | None) -> tuple[int, int]:

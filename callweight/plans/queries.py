@@ -495,15 +495,16 @@ CYC_HOOD = f"""{SCC_SQL}, FO AS (SELECT coalesce(min(S.id), {FOCUS}) AS f FROM S
 DN AS (SELECT f AS id, 0 AS h FROM FO UNION SELECT E_cyc.dst, DN.h + 1 FROM DN JOIN E_cyc ON E_cyc.src = DN.id WHERE DN.h < 4),
 UP AS (SELECT f AS id, 0 AS h FROM FO UNION SELECT E_cyc.src, UP.h + 1 FROM UP JOIN E_cyc ON E_cyc.dst = UP.id WHERE UP.h < 3),
 LN AS (SELECT id, min(h) AS layer FROM DN GROUP BY id), LU AS (SELECT id, -min(h) AS layer FROM UP WHERE id NOT IN (SELECT id FROM LN) GROUP BY id),
-L AS (SELECT * FROM LN UNION ALL SELECT * FROM LU)"""
+L AS (SELECT * FROM LN UNION ALL SELECT * FROM LU), EL AS (SELECT src, dst, indirect FROM E_cyc JOIN L a ON a.id = src JOIN L b ON b.id = dst),
+CL AS (SELECT src AS a, dst AS b FROM EL UNION SELECT CL.a, EL.dst FROM CL JOIN EL ON EL.src = CL.b)"""
 
 
-@query(f"WITH {CYC_HOOD} SELECT src, dst, x.scc = y.scc AS recursive FROM E_cyc JOIN L a ON a.id = src JOIN L b ON b.id = dst JOIN S x ON x.id = src JOIN S y ON y.id = dst")
+@query(f"WITH {CYC_HOOD} SELECT src, dst, indirect, src = dst OR EXISTS (SELECT 1 FROM CL WHERE a = EL.dst AND b = EL.src) AS recursive FROM EL")
 def neighborhood_edges_cyclic(spark, sf):
-    return explore.neighbourhood(D.cyclic(spark, sf), _loop_focus(spark, sf), 3, 4)[1].select("src", "dst", "recursive")
+    return explore.neighbourhood(D.cyclic(spark, sf), _loop_focus(spark, sf), 3, 4)[1].select("src", "dst", "indirect", "recursive")
 
 
-@query(f"WITH {HOOD_SQL} SELECT src, dst, ((a.layer < b.layer AND b.layer <= 0) OR (a.layer >= 0 AND a.layer < b.layer)) AS on_focus, false AS recursive FROM E_dag JOIN L a ON a.id = src JOIN L b ON b.id = dst")
+@query(f"WITH {HOOD_SQL} SELECT src, dst, ((a.layer < b.layer AND b.layer <= 0) OR (a.layer >= 0 AND a.layer < b.layer)) AS on_focus, false AS recursive, indirect FROM E_dag JOIN L a ON a.id = src JOIN L b ON b.id = dst")
 def neighborhood_edges(spark, sf):
     return explore.neighbourhood(D.dag(spark, sf), FOCUS, 3, 4)[1]
 
@@ -653,8 +654,15 @@ def report_rows_cyclic(spark, sf):
     return _cyclic_report(spark, sf).select("id", "peak", "bounded", "recursive", "ghost", "root_kind", "severity")
 
 
-@query(f"WITH {CYC_SQL} SELECT count(*) AS rows, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warn') AS warn, count(*) FILTER (bounded) AS bounded, count(DISTINCT CASE WHEN recursive THEN id END) AS recursive, count(DISTINCT CASE WHEN ghost THEN id END) AS ghosts FROM RS")
+@query(f"WITH {REPORT_SQL} SELECT count(*) AS rows, count(*) FILTER (RP.severity = 'critical') AS critical, count(*) FILTER (RP.severity = 'warn') AS warn, CAST(0 AS BIGINT) AS bounded, CAST(0 AS BIGINT) AS recursive, count(DISTINCT CASE WHEN V.decl_file = 'PROMO' THEN V.id END) AS ghosts FROM RP JOIN V ON V.id = RP.id")
 def report_totals(spark, sf):
+    n, e = D.nodes(spark, sf).withColumn("ghost", F.col("decl_file") == "PROMO"), D.dag(spark, sf)
+    a = metrics.analyse(n, e)
+    return views.report_totals(views.report_rows(n, a["metrics"], a["per_root"], roots_only=False))
+
+
+@query(f"WITH {CYC_SQL} SELECT count(*) AS rows, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warn') AS warn, count(*) FILTER (bounded) AS bounded, count(DISTINCT CASE WHEN recursive THEN id END) AS recursive, count(DISTINCT CASE WHEN ghost THEN id END) AS ghosts FROM RS")
+def report_totals_cyclic(spark, sf):
     return views.report_totals(_cyclic_report(spark, sf))
 
 

@@ -51,7 +51,7 @@ def build(tables: dict[str, DataFrame], overrides: Sequence[dict] = (), removals
     defs = tables["fn_defs"].withColumn("ord", F.struct("unit_ord", "seq"))
     f = durable(resolve.display_keys(defs).drop("unit", "unit_ord", "seq").withColumnRenamed("key", "id"))
     who = f.select("usr", F.col("id").alias("src"), F.col("file").alias("src_file"), F.col("name").alias("caller"))
-    direct = tables["raw_calls"].join(who, "usr").select("src", "src_file", "callee", F.struct(F.lit(0).alias("late"), "unit_ord", "seq").alias("at"), F.lit(False).alias("indirect"), F.lit(None).cast("int").alias("cond_id"))
+    direct = tables["raw_calls"].join(who, "usr").select("src", "src_file", "callee", F.struct(F.lit(0).alias("late"), F.col("unit_ord").cast("long").alias("unit_ord"), F.col("seq").cast("long").alias("seq")).alias("at"), F.lit(False).alias("indirect"), F.lit(None).cast("int").alias("cond_id"))
     sites = tables["raw_sites"].join(who.withColumnRenamed("usr", "caller_usr"), "caller_usr")
     sites = sites.select(F.struct("unit_ord", "seq").alias("site"), "src", "caller", F.col("src_file").alias("file"), F.col("line").alias("line1"), "via", F.coalesce("via_param", F.lit(-1)).alias("via_param"))
     good = rules.usable_overrides(list(overrides))
@@ -60,7 +60,7 @@ def build(tables: dict[str, DataFrame], overrides: Sequence[dict] = (), removals
         matched = durable(rules.match_overrides(sites, table))
         bound, sites, conditions = rules.bind(matched, good, "src", "file", "site")
         unused = rules.unused_overrides(table, matched)
-        bound = bound.select("src", F.col("file").alias("src_file"), "callee", F.struct(F.lit(1).alias("late"), F.col("site.unit_ord").alias("unit_ord"), (F.col("site.seq") * 4096 + F.col("place")).cast("int").alias("seq")).alias("at"), F.lit(True).alias("indirect"), "cond_id", "verified")
+        bound = bound.select("src", F.col("file").alias("src_file"), "callee", F.struct(F.lit(1).alias("late"), F.col("site.unit_ord").cast("long").alias("unit_ord"), (F.col("site.seq").cast("long") * 4096 + F.col("place")).alias("seq")).alias("at"), F.lit(True).alias("indirect"), "cond_id", "verified")
         verified = bound.filter("verified").select(F.col("src").alias("id")).distinct()
         raw = direct.unionByName(bound.drop("verified"))
     else:
