@@ -199,18 +199,26 @@ def text_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(TOKEN_BITS)).astype(np.int64), key & np.uint64((1 << TOKEN_BITS) - 1)
 
 
-def pack48(tok: np.ndarray) -> bytes:
-    """Six bytes a token."""
-    return np.ascontiguousarray(tok.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def pack(x: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpack48(raw) -> np.ndarray:
-    b = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def unpack(raw, width: int) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8).reshape(-1, width)
     out = np.zeros((len(b), 8), np.uint8)
-    out[:, :6] = b
+    out[:, :width] = b
     return out.view("<u8").ravel()
 
 
+def pack48(tok: np.ndarray) -> bytes:
+    return pack(tok, 6)
+
+
+def unpack48(raw) -> np.ndarray:
+    return unpack(raw, 6)
+
+
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of the runs of equal neighbours in x."""
     if len(x) == 0:
