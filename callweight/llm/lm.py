@@ -12,7 +12,8 @@ mass is left to pieces; and a text draws its words from an urn that gives back w
 (a Dirichlet prior around the lattice), so a word is likelier once it has occurred.
 
 Words meet their counts by an exchange of packed word ranges: every document sends each range the
-words it has there, and receives three partial sums.
+words it has there, and receives three partial sums. The most frequent words (those of the class
+model, a fixed number) are scored once and travel to every task instead, so no range is hot.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scale import durable, parts_for, small_batches, text_volume
+from .scale import Scratch, durable, parts_for, small_batches, text_volume
 from .text import _BYTE, Words, _powers, chunks, column_bytes, mix, release, runs, word_texts, words, words_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -415,14 +416,69 @@ class Totals:
         return np.maximum(in_class - DISCOUNT, 0) / self.class_n[cls] + back * whole
 
 
+class Hot:
+    """Scores of the class model's words in every class."""
+
+    def __init__(self, table: np.ndarray, base: np.ndarray, urn: np.ndarray):
+        self.table, self.base, self.urn = table, base, urn
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 for all others."""
+        if not len(self.table):
+            return np.full(len(h), -1)
+        k = np.minimum(np.searchsorted(self.table, h), len(self.table) - 1)
+        return np.where(self.table[k] == h, k, -1)
+
+    def sums(self, w: Words, which: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """(text, 3): sums of log10(c + 1), of known tokens, of word scores of a run of texts."""
+        out = np.zeros((w.n_rows, 3))
+        at = np.flatnonzero(which >= 0)
+        n = len(self.table)
+        pair, m = np.unique(w.row[at] * max(1, n) + which[at], return_counts=True)
+        row, word = pair // max(1, n), pair % max(1, n)
+        urn = self.urn[word, of[row]] if len(row) else np.zeros(0)
+        for j, v in enumerate((m * self.base[word], m, log_gamma(urn + m) - log_gamma(urn))):
+            out[:, j] = np.bincount(row, weights=v, minlength=w.n_rows)
+        return out
+
+
+def _hot(counted: DataFrame, classes: Classes, lattice: Lattice, totals: Totals) -> Hot:
+    """Scores of the class model's words, from their training counts; one row a word and class."""
+    table = classes.table
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words_, cls, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                w = words_of([words_])
+                at = np.flatnonzero(np.isin(w.hash, table))
+                raw, ln = word_texts(w, at)
+                cut = np.concatenate(([0], np.cumsum(ln)))
+                yield pa.RecordBatch.from_arrays([pa.array([raw[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(np.frombuffer(cls, np.uint8)[at].astype(np.int32)), pa.array(np.frombuffer(counts, np.int64)[at])], ["word", "cls", "n"])
+
+    got = counted.select("words", "cls", "counts").mapInArrow(pick, "word binary, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n")).collect() if len(table) else []
+    text = sorted({bytes(r.word) for r in got})
+    w = words_of([b" ".join(text)])
+    o = np.argsort(w.hash)
+    w = Words(w.buf, w.start[o], w.end[o], w.row[o], w.hash[o], 1)
+    place = {text[k]: i for i, k in enumerate(o)}
+    by_class = np.zeros((len(o), CLASSES))
+    for r in got:
+        by_class[place[bytes(r.word)], r.cls] += r.n
+    every = Words(w.buf, np.repeat(w.start, CLASSES), np.repeat(w.end, CLASSES), np.repeat(w.row, CLASSES), np.repeat(w.hash, CLASSES), 1)
+    cls = np.tile(np.arange(CLASSES), len(o))
+    count = np.repeat(by_class.sum(axis=1), CLASSES)
+    p = totals.word_p(np.exp(lattice.word_logp(every, cls)), cls, by_class.ravel(), count)
+    return Hot(w.hash, np.log10(by_class.sum(axis=1) + 1), URN * p.reshape(-1, CLASSES))
+
+
 def _narrow(x: np.ndarray) -> tuple[bytes, int]:
     kind = 1 if x.max(initial=0) < 256 else 2 if x.max(initial=0) < 65536 else 4
     return x.astype(f"<u{kind}").tobytes(), kind
 
 
-def _doc_words(buckets: int, classes: Classes):
+def _doc_words(buckets: int, classes: Classes, hot: Hot):
     """Per run of documents and range: its words with their training counts, and which document
-    holds which how often. One range also carries the documents' heads."""
+    holds which how often. One range also carries the documents' heads, with their sums over hot words."""
     names = ["b", "words", "cls", "train", "docs", "sizes", "at", "at_kind", "times", "times_kind", "heads"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,7 +497,11 @@ def _doc_words(buckets: int, classes: Classes):
                     some = np.flatnonzero(n)
                     key[some] ^= mix(np.add.reduceat(x, begin[some]))
                 of = classes(w)
-                heads = np.stack((key.view(np.int64), ids[lo:hi], null[lo:hi].astype(np.int64), held[lo:hi].astype(np.int64), n, of)).T.astype(np.int64).tobytes()
+                which = hot.find(w.hash)
+                own = np.ascontiguousarray(hot.sums(w, which, of).T).view(np.int64)
+                heads = np.stack((key.view(np.int64), ids[lo:hi], null[lo:hi].astype(np.int64), held[lo:hi].astype(np.int64), n, of, *own)).T.astype(np.int64).tobytes()
+                cold = np.flatnonzero(which < 0)
+                w = Words(w.buf, w.start[cold], w.end[cold], w.row[cold], w.hash[cold], w.n_rows)
                 at, inv, cls = _uniq_class(w, of[w.row])
                 pair, times = np.unique((w.row.astype(np.uint64) << _U(32)) | inv.astype(np.uint64), return_counts=True)
                 row, word = (pair >> _U(32)).astype(np.int64), (pair & _U(0xFFFFFFFF)).astype(np.int64)
@@ -469,6 +529,7 @@ def _doc_words(buckets: int, classes: Classes):
     return run
 
 
+HEAD = 9  # numbers in a document's head
 _DOC_WORDS = "b int, words binary, cls binary, train binary, docs binary, sizes binary, at binary, at_kind int, times binary, times_kind int, heads binary"
 
 
@@ -502,7 +563,7 @@ def _partial(lattice: Lattice, totals: Totals, parts: int):
         key = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.uint64)
         key, inv = np.unique(key, return_inverse=True)
         sums = [np.bincount(inv, weights=np.concatenate([g[k] for g in got]), minlength=len(key)) if got else np.zeros(0) for k in (1, 2, 3)]
-        heads = np.frombuffer(b"".join(c["heads"]), np.int64).reshape(-1, 6)
+        heads = np.frombuffer(b"".join(c["heads"]), np.int64).reshape(-1, HEAD)
         p, hp = key % _U(parts), heads[:, 0].view(np.uint64) % _U(parts) if len(heads) else np.zeros(0, np.uint64)
         rows = []
         for x in np.unique(np.concatenate((p, hp))):
@@ -519,11 +580,12 @@ def _finish(totals: Totals):
 
     def run(t: pa.Table) -> pa.Table:
         cat = lambda n, k: np.frombuffer(b"".join(t.column(n).to_pylist()), k)
-        heads = cat("heads", np.int64).reshape(-1, 6)
+        heads = cat("heads", np.int64).reshape(-1, HEAD)
+        own = np.ascontiguousarray(heads[:, 6:]).view(np.float64)
         keys, inv = np.unique(np.concatenate((heads[:, 0].view(np.uint64), cat("key", np.uint64))), return_inverse=True)
         h, k = inv[: len(heads)], inv[len(heads) :]
         alike = np.bincount(h, minlength=len(keys))  # equal rows have sent their sums together
-        base, known, lm = (np.bincount(k, weights=cat(n, np.float64), minlength=len(keys))[h] / alike[h] for n in ("base", "known", "lm"))
+        base, known, lm = (np.bincount(k, weights=cat(n, np.float64), minlength=len(keys))[h] / alike[h] + own[:, j] for j, n in enumerate(("base", "known", "lm")))
         n, cls = heads[:, 4] + 1, heads[:, 5]
         urn = np.full(len(n), URN)
         lm = lm + totals.prior[cls] + np.log(URN * totals.p_end[cls]) - log_gamma(urn + n) + log_gamma(urn)
@@ -546,9 +608,16 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text: str
     """
     d = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     buckets = parts_for(text_volume(d), BUCKET_BYTES, 12)
-    train = d.filter("not held_out")
+    classes, lattice, totals, hot = learn(d.filter("not held_out").select("text"), buckets, model, rounds)
+    partial = d.mapInArrow(_doc_words(buckets, classes, hot), _DOC_WORDS).groupBy("b").applyInArrow(_partial(lattice, totals, buckets), "p int, key binary, base binary, known binary, lm binary, heads binary")
+    return partial.groupBy("p").applyInArrow(_finish(totals), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def learn(train: DataFrame, buckets: int, model: str = MODEL, rounds: int = ROUNDS) -> tuple[Classes, Lattice, Totals, Hot]:
+    """All that scores need of the training texts (text); their words' counts stay distributed."""
+    scratch = Scratch(train.sparkSession, "lm")
     classes = fit_classes(train)
-    counted = durable(train.select("text").mapInArrow(_train_words(buckets, classes), "b int, words binary, cls binary, counts binary").groupBy("b").applyInArrow(_merge_words, "v long, by_class array<array<long>>, words binary, cls binary, counts binary"))
+    counted = scratch.keep(train.mapInArrow(_train_words(buckets, classes), "b int, words binary, cls binary, counts binary").groupBy("b").applyInArrow(_merge_words, "v long, by_class array<array<long>>, words binary, cls binary, counts binary"))
     by_class = np.zeros((2, CLASSES), np.int64)
     v = 0
     for r in counted.filter("by_class is not null").select("v", "by_class").toLocalIterator():
@@ -564,9 +633,10 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text: str
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n)], ["c", "n"])
 
     ends = np.zeros(CLASSES, np.int64)
-    for r in train.select("text").mapInArrow(ends_of, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
+    for r in train.mapInArrow(ends_of, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
         ends[r.c] = r.n
     lattice = fit(counted, load_pieces(model), CLASSES, rounds)
     totals = Totals(int(by_class[1].sum()), v, by_class, ends)
-    partial = d.mapInArrow(_doc_words(buckets, classes), _DOC_WORDS).groupBy("b").applyInArrow(_partial(lattice, totals, buckets), "p int, key binary, base binary, known binary, lm binary, heads binary")
-    return partial.groupBy("p").applyInArrow(_finish(totals), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    hot = _hot(counted, classes, lattice, totals)
+    scratch.drop(counted)
+    return classes, lattice, totals, hot

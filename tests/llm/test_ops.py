@@ -215,6 +215,54 @@ def test_lm_scores(spark, odd, none):
     assert lm.score_documents(none, F.lit(False), rounds=1).count() == 0
 
 
+def test_lm_scores_equal_brute_force(spark):
+    r = random.Random(14)
+    vocab = [sentence(r, 1) for _ in range(60)] + ["éa", "q" * 9]
+    rows = [(i, " ".join(r.choice(vocab[: 12 + 3 * (i % 16)]) for _ in range(r.randrange(0, 25))), "en", "s", 0) for i in range(120)]
+    d = spark.createDataFrame(rows, DOCS)
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    got = {x.doc_id: x.score for x in lm.score_documents(d, held, rounds=1).collect()}
+    train = [t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    classes, lattice, totals, hot = lm.learn(spark.createDataFrame([(t,) for t in train], "text string"), 12, rounds=1)
+    assert 0 < len(hot.table) < len(vocab)  # words of one text only meet their counts by exchange
+
+    def words_of(t):
+        data, off = text.column_bytes(pa.array([t]))
+        return text.words(data, off)
+
+    of = {t: int(classes(words_of(t))[0]) for t in {t for _, t, *_ in rows}}
+    count, ends = {}, [0] * lm.CLASSES
+    for t in train:
+        ends[of[t]] += 1
+        for w in split(t):
+            count[w, of[t]] = count.get((w, of[t]), 0) + 1
+    total = {w: sum(count.get((w, c), 0) for c in range(lm.CLASSES)) for w, _ in count}
+    n, v = sum(total.values()) + len(train), len(total) + 1
+    pieces = dict(zip(lm.load_pieces(), lattice.logp.T, strict=True))
+
+    def marginal(s, c):
+        a = [1.0] + [0.0] * len(s)
+        for j in range(1, len(s) + 1):
+            a[j] = sum(a[i] * math.exp(pieces[s[i:j]][c]) for i in range(j) if s[i:j] in pieces)
+        return a[-1]
+
+    for i, t, *_ in rows:
+        c = of[t]
+        class_n = max(1, sum(k for (_, x), k in count.items() if x == c) + ends[c])
+        class_v = max(1, sum(x == c for _, x in count) + (ends[c] > 0))
+        lp, seen, drawn = math.log((ends[c] + 0.5) / (sum(ends) + 0.5 * lm.CLASSES)), {}, 0
+        for w in [*split(t), None]:
+            if w is None:
+                p = max(ends[c], 0.5) / class_n
+            else:
+                whole = max(total.get(w, 0) - lm.DISCOUNT, 0) / n + min(1, lm.DISCOUNT * v / n) * marginal(b" " + w.encode(), c)
+                p = max(count.get((w, c), 0) - lm.DISCOUNT, 0) / class_n + min(1, lm.DISCOUNT * class_v / class_n) * whole
+            lp += math.log((lm.URN * p + seen.get(w, 0)) / (lm.URN + drawn))
+            seen[w] = seen.get(w, 0) + 1
+            drawn += 1
+        assert abs(got[i] - lp / math.log(10)) < 1e-6 * max(1, abs(lp)), i
+
+
 def test_classes_learn_from_all_texts(spark):
     r = random.Random(12)
     kinds = [[sentence(r, 1) + str(k) for _ in range(30)] for k in range(4)]
