@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import durable, numbered, parts_for
+from .scale import Scratch, numbered, parts_for, sub_buckets
 
 WORD = "[^ \\x09-\\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -21,7 +21,7 @@ MOST = 2.0
 GOLDEN = 0.6180339887498949
 CHUNK = 1 << 16
 SLOTS = 1000  # blocks a source is cut into at least
-SUB_BUCKETS = 64
+MAX_SOURCES = 10_000  # one row each is on the driver and in every task
 
 
 def n_words(text):
@@ -53,8 +53,8 @@ def targets(sizes: list[tuple], weights=WEIGHTS, share: float = SHARE, most: flo
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int | None = None, seed: int = 17) -> DataFrame:
     """Per document: id, size, source_size, target, taken.
 
-    The number of sources is assumed small enough for the driver (one row each is gathered);
-    nothing else is. Nulls: a null source is a source of its own, a null text has no words.
+    One row a source is gathered; more than MAX_SOURCES sources are refused, and what travels to
+    every task is bounded by that. Nulls: a null source is a source of its own, a null text has no words.
     Empty and wordless texts are never taken. Repeated rows are separate documents. An empty
     table gives no rows. `block` is the words in a block; by default a 20,000th of all words,
     from 8 to 4096, and in every source a 1,000th of its words at most. A source's taken words are
@@ -63,8 +63,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("src"), n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text)).alias("mixkey"))
-    d = durable(d)  # no texts from here on
-    goal = targets([tuple(r) for r in d.groupBy("src").agg(F.sum("size")).collect()], weights, share, most)
+    d = Scratch(spark, "mix").keep(d)  # no texts from here on
+    sizes = d.groupBy("src").agg(F.sum("size")).limit(MAX_SOURCES + 1).collect()
+    if len(sizes) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    goal = targets([tuple(r) for r in sizes], weights, share, most)
     total = sum(g[1] for g in goal)
     block = block or min(4096, max(8, total // 20_000))
     table, cum = [], 0.0
@@ -97,7 +100,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     blocks = ranked.groupBy("src", "rest", (F.col("rank") % F.col("n_blocks")).alias("b")).agg(F.count("*").alias("times"))
 
     # Documents on their source's shuffled line of words, cut into blocks.
-    placed = numbered(d, ["src"], ["mixkey", "id"], key=F.col("mixkey"), parts=SUB_BUCKETS, name="at", weight=F.col("size"))
+    placed = numbered(d, ["src"], ["mixkey", "id"], key=F.col("mixkey"), parts=sub_buckets(d), name="at", weight=F.col("size"))
     cut = placed.filter(F.col("size") > 0).alias("p").join(sources.alias("s"), F.col("p.src").eqNullSafe(F.col("s.src"))).select("p.src", "id", "mixkey", "at", "size", "block", F.explode(F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")))).alias("b"))
     end = F.least(F.col("at") + F.col("size"), (F.col("c.b") + 1) * F.col("block"))
     over = end - F.greatest(F.col("at"), F.col("c.b") * F.col("block"))

@@ -111,6 +111,15 @@ def parts_for(volume: float, each: float, least: int = 1) -> int:
     return max(least, int(-(-volume // each)))
 
 
+SUB_ROWS, SUB_LEAST = 1 << 18, 64
+
+
+def sub_buckets(df: DataFrame) -> int:
+    """Sub-buckets of a group for `numbered`: one group may hold nearly all rows, so its sub-buckets
+    hold about SUB_ROWS then."""
+    return parts_for(df.count(), SUB_ROWS, SUB_LEAST)
+
+
 def numbered(df: DataFrame, group: list[str], order: list, *, key, parts: int, name: str, weight=None) -> DataFrame:
     """Running number (or running sum of `weight`, exclusive) inside each group without putting a
     group into one task: rows are dealt by (group, sub-bucket of `key`), sub-bucket totals are

@@ -7,10 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scale import durable, numbered
+from .scale import Scratch, numbered, sub_buckets
 
 SHARDS = 16
-SUB_BUCKETS = 64
 
 
 def jump_hash(key: np.ndarray, n: int) -> np.ndarray:
@@ -53,8 +52,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
         F.lit("key").alias("law"),
     )
     d = d.withColumn("shard", jump_shard(F.col(id_col), shards)).withColumn("grown_shard", jump_shard(F.col(id_col), shards + 1))
-    d = durable(d)  # no texts from here on
-    out = numbered(d, ["shard"], [id_col, "text_crc32", "size"], key=F.struct(id_col, "text_crc32"), parts=SUB_BUCKETS, name="slot")
+    d = Scratch(docs.sparkSession, "shards").keep(d)  # no texts from here on
+    out = numbered(d, ["shard"], [id_col, "text_crc32", "size"], key=F.struct(id_col, "text_crc32"), parts=sub_buckets(d), name="slot")
     return out.select(id_col, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

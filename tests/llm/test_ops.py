@@ -66,6 +66,28 @@ def test_jump_hash_moves_only_into_the_new_shard(spark, odd, none):
     assert shards.shard_documents(none).count() == 0 and shards.shard_rows(odd).columns == odd.columns
 
 
+def test_shards_equal_a_scalar_jump_hash(spark):
+    def jump(key, n):  # Lamping and Veach, figure 1
+        b, j = -1, 0
+        while j < n:
+            b = j
+            key = (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+        return b
+
+    r = random.Random(15)
+    rows = [(r.choice([i, i - 10**12, None if i % 50 == 0 else i * 7]), sentence(r, r.randrange(0, 9)), "en", "s", 0) for i in range(400)] + [(7, "same", "en", "s", 0)] * 3
+    d = spark.createDataFrame(rows, DOCS)
+    h = {x.doc_id: x.h for x in d.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    got = shards.shard_documents(d.repartition(5)).collect()
+    assert all((x.shard, x.grown_shard) == (jump(h[x.doc_id] % 2**64, 16), jump(h[x.doc_id] % 2**64, 17)) for x in got)
+    again = shards.shard_documents(d).collect()
+    key = lambda x: (x.shard, x.slot, x.doc_id or 0, x.text_crc32)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    for s in range(16):
+        assert sorted(x.slot for x in got if x.shard == s) == list(range(sum(x.shard == s for x in got)))
+
+
 # Mixing
 
 
@@ -90,6 +112,46 @@ def test_mix(spark, odd, none):
     assert mixing.realise(d).columns == d.columns and mixing.realise(none).count() == 0 and mixing.realise(odd).count() >= 1
 
 
+def test_mix_equals_a_replayed_schedule(spark):
+    r = random.Random(16)
+    rows = [(i, "w " * r.randrange(0, 60), "en", ("a", "b", None)[i % 3 if i % 5 else 0], 0) for i in range(300)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = {x.doc_id: x.taken for x in mixing.mix_sources(d, block=16).collect()}
+    mixkey = {x.doc_id: x.k for x in d.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("k"), F.pmod(F.xxhash64(F.xxhash64(F.lit(17), "doc_id", "text")), F.lit(64)).alias("sub")).collect()}
+    sub = {x.doc_id: x.sub for x in d.select("doc_id", F.pmod(F.xxhash64(F.xxhash64(F.lit(17), "doc_id", "text")), F.lit(64)).alias("sub")).collect()}
+    size = {i: len(split(t)) for i, t, *_ in rows}
+    sources = {s: [i for i, _, _, x, _ in rows if x == s] for s in ("a", "b", None)}
+    goal = mixing.targets([(s, sum(size[i] for i in ids)) for s, ids in sources.items()])
+    table = []
+    for s, total, want in goal:
+        own = min(16, max(1, total // mixing.SLOTS))
+        n_blocks, due_words = -(-total // own), min(int(want + 0.5), 2 * total)
+        passes, rest = divmod(due_words, total)
+        table.append((s, own, n_blocks, rest, passes * n_blocks + -(-rest // own)))
+    slots = sum(t[4] for t in table)
+    line, times = [], {t[0]: 0 for t in table}
+    for s, *_, due in table:
+        line += [(s, due / slots)]
+    cum = [sum(x[1] for x in line[: k + 1]) for k in range(len(line))]
+    for i in range(slots):
+        u = (i + 1) * mixing.GOLDEN % 1.0
+        s = line[next(k for k, c in enumerate(cum) if u < c or k == len(cum) - 1)][0]
+        times[s] += 1
+    want = dict.fromkeys(size, 0)
+    for s, own, n_blocks, rest, due in table:
+        assert abs(times[s] - due) <= 3  # the schedule keeps near its shares; what it gives beyond is left, what it lacks follows
+        ids = sorted(sources[s], key=lambda i: (sub[i], mixkey[i], i))
+        words_ = [i for i in ids for _ in range(size[i])]
+        for rank in range(due):
+            b = rank % n_blocks
+            for k in range(b * own, min((b + 1) * own, len(words_))):
+                # The last pass ends inside its block, at `rest`.
+                if rest and rank == due - 1 and k >= rest and b == (rest - 1) // own:
+                    continue
+                want[words_[k]] += 1
+    assert got == want
+
+
 def test_small_sources_meet_their_targets(spark):
     rows = [(i, "w " * (100 if i % 50 else 7), "en", None if i % 50 == 0 else "big" if i % 50 > 1 else "mid", 0) for i in range(1000)]
     d = spark.createDataFrame(rows, DOCS)
