@@ -117,7 +117,7 @@ def test_mix_equals_a_replayed_schedule(spark):
     rows = [(i, "w " * r.randrange(0, 60), "en", ("a", "b", None)[i % 3 if i % 5 else 0], 0) for i in range(300)]
     d = spark.createDataFrame(rows, DOCS)
     got = {x.doc_id: x.taken for x in mixing.mix_sources(d, block=16).collect()}
-    mixkey = {x.doc_id: x.k for x in d.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("k"), F.pmod(F.xxhash64(F.xxhash64(F.lit(17), "doc_id", "text")), F.lit(64)).alias("sub")).collect()}
+    mixkey = {x.doc_id: x.k for x in d.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("k")).collect()}
     sub = {x.doc_id: x.sub for x in d.select("doc_id", F.pmod(F.xxhash64(F.xxhash64(F.lit(17), "doc_id", "text")), F.lit(64)).alias("sub")).collect()}
     size = {i: len(split(t)) for i, t, *_ in rows}
     sources = {s: [i for i, _, _, x, _ in rows if x == s] for s in ("a", "b", None)}
@@ -417,6 +417,34 @@ def test_passages_whose_parts_have_earlier_holders(spark):
     assert not any(lost)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_recall_of_exact_repeats_against_brute_force(spark, seed):
+    r = random.Random(100 + seed)
+    pool = [sentence(r, r.randrange(60, 110)).split() for _ in range(8)]
+    docs = []
+    for _ in range(60):
+        w = sentence(r, r.randrange(5, 40)).split()
+        for _ in range(r.randrange(1, 4)):
+            p = r.choice(pool)
+            n = r.randrange(20, len(p) + 1)  # halves and overlapping parts too
+            k = r.randrange(len(p) - n + 1)
+            w += p[k : k + n] + sentence(r, r.randrange(3, 40)).split()
+        docs.append(w)
+    d = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate(docs)], DOCS)
+    found = [set() for _ in docs]
+    for x in passages.repeated_passages(d).collect():
+        assert x.matched >= 0.75 * (x.end_word - x.start_word) and x.end_word - x.start_word >= 40
+        found[x.doc_id] |= set(range(x.start_word, x.end_word))
+    holders = {}
+    for i, w in enumerate(docs):
+        for k in range(len(w) - 39):
+            holders.setdefault(tuple(w[k : k + 40]), set()).add(i)
+    true = [set().union(*(range(k, k + 40) for k in range(len(w) - 39) if len(holders[tuple(w[k : k + 40])]) > 1), set()) for w in docs]
+    assert sum(map(len, true)) > 500
+    assert sum(len(t & f) for t, f in zip(true, found, strict=True)) >= 0.98 * sum(map(len, true))
+    assert all(f or not t for t, f in zip(true, found, strict=True))
+
+
 @pytest.mark.parametrize("every", [7, 8])
 def test_passages_changed_all_along(spark, every):
     r = random.Random(every)
