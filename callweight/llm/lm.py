@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scale import Scratch, durable, parts_for, small_batches, text_volume
+from .scale import Scratch, parts_for, small_batches, text_volume
 from .text import _BYTE, Words, _powers, chunks, column_bytes, mix, release, runs, word_texts, words, words_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -309,8 +309,13 @@ def fit_classes(train: DataFrame, k: int = CLASSES, n_words: int = CLASS_WORDS,
                 c = _class_counts(words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), table)
                 yield pa.RecordBatch.from_arrays([pa.array(_packed(c.astype(np.int64)), pa.binary())], ["x"])
 
-    rows = durable(texts.mapInArrow(count, "x binary"))
-    some = sorted(bytes(r.x) for r in rows.orderBy(F.xxhash64("x"), "x").limit(start).collect())
+    scratch = Scratch(train.sparkSession, "classes")
+    rows = scratch.keep(texts.mapInArrow(count, "x binary"))
+    # The hash thins the texts to about twice `start` before they are ordered, whatever their number;
+    # equal ones count once.
+    share = min(1.0, 2 * start / max(1, rows.count()))
+    thin = rows.filter(F.pmod(F.xxhash64("x"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
+    some = sorted(bytes(r.x) for r in thin.orderBy(F.xxhash64("x"), "x").limit(start).collect())
     _, logp, prior = max((_mixture(_unpacked(some, len(table)), k, seed) for seed in range(3)), key=lambda f: f[0])
     last, n = -np.inf, len(table)
     for _ in range(rounds):
@@ -323,6 +328,7 @@ def fit_classes(train: DataFrame, k: int = CLASSES, n_words: int = CLASS_WORDS,
         if s[-1] - last <= CLASS_GAIN * abs(s[-1]):
             break
         last = s[-1]
+    scratch.drop(rows)
     return Classes(table, logp.astype(np.float32), prior.astype(np.float32))
 
 
