@@ -177,7 +177,7 @@ def relax_down(nodes: DataFrame, edges: DataFrame, max_iter: int = 10_000) -> Da
 def peaks(nodes: DataFrame, edges: DataFrame, comp: DataFrame | None = None) -> DataFrame:
     """(id, peak, bounded, down_depth, scc, recursive) of nodes(id, frame)."""
     known = nodes.select(F.col("id").alias("src"))
-    e = edges.select("src", "dst").distinct().join(known, "src", "left_semi").join(known.withColumnRenamed("src", "dst"), "dst", "left_semi")
+    e = durable(edges.select("src", "dst").distinct().join(known, "src", "left_semi").join(known.withColumnRenamed("src", "dst"), "dst", "left_semi"))
     comp = components(nodes, e) if comp is None else comp
     w = nodes.join(comp, "id").groupBy("scc").agg(F.sum(F.coalesce("frame", F.lit(0))).cast("long").alias("w"), F.count("*").cast("long").alias("len"), F.max("recursive").alias("rec"))
     ce = e.join(comp.select(F.col("id").alias("src"), F.col("scc").alias("s")), "src").join(comp.select(F.col("id").alias("dst"), F.col("scc").alias("d")), "dst").filter("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct()
@@ -205,20 +205,17 @@ def relax_up(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: in
     """(root, id, depth, entry): longest chain and heaviest sum of frames from each root to each
     node it reaches, both ends included and each maximised on its own, in an acyclic graph."""
     e = durable(edges.select("src", "dst").distinct().join(nodes.select(F.col("id").alias("dst"), F.col("w").alias("dw"), F.col("len").alias("dlen")), "dst"))
-    state = durable(seeds.select(F.col("root"), F.col("root").alias("id")).join(nodes, "id").select("root", "id", F.col("len").alias("depth"), F.col("w").alias("entry")))
-    new = state
+    # Round k holds the best chain of k steps for each pair, so a round meets the edges only, never
+    # the pairs of other rounds; what is best over all rounds is asked once, at the end.
+    new = durable(seeds.select(F.col("root"), F.col("root").alias("id")).join(nodes, "id").select("root", "id", F.col("len").alias("depth"), F.col("w").alias("entry")))
+    all_ = new
     for _ in range(max_depth):
-        step = new.withColumnRenamed("id", "src").join(e, "src").groupBy("root", F.col("dst").alias("id")).agg(F.max(F.col("depth") + F.col("dlen")).alias("d"), F.max(F.col("entry") + F.col("dw")).alias("n"))
-        nxt = durable(
-            state.join(step, ["root", "id"], "full").select(
-                "root", "id", F.greatest("depth", "d").alias("depth"), F.greatest("entry", "n").alias("entry"),
-                (F.coalesce(F.col("d") > F.col("depth"), F.col("d").isNotNull()) | F.coalesce(F.col("n") > F.col("entry"), F.col("n").isNotNull())).alias("rose"),
-            )
-        )
-        state, new = nxt.drop("rose"), nxt.filter("rose").drop("rose")
+        step = new.withColumnRenamed("id", "src").join(e, "src").groupBy("root", F.col("dst").alias("id"))
+        new = durable(step.agg(F.max(F.col("depth") + F.col("dlen")).alias("depth"), F.max(F.col("entry") + F.col("dw")).alias("entry")))
         if new.isEmpty():
             break
-    return state
+        all_ = all_.union(new)
+    return all_.groupBy("root", "id").agg(F.max("depth").alias("depth"), F.max("entry").alias("entry"))
 
 
 def per_root(nodes: DataFrame, edges: DataFrame, pk: DataFrame, roots: DataFrame, max_depth: int = 256) -> DataFrame:
@@ -351,6 +348,7 @@ def legacy_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def analyse(nodes: DataFrame, edges: DataFrame, pinned: DataFrame | None = None, conditions: list | None = None, verified: DataFrame | None = None, max_depth: int = 256) -> dict[str, DataFrame]:
     """All results of one graph: metrics, per_root and roots. edges(src, dst, indirect, cond_id)."""
+    nodes, edges = durable(nodes), durable(edges)
     pk = peaks(nodes, edges)
     roots = durable(find_roots(nodes, edges, pinned))
     if conditions:

@@ -416,7 +416,7 @@ ROOTS_SQL = PATHS_SQL + ", RT AS (SELECT id AS root FROM V WHERE id NOT IN (SELE
 
 
 def _dag_roots(spark, sf):
-    n, e = D.nodes(spark, sf), D.dag(spark, sf)
+    n, e = D.nodes(spark, sf), metrics.durable(D.dag(spark, sf))
     pk = metrics.peaks(n, e)
     return n, e, pk, metrics.durable(metrics.per_root(n, e, pk, metrics.find_roots(n, e)))
 
