@@ -215,6 +215,44 @@ def shortest_cycles(edges: DataFrame, members: DataFrame, max_hops: int = 10_000
     return done
 
 
+def cycles(edges: DataFrame, members: DataFrame, max_hops: int = PATH_LENGTH, limit: int = PATHS, budget: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(listed, truncated): listed(id, rank, hops, nodes), the loops [id, ..., id] through each of
+    members(id), shorter ones first; truncated(id, reason) where there may be more.
+
+    Loops are walked to max_hops, all members at once. A member that has more than `budget` open
+    walks stops there ("budget"); walks left at max_hops give "depth", more than `limit` loops give
+    "count". A member without a loop among these has its shortest one, however long; one that lies
+    on no loop is in neither table.
+    """
+    e = durable(edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct())
+    ids = durable(members.select("id").distinct())
+    live = ids.select("id", F.col("id").alias("at"), F.array("id").alias("nodes"))
+    found = why = None
+    for k in range(max_hops):
+        grown = durable(live.join(e, "at").select("id", F.col("next").alias("at"), F.col("nodes"), (F.col("next") == F.col("id")).alias("closed")).filter(F.col("closed") | ~F.array_contains("nodes", F.col("at"))).withColumn("nodes", F.array_append("nodes", F.col("at"))))
+        hit = grown.filter("closed").select("id", "nodes")
+        found = hit if found is None else found.union(hit)
+        many = durable(grown.filter("not closed").groupBy("id").agg(F.count("*").alias("n")))
+        stop = many.filter(F.col("n") > budget).select("id", F.lit("budget").alias("reason"))
+        if k == max_hops - 1:
+            stop = stop.union(many.filter(F.col("n") <= budget).select("id", F.lit("depth")))
+        why = stop if why is None else why.union(stop)
+        live = grown.filter("not closed").drop("closed").join(stop.select("id"), "id", "left_anti")
+        if many.isEmpty():
+            break
+    found = durable(found)
+    order = Window.partitionBy("id").orderBy(F.size("nodes"), "nodes")
+    listed = found.withColumn("rank", F.row_number().over(order)).withColumn("hops", F.size("nodes") - 1)
+    why = why.union(listed.filter(F.col("rank") == limit + 1).select("id", F.lit("count")))
+    bare = durable(ids.join(found.select("id"), "id", "left_anti"))
+    rest = shortest_cycles(edges, bare) if not bare.isEmpty() else None
+    listed = listed.filter(F.col("rank") <= limit).select("id", "rank", "hops", "nodes")
+    if rest is not None:
+        listed = listed.union(rest.select("id", F.lit(1).alias("rank"), "hops", "nodes"))
+    on = listed.select("id").distinct()
+    return listed, why.groupBy("id").agg(F.min("reason").alias("reason")).join(on, "id", "left_semi")
+
+
 def corridor(edges: DataFrame, focus, node) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of all walks between a focus and a node below it, or above it: what one end
     reaches and the other is reached from, and the edges that lead away from the focus in steps of

@@ -73,6 +73,11 @@ def at_definition(functions: DataFrame, file: str, name: str, line0: int) -> Dat
     return functions.filter((F.col("file") == file) & (F.col("name") == name) & (F.col("line0") == line0))
 
 
+def under_cursor(functions: DataFrame, word: str) -> DataFrame:
+    """Functions that a word of a source may mean: those of that key, else of that name."""
+    return functions.filter((F.col("id") == word) | (F.col("name") == word))
+
+
 def last_of_name(functions: DataFrame, order: str = "ord") -> DataFrame:
     """One record a name: the last."""
     return functions.groupBy("name").agg(F.max_by(F.struct(*functions.columns), order).alias("r")).select("r.*")

@@ -78,14 +78,14 @@ def report_rows(functions: DataFrame, metrics: DataFrame, per_root: DataFrame, r
     qualifier = F.col("qualifier") if "qualifier" in functions.columns else F.lit(None).cast("string")
     p = per_root.select("id", F.col("root").alias("__root"), F.when(F.col("root") == F.col("id"), "self").when(F.col("is_pinned"), "pinned").otherwise("auto").alias("root_kind"), F.col("peak").alias("rp"), F.col("bounded").alias("rb"))
     own = F.col("is_pinned_root") | F.col("is_auto_root")
-    d = f.join(p, "id", "left")
+    d = f.join(p, "id", "left").join(functions.select(F.col("id").alias("__root"), F.col("file").alias("root_file")), "__root", "left")
     if roots_only:
         d = d.filter(own).filter("__root is null or root_kind = 'self'")
     unseen = F.when(own, "auto").otherwise("unreached")
     pk = F.coalesce("rp", "peak")
     ghost = F.col("ghost") if "ghost" in functions.columns else F.lit(False)
     d = d.select(
-        "id", "name", "file", line.alias("line"), qualifier.alias("own_qualifier"), F.coalesce(F.col("__root").cast("string"), F.concat(F.lit("("), unseen, F.lit(")"))).alias("root"), F.coalesce("root_kind", unseen).alias("root_kind"),
+        "id", "name", "file", line.alias("line"), qualifier.alias("own_qualifier"), F.coalesce(F.col("__root").cast("string"), F.concat(F.lit("("), unseen, F.lit(")"))).alias("root"), F.coalesce("root_kind", unseen).alias("root_kind"), "root_file",
         F.greatest(F.col("down_depth") - 1, F.lit(0)).alias("depth"), F.col("frame").alias("own_frame"), pk.alias("peak"), F.coalesce("rb", "bounded").alias("bounded"), "recursive", F.coalesce(ghost, F.lit(False)).alias("ghost"), severity(pk, warn, critical).alias("severity"),
     )
     return d.orderBy(F.desc(severity_rank("peak", warn, critical)), F.desc_nulls_last("peak"), "name", "root")

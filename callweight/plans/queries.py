@@ -556,6 +556,17 @@ def shortest_cycle(spark, sf):
     return explore.shortest_cycles(e, on).select("id", "hops")
 
 
+@query(f"""WITH {CLOSURE_SQL}, REC AS (SELECT DISTINCT a AS id FROM C WHERE a = b),
+WK AS (SELECT id, id AS n, [id] AS p, false AS closed FROM REC UNION ALL SELECT WK.id, e.dst, list_append(WK.p, e.dst), e.dst = WK.id FROM WK JOIN E_cyc e ON e.src = WK.n WHERE NOT WK.closed AND len(WK.p) <= 6 AND (e.dst = WK.id OR NOT list_contains(WK.p, e.dst))),
+R AS (SELECT id, p, row_number() OVER (PARTITION BY id ORDER BY len(p), p) AS rank FROM WK WHERE closed)
+SELECT id, CAST(rank AS INTEGER) AS rank, CAST(len(p) - 1 AS INTEGER) AS hops, array_to_string(p, '>') AS path FROM R WHERE rank <= 3""")
+def cycle_listing(spark, sf):
+    e = D.cyclic(spark, sf)
+    on = metrics.components(D.nodes(spark, sf), e).filter("recursive")
+    listed, _ = explore.cycles(e, on, max_hops=6, limit=3)
+    return listed.filter("hops <= 6").select("id", F.col("rank").cast("int").alias("rank"), "hops", _text().alias("path"))
+
+
 CORRIDOR_SQL = f"""DN AS (SELECT CAST({FOCUS} AS BIGINT) AS id, 0 AS h UNION SELECT E_dag.dst, DN.h + 1 FROM DN JOIN E_dag ON E_dag.src = DN.id),
 T AS (SELECT max(id) AS t FROM DN), UP AS (SELECT t AS id FROM T UNION SELECT E_dag.src FROM UP JOIN E_dag ON E_dag.dst = UP.id),
 B AS (SELECT id, min(h) AS h FROM DN GROUP BY id), K AS (SELECT id, h FROM B WHERE id IN (SELECT id FROM UP))"""

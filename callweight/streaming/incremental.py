@@ -33,6 +33,18 @@ def listing_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("path", change.alias("change")).filter("change is not null")
 
 
+def change_stream(spark: SparkSession, sources: dict[str, tuple[str, str]]) -> DataFrame:
+    """A stream of (kind, path, modified) of new and rewritten files, from {kind: (folder, glob)};
+    contents are not read. Deletions are for listing_diff."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    one = lambda kind, folder, glob: spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).select(F.lit(kind).alias("kind"), "path", F.col("modificationTime").alias("modified"))
+    out = None
+    for kind, (folder, glob) in sources.items():
+        s = one(kind, folder, glob)
+        out = s if out is None else out.union(s)
+    return out
+
+
 def tracked(changes: DataFrame, units: DataFrame, rule_files: list[str]) -> DataFrame:
     """Changes(path) that ask for a new run: tracked units, frame files, build databases, rules."""
     known = units.select("path").distinct().withColumn("__t", F.lit(True))

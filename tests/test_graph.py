@@ -143,6 +143,11 @@ def test_cycle_listing(spark):
     clique = [(a, b) for a in "abcdef" for b in "abcdef" if a != b]
     n, e = graph(spark, dict.fromkeys("abcdef", 1), clique)
     assert rows(explore.shortest_cycles(e, n), "id", "hops") == dict.fromkeys("abcdef", 2)
+    listed, cut = explore.cycles(e, n.filter("id = 'a'"), limit=3, budget=50)
+    assert [r.nodes for r in listed.orderBy("rank").collect()] == [["a", x, "a"] for x in "bcd"] and rows(cut, "id", "reason") == {"a": "budget"}
+    n, e = graph(spark, dict.fromkeys([f"{i:03d}" for i in range(100)] + ["lone"], 1), [(f"{i:03d}", f"{(i + 1) % 100:03d}") for i in range(100)])
+    listed, cut = explore.cycles(e, n.filter("id in ('000', 'lone')"))
+    assert [(r.id, r.hops, len(r.nodes)) for r in listed.collect()] == [("000", 100, 101)] and rows(cut, "id", "reason") == {"000": "depth"}
 
 
 def test_neighbourhood_and_corridor(spark):

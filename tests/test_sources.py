@@ -116,6 +116,11 @@ def test_streams(spark, tmp_path):
     w = incremental.stream_bursts(s, "10 seconds", "1 second").writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     w.awaitTermination(60)
     assert 3 in [r.n for r in spark.table("bursts").collect()]
+    (src / "x.su").write_text("f 8 static")
+    c = incremental.change_stream(spark, {"frames": (str(src), "*.su"), "rules": (str(src), "*.json")})
+    seen = []
+    incremental.on_change(c, lambda b: seen.extend((r.kind, r.path.rsplit("/", 1)[-1]) for r in b.collect()), str(tmp_path / "c3")).awaitTermination(60)
+    assert seen == [("frames", "x.su")]
     old = spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], "path string, mtime int, size int")
     new = spark.createDataFrame([("a", 2, 1), ("c", 1, 1)], "path string, mtime int, size int")
     assert {r.path: r.change for r in incremental.listing_diff(old, new).collect()} == {"a": "changed", "b": "deleted", "c": "created"}
