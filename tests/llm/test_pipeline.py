@@ -1,6 +1,9 @@
 """The pipeline's stages, each judged on its own input."""
 
+import os
+
 import duckdb
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from callweight.llm import entries
@@ -26,6 +29,38 @@ def test_stages(spark, tmp_path):
     assert lost <= 0.03 * good.count()
 
 
+def test_run_leaves_one_table(spark):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    left = lambda: {x for x in os.listdir(folder) if x.startswith(("near-", "kept-", "clean-", "leaks-", "mix-", "classes-", "pipeline-"))}
+    before = left()
+    out = P.run(spark, SF)
+    assert out.count() > 0 and out.columns == [*spark.read.parquet(f"{SF}/documents.parquet").columns, "shard"]
+    new = left() - before
+    assert len(new) == 1 and next(iter(new)).startswith("pipeline-") and os.listdir(f"{folder}/{next(iter(new))}") == ["3"]
+    again = P.run(spark, SF)
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
+
+
+def test_stages_on_odd_rows(spark):
+    rows = [(1, None, "en", None, 0), (2, "", None, "b", None), (3, " \t", "en", "a", 3), (4, "one two", "en", "a", 3), (5, "one two", "en", "a", 3), (5, "one two", "en", "a", 3), (None, "x y z", "en", "a", 5), (None, None, None, None, None), (8, "w " * 50_000, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("times", "n", "doc", "row", "plan", "id", "t", "s", "bad", "score", "component_id", "size", "copy", "__id"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    want = {"near_duplicates": {1, 2, 3, 4, 8, None}, "decontamination": {1, 2, 3, 4, 5, 8, None}, "sharding": {1, 2, 3, 4, 5, 8, None}}
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF)
+        assert [c for c in out.columns if c != "shard"] == docs.columns, name
+        got = out.collect()
+        assert all(r["times"] == r["__id"] == "clash" for r in got), name
+        if name in want:
+            assert {r.doc_id for r in got} == want[name], name
+        if name == "mixing":
+            assert not {1, 2, 3} & {r.doc_id for r in got}
+        if name == "quality":
+            texts = {r.text for r in got}
+            assert all((r[1] in texts) == (sum(x.text == r[1] for x in got) == sum(x[1] == r[1] for x in rows)) for r in rows)
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in P.STAGES:
