@@ -232,6 +232,24 @@ def test_nearest_equals_brute_force(spark):
     assert ann.nearest_sharing(d.limit(0)).count() == 0
 
 
+def test_nearest_on_odd_rows(spark):
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(size=(60, 4)), 1)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(7, v[9].tolist()), (7, v[9].tolist()), (100, [1.0, 2.0]), (101, [3.0, 1.0]), (102, [3.0, 1.0]), (120, []), (None, v[0].tolist()), (140, [math.inf, 0.0, 0.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for c in ("v", "dim", "is_q", "qb", "rb", "m", "score", "query_id"):
+        d = d.withColumn(c, F.lit("clash"))
+    got = {}
+    for r in ann.nearest_sharing(d, k=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == {0, 20, 40, 100}
+    assert got[100] == [(101, 5.0), (102, 5.0)]  # only its own length; ties to the smaller id
+    for q in (0, 20, 40):
+        s = ann.products(np.repeat(v[q : q + 1], 60, axis=0), v)
+        every = [(i, s[i]) for i in range(60) if i != q] + [(7, s[9])] * 2
+        assert [x for _, x in got[q]] == [x for _, x in sorted(every, key=lambda p: -p[1])[:20]]
+
+
 # Language model
 
 
