@@ -29,7 +29,7 @@ from .scale import Scratch, parts_for, small_batches, text_volume
 from .text import _BYTE, Words, _powers, chunks, column_bytes, mix, release, runs, word_texts, words, words_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BUCKET_BYTES = 24 << 20  # text behind one range of words
+BUCKET_BYTES = 16 << 20  # text behind one range of words
 CHUNK = 3 << 19
 ROUNDS = 3
 CLASSES = 6
@@ -350,8 +350,19 @@ def _train_words(buckets: int, classes: Classes):
     return run
 
 
+def _trimmed(run):
+    """A group's function that leaves none of the memory it took to its idle worker."""
+
+    def one(t: pa.Table) -> pa.Table:
+        release()
+        out = run(t)
+        release()
+        return out
+
+    return one
+
+
 def _merge_words(t: pa.Table) -> pa.Table:
-    release()
     w = words_of(t.column("words").to_pylist())
     cnt = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.int64)
     at, inv, cls = _uniq_class(w, np.frombuffer(b"".join(t.column("cls").to_pylist()), np.uint8))
@@ -543,7 +554,6 @@ def _partial(lattice: Lattice, totals: Totals, parts: int):
     """What a range knows of each document: sums of log10(c + 1), of known tokens, of word scores."""
 
     def run(t: pa.Table) -> pa.Table:
-        release()
         c = {n: t.column(n).to_pylist() for n in t.schema.names}
         w = words_of(c["words"])
         at, inv, cls = _uniq_class(w, np.frombuffer(b"".join(c["cls"]), np.uint8))
@@ -615,7 +625,7 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text: str
     d = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     buckets = parts_for(text_volume(d), BUCKET_BYTES, 12)
     classes, lattice, totals, hot = learn(d.filter("not held_out").select("text"), buckets, model, rounds)
-    partial = d.mapInArrow(_doc_words(buckets, classes, hot), _DOC_WORDS).groupBy("b").applyInArrow(_partial(lattice, totals, buckets), "p int, key binary, base binary, known binary, lm binary, heads binary")
+    partial = d.mapInArrow(_doc_words(buckets, classes, hot), _DOC_WORDS).groupBy("b").applyInArrow(_trimmed(_partial(lattice, totals, buckets)), "p int, key binary, base binary, known binary, lm binary, heads binary")
     return partial.groupBy("p").applyInArrow(_finish(totals), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -623,7 +633,7 @@ def learn(train: DataFrame, buckets: int, model: str = MODEL, rounds: int = ROUN
     """All that scores need of the training texts (text); their words' counts stay distributed."""
     scratch = Scratch(train.sparkSession, "lm")
     classes = fit_classes(train)
-    counted = scratch.keep(train.mapInArrow(_train_words(buckets, classes), "b int, words binary, cls binary, counts binary").groupBy("b").applyInArrow(_merge_words, "v long, by_class array<array<long>>, words binary, cls binary, counts binary"))
+    counted = scratch.keep(train.mapInArrow(_train_words(buckets, classes), "b int, words binary, cls binary, counts binary").groupBy("b").applyInArrow(_trimmed(_merge_words), "v long, by_class array<array<long>>, words binary, cls binary, counts binary"))
     by_class = np.zeros((2, CLASSES), np.int64)
     v = 0
     for r in counted.filter("by_class is not null").select("v", "by_class").toLocalIterator():
