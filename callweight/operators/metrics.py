@@ -14,7 +14,7 @@ from ..fixpoint import connected_components
 from ..fixpoint import durable as durable
 from . import rules as _rules  # noqa: F401  (conditions of conditional_per_root)
 
-DOUBLING_LIMIT = 20_000  # residual nodes up to which components come from a doubled closure
+DOUBLING_LIMIT = 4_000  # residual nodes up to which components come from a doubled closure, of 16 million pairs at most
 
 
 def closure_doubling(edges: DataFrame, max_iter: int = 40) -> DataFrame:
