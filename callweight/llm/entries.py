@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .ann import nearest_sharing
+from .audit import filter_audit
 from .decontam import leaks
 from .html import extract
 from .jaccard import near_duplicates
@@ -61,6 +62,10 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"), crc_is(3, 1))
 
 
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -96,5 +101,30 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.u) AS component_id FROM n JOIN r ON r.
 """
 
 
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS again FROM documents),
+y AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CAST(len(w) < 50 AS INT) AS A, CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT) AS B,
+    CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS INT) AS C, CAST(regexp_matches(t, '[#$%&*|]') AS INT) AS D, CAST(coalesce(again, false) AS INT) AS E
+  FROM d LEFT JOIN y USING (doc_id)),
+o AS (SELECT c AS o FROM unnest(['A', 'B', 'C', 'D', 'E']) AS x(c) UNION ALL SELECT o || c FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS x(c) WHERE length(o) < 5 AND NOT contains(o, c)),
+c AS (SELECT part, A, B, C, D, E, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+m AS (SELECT part, n, good, toxic, map {'A': A, 'B': B, 'C': C, 'D': D, 'E': E} AS m, A + B + C + D + E AS fails FROM c),
+s AS (
+  SELECT part, o AS filter_order, step, substr(o, step, 1) AS x, n, good, toxic, fails, m[substr(o, step, 1)] AS own,
+    len(list_filter(range(1, step), lambda i: m[substr(o, i, 1)] = 1)) > 0 AS gone
+  FROM m, o, range(1, 6) AS r(step) WHERE length(o) = 5),
+t AS (
+  SELECT part, filter_order, step, x, sum(CASE WHEN own = 0 AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN own = 1 AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN own = 1 AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN own = 1 AND fails = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN own = 1 AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN own = 1 AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM t
+"""
+
+
 def oracle_sql():
-    return {"op6_ngram_join": OP6_SQL, "op7_ann": OP7_SQL}
+    return {"op6_ngram_join": OP6_SQL, "op7_ann": OP7_SQL, "op13_filter_audit": OP13_SQL}

@@ -69,7 +69,7 @@ def test_stages_on_an_empty_table(spark):
 
 def test_oracles(spark):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in entries.oracle_sql().items():
         rel = con.sql(sql)
