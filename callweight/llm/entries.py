@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from .ann import nearest_sharing
 from .audit import filter_audit
+from .centroids import cluster_vectors
 from .decontam import leaks
 from .html import extract
 from .jaccard import near_duplicates
 from .lm import score_documents
 from .mixing import mix_sources
+from .media import media_digests
 from .passages import repeated_passages
 from .quality import score_documents as score_quality
 from .scale import tables
@@ -62,6 +64,14 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"), crc_is(3, 1))
 
 
+def op11_flac(spark, sf_dir):
+    return media_digests(tables(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark, sf_dir):
+    return cluster_vectors(tables(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
@@ -126,5 +136,28 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
 """
 
 
+def _rounds(n: int) -> str:
+    """CTEs a0, c1, a1, ... cn, an: assign all vectors, move the centroids, n times, and assign."""
+    out = []
+    for r in range(n + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT r, vec_id, arg_min(j, (d, j)) AS j, min(d) AS d FROM (
+  SELECT v.r, v.vec_id, c.j, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i]))) AS d FROM v, c{r} c) GROUP BY r, vec_id)""")
+        if r < n:
+            out.append(f"""s{r} AS (SELECT j, p, count(*) AS n, sum(x) AS s FROM (SELECT a.j, unnest(v.v) AS x, generate_subscripts(v.v, 1) AS p FROM a{r} a JOIN v ON v.r = a.r) GROUP BY j, p),
+c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT j, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY p) AS v FROM s{r} GROUP BY j) m ON m.j = c.j)""")
+    return ",\n".join(out)
+
+
+OP12_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT j, v FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS j, v FROM v) WHERE j < 8),
+{_rounds(10)}
+SELECT vec_id, CAST(a.j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a10 a JOIN c10 c ON c.j = a.j
+"""
+
+
 def oracle_sql():
-    return {"op6_ngram_join": OP6_SQL, "op7_ann": OP7_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op12_centroids": OP12_SQL, "op6_ngram_join": OP6_SQL, "op7_ann": OP7_SQL, "op13_filter_audit": OP13_SQL}
