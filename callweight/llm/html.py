@@ -13,8 +13,8 @@ stays spread.
 Adverts, menus and footers whose text differs on every page have high entropy, so the tree alone
 keeps them. What a page says of itself comes first, therefore: branches of elements and roles that
 are no text of the article (nav, footer, form, script ...), and branches whose class names say so,
-unless such a branch holds most of the page's article. If articles hold most of a page's text, what
-lies outside of them is not main text.
+unless such a branch holds most of the page's article. If articles hold three quarters of a page's
+text, what lies outside of them is not main text.
 """
 
 from __future__ import annotations
@@ -38,8 +38,9 @@ LEAST_PAGES = 4  # distinct pages of a host with a path before its blocks are ju
 # Element, class and role names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
-DROP = frozenset("nav footer aside form script style noscript template iframe svg math canvas object button select option textarea input label fieldset dialog menu head title audio video noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+DROP = frozenset("nav footer aside form script style noscript template iframe svg canvas annotation annotation-xml button select option textarea input label fieldset dialog menu head title audio video noembed noframes xmp".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object math mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom mtable mtr mtd mfenced menclose semantics".split())
+WITHIN = INLINE | frozenset("button select svg canvas label input textarea script style noscript template iframe audio video annotation annotation-xml".split())  # a block goes on around them
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus respond share sharing social related recommended subscribe newsletter signup login search widget toolbar pagination pager".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -76,68 +77,70 @@ def _kind(tag: str, attrs: str) -> tuple[bool, bool, str]:
 
 
 class _Open:
-    """An open container: what is inherited below it, and the child tags it shows."""
+    """An open container: what is inherited below it, and the child tags it shows. `mark` is the
+    number of the innermost container named like clutter, `block` the innermost one that is not inline."""
 
-    __slots__ = ("tag", "drop", "article", "lead", "named", "path", "kids")
+    __slots__ = ("tag", "drop", "article", "lead", "prose", "mark", "path", "block", "kids")
 
-    def __init__(self, tag: str, drop: bool, article: bool, lead: bool, named: tuple, path: int):
-        self.tag, self.drop, self.article, self.lead, self.named, self.path = tag, drop, article, lead, named, path
+    def __init__(self, tag: str, drop: bool, article: bool, lead: bool, prose: bool, mark: int, path: int, above: _Open | None):
+        self.tag, self.drop, self.article, self.lead, self.prose, self.mark, self.path = tag, drop, article, lead, prose, mark, path
+        self.block = above.block if above is not None and tag in INLINE else self
         self.kids: list[str] = []
 
 
 def parse(doc: str) -> list[tuple[str, int, int]]:
     """Blocks of a page in order: (text, path hash, presentation of the container). Branches that
-    the page itself marks as no main text give no blocks."""
-    out: list[tuple] = []  # text, in an article, named containers, path, child tags
-    stack = [_Open("", False, False, False, (), 0)]
+    the page itself marks as no main text give no blocks. Time is linear in the page, however deep."""
+    out: list[tuple] = []  # text, in an article, mark, path, child tags
+    stack = [_Open("", False, False, False, False, 0, 0, None)]
     opened: Counter = Counter()
-    holds_h1: set[int] = set()
+    outer, h1 = [0], [False]  # of each mark: the mark around it, and whether the main heading is in it
     buf: list[str] = []
-    marks = 0
 
     def flush() -> None:
         if buf:
             text = " ".join(_html.unescape("".join(buf)).split())
             buf.clear()
             if text:
-                top = next(x for x in reversed(stack) if x.tag not in INLINE)
-                out.append((text, top.article, top.named, top.path, top.kids))
+                top = stack[-1].block
+                out.append((text, top.article, top.mark, top.path, top.kids))
                 if top.tag == "h1":
-                    holds_h1.update(top.named)
-
-    def shown() -> bool:
-        top = stack[-1]
-        return not top.drop and (not top.lead or any(x.tag == "p" or x.tag in HEADINGS for x in stack))
+                    h1[top.mark] = True
 
     def close(at: int) -> None:
         for x in stack[at:]:
             opened[x.tag] -= 1
         del stack[at:]
 
-    pos, n = 0, len(doc)
+    pos, n, last = 0, len(doc), doc.rfind(">") + 1  # behind the last > there is no tag
     while pos < n:
-        m = _TAG.search(doc, pos)
+        m = _TAG.search(doc, pos, last) if pos < last else None
         upto = m.start() if m else n
-        if upto > pos and shown():
+        top = stack[-1]
+        if upto > pos and not top.drop and (not top.lead or top.prose):
             buf.append(doc[pos:upto])
         if not m:
             break
         pos = m.end()
         tag = (m.group(2) or "").lower()
         if not tag:
+            if m.group().startswith("<!--") and not m.group().endswith("-->"):
+                break  # a comment that never ends
             continue
         if m.group(1):
             if opened[tag] > 0:
-                if tag not in INLINE:
+                i = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
+                if tag not in WITHIN and not stack[i - 1].drop:
                     flush()
-                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
+                close(i)
             continue
         if tag == "br" or tag == "wbr":
             if buf and tag == "br":
                 buf.append(" ")
             continue
-        if tag not in INLINE:
-            flush()
+        if tag not in WITHIN:
+            if not stack[-1].drop:
+                flush()
             if tag in TWINS:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag or stack[i].tag == "p":
@@ -155,35 +158,42 @@ def parse(doc: str) -> list[tuple[str, int, int]]:
             pos = end.end() if end else n
             continue
         drop |= parent.drop or tag == "header" and not parent.article
+        mark = parent.mark
         if named and not drop:
-            marks += 1
-        own = (*parent.named, marks) if named and not drop else parent.named
+            mark = len(outer)
+            outer.append(parent.mark)
+            h1.append(False)
         inside = parent.article or tag in ("article", "main") and not drop
-        top = _Open(tag, drop, inside, parent.lead or lead, own, _hash(f"{parent.path}/{tag}{names}"))
+        top = _Open(tag, drop, inside, parent.lead or lead, parent.prose or tag == "p" or tag in HEADINGS, mark, _hash(f"{parent.path}/{tag}{names}"), parent)
         if not (m.group(3).endswith("/") and tag in ("svg", "path")):
             stack.append(top)
             opened[tag] += 1
     flush()
-    return [(text, path, _hash(">".join(kids))) for text, _, _, path, kids in _own_text(out, holds_h1)]
+    return [(text, path, _hash(">".join(kids))) for text, _, _, path, kids in _own_text(out, outer, h1)]
 
 
-def _own_text(blocks: list[tuple], holds_h1: set[int]) -> list[tuple]:
-    """The blocks without those in named containers and, if articles hold most, outside of them.
+def _own_text(blocks: list[tuple], outer: list[int], h1: list[bool]) -> list[tuple]:
+    """The blocks without those in named containers and, if articles hold nearly all, outside of them.
 
     A named container stays if it holds most of the page's article text, or, on a page without
-    article, most of the text with its main heading.
+    article, most of the text with its main heading. Text outside of articles goes only while it is
+    less than a third of theirs: beyond, the articles may be teasers and the text around them the page's.
     """
     inside = sum(len(b[0]) for b in blocks if b[1])
     whole = inside or sum(len(b[0]) for b in blocks)
-    size: Counter = Counter()
-    for text, article, named, *_ in blocks:
+    size = [0] * len(outer)
+    for text, article, mark, *_ in blocks:
         if article or not inside:
-            for k in named:
-                size[k] += len(text)
-    stay = {k for k, v in size.items() if 2 * v > whole and (inside or k in holds_h1)}
-    left = [b for b in blocks if stay.issuperset(b[2])]
+            size[mark] += len(text)
+    for k in range(len(outer) - 1, 0, -1):  # a container is numbered before those in it
+        size[outer[k]] += size[k]
+        h1[outer[k]] |= h1[k]
+    stay = [True] * len(outer)
+    for k in range(1, len(outer)):
+        stay[k] = stay[outer[k]] and 2 * size[k] > whole and bool(inside or h1[k])
+    left = [b for b in blocks if stay[b[2]]]
     inside = sum(len(b[0]) for b in left if b[1])
-    return [b for b in left if b[1]] if 2 * inside > sum(len(b[0]) for b in left) else left
+    return [b for b in left if b[1]] if 4 * inside > 3 * sum(len(b[0]) for b in left) else left
 
 
 def _hash(text: str) -> int:
