@@ -78,11 +78,11 @@ def _kind(tag: str, attrs: str) -> tuple[bool, bool, str]:
 
 class _Open:
     """An open container: what is inherited below it, and the child tags it shows. `mark` is the
-    number of the innermost container named like clutter, `block` the innermost one that is not inline."""
+    number of the innermost container named like clutter, `article` 1 in an article and 2 in the main element, `block` the innermost one that is not inline."""
 
     __slots__ = ("tag", "drop", "article", "lead", "prose", "mark", "path", "block", "kids")
 
-    def __init__(self, tag: str, drop: bool, article: bool, lead: bool, prose: bool, mark: int, path: int, above: _Open | None):
+    def __init__(self, tag: str, drop: bool, article: int, lead: bool, prose: bool, mark: int, path: int, above: _Open | None):
         self.tag, self.drop, self.article, self.lead, self.prose, self.mark, self.path = tag, drop, article, lead, prose, mark, path
         self.block = above.block if above is not None and tag in INLINE else self
         self.kids: list[str] = []
@@ -92,7 +92,7 @@ def parse(doc: str) -> list[tuple[str, int, int]]:
     """Blocks of a page in order: (text, path hash, presentation of the container). Branches that
     the page itself marks as no main text give no blocks. Time is linear in the page, however deep."""
     out: list[tuple] = []  # text, in an article, mark, path, child tags
-    stack = [_Open("", False, False, False, False, 0, 0, None)]
+    stack = [_Open("", False, 0, False, False, 0, 0, None)]
     opened: Counter = Counter()
     outer, h1 = [0], [False]  # of each mark: the mark around it, and whether the main heading is in it
     buf: list[str] = []
@@ -163,7 +163,7 @@ def parse(doc: str) -> list[tuple[str, int, int]]:
             mark = len(outer)
             outer.append(parent.mark)
             h1.append(False)
-        inside = parent.article or tag in ("article", "main") and not drop
+        inside = max(parent.article, 0 if drop else 2 if tag == "main" else tag == "article")
         top = _Open(tag, drop, inside, parent.lead or lead, parent.prose or tag == "p" or tag in HEADINGS, mark, _hash(f"{parent.path}/{tag}{names}"), parent)
         if not (m.group(3).endswith("/") and tag in ("svg", "path")):
             stack.append(top)
@@ -177,7 +177,8 @@ def _own_text(blocks: list[tuple], outer: list[int], h1: list[bool]) -> list[tup
 
     A named container stays if it holds most of the page's article text, or, on a page without
     article, most of the text with its main heading. Text outside of articles goes only while it is
-    less than a third of theirs: beyond, the articles may be teasers and the text around them the page's.
+    less than a third of theirs: beyond, the articles may be teasers and the text around them the
+    page's. A main element is no teaser; outside of it goes what is less than half.
     """
     inside = sum(len(b[0]) for b in blocks if b[1])
     whole = inside or sum(len(b[0]) for b in blocks)
@@ -193,7 +194,8 @@ def _own_text(blocks: list[tuple], outer: list[int], h1: list[bool]) -> list[tup
         stay[k] = stay[outer[k]] and 2 * size[k] > whole and bool(inside or h1[k])
     left = [b for b in blocks if stay[b[2]]]
     inside = sum(len(b[0]) for b in left if b[1])
-    return [b for b in left if b[1]] if 4 * inside > 3 * sum(len(b[0]) for b in left) else left
+    share = 1 / 2 if any(b[1] == 2 for b in left) else 3 / 4
+    return [b for b in left if b[1]] if inside > share * sum(len(b[0]) for b in left) else left
 
 
 def _hash(text: str) -> int:
