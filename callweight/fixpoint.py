@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 ROUNDS = 100
@@ -31,6 +31,42 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A durable table and its number of rows, counted in the pass that writes it."""
+    seen = Observation()
+    d = durable(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return d, seen.get["n"]
+
+
+class Pile:
+    """Rows that a loop gathers round by round, held in few tables: as soon as WIDE parts of one size
+    are there they are written as one, so a plan over all rounds stays short and a row is written
+    a logarithmic number of times."""
+
+    WIDE = 6
+
+    def __init__(self, first: DataFrame):
+        self.parts = [(0, first)]
+        self.slices = max(1, first.rdd.getNumPartitions())
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append((0, part))
+        while len(self.parts) >= self.WIDE and len({size for size, _ in self.parts[-self.WIDE :]}) == 1:
+            size, last = self.parts[-1][0], [p for _, p in self.parts[-self.WIDE :]]
+            self.parts[-self.WIDE :] = [(size + 1, durable(_union(last).coalesce(self.slices)))]
+
+    @property
+    def all(self) -> DataFrame:
+        return _union([p for _, p in self.parts])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = durable, free: Callable[[DataFrame], None] = lambda _: None) -> DataFrame:
     """(v, component): the smallest vertex reachable from each vertex of edges(a, b).
 

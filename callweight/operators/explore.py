@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixpoint import durable
+from ..fixpoint import Pile, counted, durable
 from .metrics import closure_doubling, closure_seeded, components, peaks
 
 BUDGET, PATHS, PATH_LENGTH = 600, 5, 32
@@ -18,15 +18,15 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 def bfs(edges: DataFrame, start: DataFrame, hops: int | None = None) -> DataFrame:
     """(id, hop): nodes within `hops` edges of start(id), the start at 0."""
     e = durable(edges.select(F.col("src").alias("id"), F.col("dst").alias("next")).distinct())
-    seen = durable(start.select("id", F.lit(0).alias("hop")))
-    new, k = seen, 0
+    new, k = durable(start.select("id", F.lit(0).alias("hop"))), 0
+    seen = Pile(new)
     while hops is None or k < hops:
         k += 1
-        new = durable(new.join(e, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(k).alias("hop")))
-        if new.isEmpty():
+        new, n = counted(new.join(e, "id").select(F.col("next").alias("id")).distinct().join(seen.all, "id", "left_anti").select("id", F.lit(k).alias("hop")))
+        if n == 0:
             break
-        seen = seen.union(new)
-    return durable(seen)
+        seen.add(new)
+    return durable(seen.all)
 
 
 def neighbourhood(edges: DataFrame, focus, up: int, down: int, budget: int = BUDGET) -> tuple[DataFrame, DataFrame, bool]:
@@ -62,13 +62,22 @@ def drill_down(depth: int | None) -> tuple[int, int]:
     return 0, min(20, max(1, (6 if depth is None else depth) - 1))
 
 
+def _ranked(paths: DataFrame, by: str, limit: int) -> DataFrame:
+    """The heaviest `limit` paths of each `by`, equals in the order of their nodes."""
+    r = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("total"), "nodes"))
+    return paths.withColumn("rank", r).filter(F.col("rank") <= limit)
+
+
 def paths_from(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int = PATH_LENGTH, limit: int | None = None) -> DataFrame:
     """(start, nodes, total, by_cycle, by_depth): every path from starts(id) to a leaf, to the
     depth cap, or to a node it has been at, which is repeated at its end and counted again. With
-    `limit` the heaviest of each start; paths of one node stay only where a start has no other.
+    `limit` the heaviest of each start with their rank, found without listing the others; paths of
+    one node stay only where a start has no other.
     """
     e = durable(edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct())
     w = nodes.select("id", F.coalesce("frame", F.lit(0)).cast("long").alias("w"))
+    if limit is not None:
+        return _best_paths(w, e, starts, max_depth, limit)
     step = durable(e.join(w.withColumnRenamed("id", "next"), "next"))
     live = durable(starts.select("id").distinct().join(w, "id").select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("nodes"), F.col("w").alias("total")))
     leaf = e.select("at").distinct()
@@ -79,34 +88,119 @@ def paths_from(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth:
             done = end if done is None else done.union(end)
             break
         end = live.join(leaf, "at", "left_anti").select("start", "nodes", "total", F.lit(False).alias("by_cycle"), F.lit(False).alias("by_depth"))
-        grown = durable(live.join(step, "at").select("start", F.col("next").alias("at"), F.array_append("nodes", F.col("next")).alias("nodes"), (F.col("total") + F.col("w")).alias("total"), F.array_contains("nodes", F.col("next")).alias("again")))
+        grown = durable(_walked(live, step))
         cyc = grown.filter("again").select("start", "nodes", "total", F.lit(True).alias("by_cycle"), F.lit(False).alias("by_depth"))
         done = end.union(cyc) if done is None else done.union(end).union(cyc)
         live = grown.filter("not again").drop("again")
         if live.isEmpty():
             break
-    if limit is None:
-        return done
+    return done
+
+
+def _walked(live: DataFrame, step: DataFrame) -> DataFrame:
+    """Open walks one call further; `again` tells that the new node was on the walk."""
+    return live.join(step, "at").select("start", F.col("next").alias("at"), F.array_append("nodes", F.col("next")).alias("nodes"), (F.col("total") + F.col("w")).alias("total"), F.array_contains("nodes", F.col("next")).alias("again"))
+
+
+def _best_paths(w: DataFrame, e: DataFrame, starts: DataFrame, max_depth: int, limit: int) -> DataFrame:
+    """The `limit` heaviest paths of each start.
+
+    A node that reaches no cycle keeps a sorted list of its `limit` best ways down; a caller's list
+    is the best of its callees' lists, so 2^40 paths through a ladder are never made. Where the
+    depth cap can bind, a list is kept for each number of calls left, as long as it still changes.
+    Walks are made one by one only through nodes that reach a cycle, where what may follow depends
+    on the whole walk; on leaving these, a walk takes the lists of the node it comes to.
+    """
+    ids = durable(starts.select("id").distinct().join(w.select("id"), "id", "left_semi"))
+    near = bfs(e.toDF("src", "dst"), ids, max_depth)
+    e = durable(e.join(near.select(F.col("id").alias("at")), "at", "left_semi").join(w.select(F.col("id").alias("next"), F.col("w").alias("nw")), "next").join(w.toDF("at", "w"), "at").select("at", "next", "w", "nw"))
+    here = near.select("id").union(e.select("next")).distinct().join(w, "id")
+    has_calls = e.select(F.col("at").alias("id")).distinct()
+    own = lambda d, deep: d.select("id", F.array("id").alias("nodes"), F.col("w").alias("total"), F.lit(deep).alias("by_depth"))
+
+    def merged(targets: DataFrame, lists: DataFrame) -> DataFrame:
+        got = e.join(targets.withColumnRenamed("id", "at"), "at", "left_semi").join(lists.withColumnRenamed("id", "next"), "next")
+        ways = got.select(F.col("at").alias("id"), F.concat(F.array("at"), "nodes").alias("nodes"), (F.col("w") + F.col("total")).alias("total"), "by_depth")
+        return durable(_ranked(ways, "id", limit).drop("rank"))
+
+    # From the leaves up, a node gets its list once all its callees have theirs. A node that never does reaches a cycle.
+    new = durable(own(here.join(has_calls, "id", "left_anti"), False))
+    lists, open_, height, n = Pile(new), e.select("at", "next"), 1, 1
+    while n:
+        done = new.select(F.col("id").alias("next")).distinct()
+        left, n = counted(open_.join(done, "next", "left_anti"))
+        ready = open_.join(done, "next", "left_semi").select(F.col("at").alias("id")).distinct().join(left.select(F.col("at").alias("id")).distinct(), "id", "left_anti")
+        new = merged(ready, lists.all) if height < max_depth else durable(ready)  # where the cap binds, only who reaches a cycle matters
+        open_ = left
+        if new.isEmpty():
+            break
+        height += 1
+        if height <= max_depth:
+            lists.add(new)
+    bad = durable(open_.select(F.col("at").alias("id")).distinct())
+    if n == 0 and height <= max_depth:
+        found = lists.all.join(ids, "id", "left_semi").select(F.col("id").alias("start"), "nodes", "total", F.lit(False).alias("by_cycle"), "by_depth")
+    else:
+        good = durable(here.join(bad, "id", "left_anti"))
+        inner = durable(e.join(good.select(F.col("id").alias("at")), "at", "left_semi"))
+        # all_ holds (id, left, ...): the list of a node from that number of calls left on, until a larger `left`
+        now, has_calls = durable(own(good, True)), has_calls.join(good, "id", "left_semi")
+        all_, new = Pile(now.withColumn("left", F.lit(0))), None
+        for left in range(1, max_depth + 1):
+            if left == 1:
+                new = own(good.join(has_calls, "id", "left_anti"), False).union(merged(has_calls, now))
+            else:
+                new = merged(inner.join(new.select(F.col("id").alias("next")).distinct(), "next", "left_semi").select(F.col("at").alias("id")).distinct(), now)
+            new = durable(new)
+            if new.isEmpty():
+                break
+            all_.add(new.withColumn("left", F.lit(left)))
+            now = durable(now.join(new.select("id").distinct(), "id", "left_anti").union(new))
+        all_ = durable(all_.all)
+        since = durable(all_.select("id", "left").distinct().withColumn("until", F.lead("left").over(Window.partitionBy("id").orderBy("left"))))
+        all_ = all_.join(since, ["id", "left"]).select(F.col("id").alias("at"), F.col("nodes").alias("rest"), F.col("total").alias("below"), F.col("by_depth").alias("deep"), "left", "until")
+
+        def closed(live: DataFrame, left: int) -> DataFrame:
+            """Walks at nodes that reach no cycle, with each of the best ways on."""
+            got = live.join(all_.filter((F.col("left") <= left) & (F.coalesce("until", F.lit(left + 1)) > left)), "at")
+            ways = got.select("start", F.concat("nodes", "rest").alias("nodes"), (F.col("total") + F.col("below")).alias("total"), F.lit(False).alias("by_cycle"), F.col("deep").alias("by_depth"))
+            return durable(_ranked(ways, "start", limit).drop("rank"))
+
+        none = lambda d: d.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array().cast(f"array<{dict(ids.dtypes)['id']}>").alias("nodes"), F.lit(0).cast("long").alias("total"))
+        found = closed(none(ids.join(good.select("id"), "id", "left_semi")), max_depth)
+        live = durable(ids.join(bad, "id", "left_semi").join(w, "id").select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("nodes"), F.col("w").alias("total")))
+        step = durable(e.join(bad.withColumnRenamed("id", "at"), "at", "left_semi").select("at", "next", F.col("nw").alias("w")))
+        for k in range(max_depth + 1):
+            if live.isEmpty():
+                break
+            if k == max_depth:
+                found = found.union(live.select("start", "nodes", "total", F.lit(False).alias("by_cycle"), F.lit(True).alias("by_depth")))
+                break
+            grown = durable(_walked(live, step))
+            found = found.union(grown.filter("again").select("start", "nodes", "total", F.lit(True).alias("by_cycle"), F.lit(False).alias("by_depth")))
+            away = grown.filter("not again").join(good.toDF("at", "aw"), "at")
+            # the list of the next node starts with that node, which the walk has already
+            away = away.select("start", "at", F.slice("nodes", F.lit(1), F.size("nodes") - 1).alias("nodes"), (F.col("total") - F.col("aw")).alias("total"))
+            found = found.union(closed(away, max_depth - k - 1))
+            live = durable(grown.filter("not again").drop("again").join(bad.withColumnRenamed("id", "at"), "at", "left_semi"))
     several = F.max(F.size("nodes")).over(Window.partitionBy("start")) > 1
-    d = done.withColumn("__m", several).filter(~F.col("__m") | (F.size("nodes") > 1)).drop("__m").dropDuplicates(["start", "nodes"])
-    r = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("total"), F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">")))
-    return d.withColumn("rank", r).filter(F.col("rank") <= limit)
+    found = _ranked(found, "start", limit + 1).drop("rank")
+    return _ranked(found.withColumn("__m", several).filter(~F.col("__m") | (F.size("nodes") > 1)).drop("__m"), "start", limit)
 
 
 def paths_to(nodes: DataFrame, edges: DataFrame, ends: DataFrame, max_depth: int = PATH_LENGTH, limit: int | None = None, pinned: DataFrame | None = None) -> DataFrame:
     """The same towards ends(id), written root to end: reversed edges, at which pinned roots other
-    than the end are terminal. Paths of one node and mere self loops are left out."""
+    than the end are terminal. Paths of one node and mere self loops are left out. With `limit`,
+    equals come in the order of their nodes from the end up."""
     e = reversed_edges(edges.select("src", "dst"))
     if pinned is not None:
-        stop = pinned.join(ends, "id", "left_anti").select(F.col("id").alias("src"))
-        e = e.join(stop, "src", "left_anti")
-    p = paths_from(nodes, e, ends, max_depth)
+        e = e.join(pinned.join(ends, "id", "left_anti").select(F.col("id").alias("src")), "src", "left_anti")
+    p = paths_from(nodes, e, ends, max_depth, None if limit is None else limit + 1)
     p = p.filter((F.size("nodes") > 1) & ~((F.size("nodes") == 2) & (F.col("nodes")[0] == F.col("nodes")[1])))
-    p = p.select(F.col("start").alias("end"), F.reverse("nodes").alias("nodes"), "total", "by_cycle", "by_depth")
-    if limit is None:
-        return p
-    r = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("total"), F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">")))
-    return p.dropDuplicates(["end", "nodes"]).withColumn("rank", r).filter(F.col("rank") <= limit)
+    if limit is not None:
+        p = _ranked(p.drop("rank"), "start", limit)
+    also = ["rank"] if limit is not None else []
+    return p.select(F.col("start").alias("end"), F.reverse("nodes").alias("nodes"), "total", "by_cycle", "by_depth", *also)
 
 
 def paths_capped(nodes: DataFrame, edges: DataFrame, starts: DataFrame, limit: int = PATHS, max_depth: int = PATH_LENGTH) -> DataFrame:

@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixpoint import connected_components
+from ..fixpoint import Pile, connected_components, counted
 from ..fixpoint import durable as durable
 from . import rules as _rules  # noqa: F401  (conditions of conditional_per_root)
 
-DOUBLING_LIMIT = 4_000  # residual nodes up to which components come from a doubled closure, of 16 million pairs at most
-
+STEP_ROWS, FREE_ROWS = 20, 1_000_000  # rows a doubling step of a closure may make for each edge, and anyway
 
 def closure_doubling(edges: DataFrame, max_iter: int = 40) -> DataFrame:
     """(a, b): b is reachable from a by one edge or more. Logarithmic rounds, quadratic size; for
@@ -35,24 +34,24 @@ def closure_doubling(edges: DataFrame, max_iter: int = 40) -> DataFrame:
 def closure_seeded(edges: DataFrame, seeds: DataFrame, max_iter: int = 100_000) -> DataFrame:
     """(seed, node): nodes that each seed reaches, itself included. Only new pairs move on."""
     e = durable(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
-    seen = durable(seeds.select("seed", F.col("seed").alias("node")).distinct())
-    new = seen
+    new = durable(seeds.select("seed", F.col("seed").alias("node")).distinct())
+    seen = Pile(new)
     for _ in range(max_iter):
-        new = durable(new.join(e, "node").select("seed", F.col("next").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti"))
-        if new.isEmpty():
-            return durable(seen)
-        seen = seen.union(new)
+        new, n = counted(new.join(e, "node").select("seed", F.col("next").alias("node")).distinct().join(seen.all, ["seed", "node"], "left_anti"))
+        if n == 0:
+            return durable(seen.all)
+        seen.add(new)
     raise RuntimeError(f"the closure still grows after {max_iter} rounds")
 
 
 def trim(edges: DataFrame, max_iter: int = 1000) -> DataFrame:
     """Edges that may lie on a cycle: nodes without a caller or without a callee are peeled off.
     Self loops stay. Fewer rounds leave more edges and stay correct for `components`."""
-    e = durable(edges.select("src", "dst").distinct())
-    n = e.count()
+    e, n = counted(edges.select("src", "dst").distinct())
     for _ in range(max_iter):
-        e = durable(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        now = e.count()
+        if n == 0:
+            break
+        e, now = counted(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         if now == n:
             break
         n = now
@@ -84,25 +83,76 @@ def _scc_colour(e: DataFrame, max_iter: int = 10_000) -> DataFrame:
     raise RuntimeError(f"components are left after {max_iter} colourings")
 
 
-def components(nodes: DataFrame, edges: DataFrame, limit: int = DOUBLING_LIMIT) -> DataFrame:
+def _reach(e: DataFrame, pivot, max_iter: int = 1_000_000) -> DataFrame:
+    """(id): the component of one node, as what it reaches and is reached from. Both searches go
+    in the same rounds; a round moves new nodes only."""
+    both = durable(e.select(F.col("src").alias("id"), F.col("dst").alias("next"), F.lit(True).alias("down")).union(e.select(F.col("dst"), F.col("src"), F.lit(False))))
+    kind = dict(e.dtypes)["src"]
+    new = durable(e.sparkSession.createDataFrame([(pivot, True), (pivot, False)], f"id {kind}, down boolean").coalesce(1))
+    seen = Pile(new)
+    for _ in range(max_iter):
+        new, n = counted(new.join(both, ["id", "down"]).select(F.col("next").alias("id"), "down").distinct().join(seen.all, ["id", "down"], "left_anti"))
+        if n == 0:
+            return durable(seen.all.groupBy("id").agg(F.count("*").alias("n")).filter("n = 2").select("id"))
+        seen.add(new)
+    raise RuntimeError(f"a search still grows after {max_iter} rounds")
+
+
+def _without(e: DataFrame, gone: DataFrame) -> DataFrame:
+    return e.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+
+
+def _scc_closure(e: DataFrame) -> DataFrame | None:
+    """(id, scc) from a doubled closure, or None as soon as a step would make more than STEP_ROWS
+    rows for each edge and more than FREE_ROWS: short paths and small components only."""
+    r, n = counted(e.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
+    most = max(FREE_ROWS, STEP_ROWS * n)
+    while True:
+        made = r.groupBy(F.col("b").alias("m")).count().join(r.groupBy(F.col("a").alias("m")).agg(F.count("*").alias("o")), "m").agg(F.sum(F.col("count") * F.col("o"))).first()[0] or 0
+        if made > most:
+            return None
+        r, now = counted(r.union(r.select("a", F.col("b").alias("m")).join(r.select(F.col("a").alias("m"), "b"), "m").select("a", "b")).distinct())
+        if now == n:
+            both = r.join(r.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
+            return both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("scc"))
+        n = now
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, scc, size, recursive): the smallest id of each node's strongly connected component,
-    its size, and whether the node is on a cycle (component of two or more, or a self loop)."""
-    e = trim(edges, 6)  # long tails would need a round each; doubling takes them in its stride
+    its size, and whether the node is on a cycle (component of two or more, or a self loop).
+
+    What lies on no cycle is peeled off first. What is left is closed by doubling as long as that
+    stays small. Beyond, the component of a node of the highest degree is found by a search from
+    it and one to it, as long as such a component holds a tenth of the nodes: a large one costs a
+    few passes over the edges. The many small ones that are then left come from a closure again,
+    or from colouring.
+    """
+    e = trim(edges, 3)  # long tails would need a round each; doubling and the searches take them in their stride
     loops = e.filter("src = dst").select(F.col("src").alias("id")).distinct().withColumn("loop", F.lit(True))
-    left = e.filter("src <> dst")
-    n = left.select("src").distinct().count()
-    if n == 0:
-        comp = nodes.select("id", F.col("id").alias("scc"))
-    else:
-        if n <= limit:
-            c = closure_doubling(left)
-            both = c.join(c.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
-            comp = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("scc"))
-        else:
+    left, more = counted(e.filter("src <> dst"))
+    found = []
+    while more:
+        raw = _scc_closure(left)
+        if raw is not None:
+            found.append(raw)
+            break
+        ends = left.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o")).join(left.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("i")), "id")
+        n, top = ends.agg(F.count("*"), F.max_by("id", F.struct(F.col("o") * F.col("i"), "id"))).first()
+        one = _reach(left, top)
+        size, least = one.agg(F.count("*"), F.min("id")).first()
+        found.append(one.select("id", F.lit(least).alias("scc")))
+        left, more = counted(trim(_without(left, one), 3))
+        if more and size * 10 < n:
             raw = _scc_colour(left)
-            least = raw.groupBy("scc").agg(F.min("id").alias("l"))
-            comp = raw.join(least, "scc").select("id", F.col("l").alias("scc"))
-        comp = nodes.select("id").join(comp, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
+            found.append(raw.join(raw.groupBy("scc").agg(F.min("id").alias("l")), "scc").select("id", F.col("l").alias("scc")))
+            break
+    comp = nodes.select("id", F.col("id").alias("scc"))
+    if found:
+        known = found[0]
+        for f in found[1:]:
+            known = known.union(f)
+        comp = nodes.select("id").join(known, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
     size = comp.groupBy("scc").agg(F.count("*").alias("size"))
     return durable(comp.join(size, "scc").join(loops, "id", "left").select("id", "scc", "size", ((F.col("size") > 1) | F.coalesce("loop", F.lit(False))).alias("recursive")))
 
@@ -202,34 +252,41 @@ def find_roots(nodes: DataFrame, edges: DataFrame, pinned: DataFrame | None = No
 
 
 def relax_up(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 256) -> DataFrame:
-    """(root, id, depth, entry): longest chain and heaviest sum of frames from each root to each
-    node it reaches, both ends included and each maximised on its own, in an acyclic graph."""
+    """(root, id, depth, entry, truncated): longest chain and heaviest sum of frames from each root to
+    each node it reaches, both ends included and each maximised on its own, in an acyclic graph.
+
+    A chain counts `len` of its nodes and grows no more once it counts max_depth; truncated tells
+    that a chain to this node stopped there with calls to go on, so nodes behind it may lack it."""
     e = durable(edges.select("src", "dst").distinct().join(nodes.select(F.col("id").alias("dst"), F.col("w").alias("dw"), F.col("len").alias("dlen")), "dst"))
-    # Round k holds the best chain of k steps for each pair, so a round meets the edges only, never
+    # Round k holds the best chains of k steps for each pair, so a round meets the edges only, never
     # the pairs of other rounds; what is best over all rounds is asked once, at the end.
     new = durable(seeds.select(F.col("root"), F.col("root").alias("id")).join(nodes, "id").select("root", "id", F.col("len").alias("depth"), F.col("w").alias("entry")))
-    all_ = new
-    for _ in range(max_depth):
-        step = new.withColumnRenamed("id", "src").join(e, "src").groupBy("root", F.col("dst").alias("id"))
+    all_, steps = Pile(new), 0
+    while steps < max_depth:
+        steps += 1
+        step = new.filter(F.col("depth") < max_depth).withColumnRenamed("id", "src").join(e, "src").groupBy("root", F.col("dst").alias("id"))
         new = durable(step.agg(F.max(F.col("depth") + F.col("dlen")).alias("depth"), F.max(F.col("entry") + F.col("dw")).alias("entry")))
         if new.isEmpty():
             break
-        all_ = all_.union(new)
-    return all_.groupBy("root", "id").agg(F.max("depth").alias("depth"), F.max("entry").alias("entry"))
+        all_.add(new)
+    goes_on = e.select(F.col("src").alias("id")).distinct().withColumn("more", F.lit(True))
+    best = all_.all.groupBy("root", "id").agg(F.max("depth").alias("depth"), F.max("entry").alias("entry"))
+    return best.join(goes_on, "id", "left").select("root", "id", "depth", "entry", ((F.col("depth") >= max_depth) & F.col("more").isNotNull()).alias("truncated"))
 
 
 def per_root(nodes: DataFrame, edges: DataFrame, pk: DataFrame, roots: DataFrame, max_depth: int = 256) -> DataFrame:
-    """(id, root, depth, entry, peak, bounded, is_auto, is_pinned): how each root sees each node;
-    peak = entry + own peak - own frame, the heaviest full chain through the node. Chains run over
-    components; inside one, entry and depth take the component's bound."""
+    """(id, root, depth, entry, peak, bounded, is_auto, is_pinned, truncated): how each root sees each
+    node; peak = entry + own peak - own frame, the heaviest full chain through the node. Chains run
+    over components; inside one, entry and depth take the component's bound. Depths beyond
+    max_depth nodes are not followed; truncated marks where."""
     w = nodes.join(pk, "id").groupBy("scc").agg(F.sum(F.coalesce("frame", F.lit(0))).cast("long").alias("w"), F.count("*").cast("long").alias("len"))
     scc = pk.select("id", "scc")
     ce = edges.join(scc.toDF("src", "s"), "src").join(scc.toDF("dst", "d"), "dst").filter("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct()
     seeds = roots.join(scc.withColumnRenamed("id", "root"), "root").select(F.col("scc").alias("root")).distinct()
     up = relax_up(seeds, w.withColumnRenamed("scc", "id"), ce, max_depth)
-    out = up.select(F.col("root").alias("rscc"), F.col("id").alias("scc"), "depth", "entry").join(pk.drop("down_depth", "recursive"), "scc").join(w.select("scc", "w"), "scc")
+    out = up.select(F.col("root").alias("rscc"), F.col("id").alias("scc"), "depth", "entry", "truncated").join(pk.drop("down_depth", "recursive"), "scc").join(w.select("scc", "w"), "scc")
     out = out.join(roots.join(scc.toDF("root", "rscc"), "root"), "rscc")
-    return out.select("id", "root", F.col("depth").cast("int").alias("depth"), "entry", (F.col("entry") + F.col("peak") - F.col("w")).alias("peak"), "bounded", "is_auto", "is_pinned")
+    return out.select("id", "root", F.col("depth").cast("int").alias("depth"), "entry", (F.col("entry") + F.col("peak") - F.col("w")).alias("peak"), "bounded", "is_auto", "is_pinned", "truncated")
 
 
 def conditional_per_root(nodes: DataFrame, edges: DataFrame, roots: DataFrame, conditions: list, max_depth: int = 256, compat_entry: bool = False) -> DataFrame:

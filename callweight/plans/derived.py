@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..fixpoint import durable
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,14 +38,15 @@ def _ends(spark: SparkSession, sf_dir: str, *what: str) -> DataFrame:
 
 
 def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls inside a family (part type) from a layer (brand number) to a later one: no cycle."""
+    """Calls inside a family (part type) from a layer (brand number) to a later one: no cycle.
+    A table of its own: whoever reads it twice does not derive it twice."""
     e = _ends(spark, sf_dir, "p_type", "layer").filter("a_p_type = b_p_type and a_layer < b_layer")
-    return _numbered(e)
+    return durable(_numbered(e))
 
 
 def cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls inside a file (brand): components of all shapes."""
-    return _numbered(_ends(spark, sf_dir, "p_brand").filter("a_p_brand = b_p_brand"))
+    return durable(_numbered(_ends(spark, sf_dir, "p_brand").filter("a_p_brand = b_p_brand")))
 
 
 CTE = """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import program
 from ..functions import scalars as S
-from ..operators import explore, metrics, resolve, rules, views
+from ..operators import delta, explore, metrics, resolve, rules, views
 from ..sources import readers
 from ..streaming import incremental
 from . import derived as D
@@ -470,6 +470,15 @@ def legacy_depths(spark, sf):
     return metrics.legacy_depths(n.withColumn("frame", F.when(F.col("frame") % 32 == 0, F.col("frame"))), D.dag(spark, sf))
 
 
+@query(f"WITH {CONDENSED_SQL} SELECT S.id, CAST(max(v) AS BIGINT) AS peak, CAST(max(d) AS INTEGER) AS down_depth, bool_or(n IN (SELECT S.scc FROM REC JOIN S ON S.id = REC.id)) AS bounded, S.id IN (SELECT id FROM REC) AS recursive FROM S JOIN CP ON CP.s = S.scc GROUP BY S.id")
+def delta_metrics(spark, sf):
+    """A build of the direct calls and reversed first calls, then the edit to all calls."""
+    n, e = D.nodes(spark, sf), D.cyclic(spark, sf)
+    old = delta.snapshot(n.filter("id % 50 <> 7").withColumn("frame", F.when(F.col("id") % 9 == 0, 8).otherwise(F.col("frame"))), e.filter("not indirect").select("src", "dst").union(e.filter("seq = 1").select("dst", "src")))
+    new, _ = delta.edited(old, delta.edit_between(old, n, e))
+    return new.metrics.select("id", "peak", "down_depth", "bounded", "recursive")
+
+
 # Exploration.
 
 FOCUS = 13
@@ -509,8 +518,8 @@ def neighborhood_edges(spark, sf):
     return explore.neighbourhood(D.dag(spark, sf), FOCUS, 3, 4)[1]
 
 
-WALK_SQL = """PT AS (SELECT id AS start, id AS n, frame AS total, 1 AS d, CAST(id AS VARCHAR) AS path FROM V
-UNION ALL SELECT PT.start, E_dag.dst, PT.total + V.frame, PT.d + 1, PT.path || '>' || CAST(E_dag.dst AS VARCHAR) FROM PT JOIN E_dag ON E_dag.src = PT.n JOIN V ON V.id = E_dag.dst),
+WALK_SQL = """PT AS (SELECT id AS start, id AS n, frame AS total, 1 AS d, [id] AS path FROM V
+UNION ALL SELECT PT.start, E_dag.dst, PT.total + V.frame, PT.d + 1, list_append(PT.path, E_dag.dst) FROM PT JOIN E_dag ON E_dag.src = PT.n JOIN V ON V.id = E_dag.dst),
 DONE AS (SELECT * FROM PT WHERE n NOT IN (SELECT src FROM E_dag))"""
 
 
@@ -518,7 +527,7 @@ def _text(c="nodes"):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ">")
 
 
-@query(f"WITH {WALK_SQL}, M AS (SELECT *, max(d) OVER (PARTITION BY start) AS m FROM DONE), R AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY total DESC, path) AS rank FROM M WHERE m = 1 OR d > 1) SELECT start, path, total, CAST(rank AS INTEGER) AS rank FROM R WHERE rank <= 5")
+@query(f"WITH {WALK_SQL}, M AS (SELECT *, max(d) OVER (PARTITION BY start) AS m FROM DONE), R AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY total DESC, path) AS rank FROM M WHERE m = 1 OR d > 1) SELECT start, array_to_string(path, '>') AS path, total, CAST(rank AS INTEGER) AS rank FROM R WHERE rank <= 5")
 def paths_from(spark, sf):
     n = D.nodes(spark, sf)
     p = explore.paths_from(n, D.dag(spark, sf), n, limit=explore.PATHS)
@@ -533,6 +542,32 @@ def paths_to(spark, sf):
     return explore.paths_to(n, D.dag(spark, sf), n).select("end", _text().alias("path"), "total")
 
 
+BACK_SQL = """PT AS (SELECT id AS e, id AS n, frame AS total, 1 AS d, [id] AS path FROM V
+UNION ALL SELECT PT.e, E_dag.src, PT.total + V.frame, PT.d + 1, list_append(PT.path, E_dag.src) FROM PT JOIN E_dag ON E_dag.dst = PT.n JOIN V ON V.id = E_dag.src),
+R AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY total DESC, path) AS rank FROM PT WHERE d > 1 AND n NOT IN (SELECT dst FROM E_dag))"""
+
+
+@query(f"""WITH {BACK_SQL} SELECT e AS "end", array_to_string(list_reverse(path), '>') AS path, total, CAST(rank AS INTEGER) AS rank FROM R WHERE rank <= 5""")
+def paths_to_limited(spark, sf):
+    n = D.nodes(spark, sf)
+    p = explore.paths_to(n, D.dag(spark, sf), n, limit=explore.PATHS)
+    return p.select("end", _text().alias("path"), "total", F.col("rank").cast("int").alias("rank"))
+
+
+CYCLE_WALK_SQL = """PT AS (SELECT id AS start, id AS n, frame AS total, [id] AS path, false AS c FROM V
+UNION ALL SELECT PT.start, E_cyc.dst, PT.total + V.frame, list_append(PT.path, E_cyc.dst), list_contains(PT.path, E_cyc.dst) FROM PT JOIN E_cyc ON E_cyc.src = PT.n JOIN V ON V.id = E_cyc.dst WHERE NOT PT.c AND len(PT.path) <= 6),
+DONE AS (SELECT start, total, path, c AS by_cycle, NOT c AND len(path) = 7 AS by_depth FROM PT WHERE c OR len(path) = 7 OR n NOT IN (SELECT src FROM E_cyc)),
+M AS (SELECT *, max(len(path)) OVER (PARTITION BY start) AS m FROM DONE),
+R AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY total DESC, path) AS rank FROM M WHERE m = 1 OR len(path) > 1)"""
+
+
+@query(f"WITH {CYCLE_WALK_SQL} SELECT start, array_to_string(path, '>') AS path, total, by_cycle, by_depth, CAST(rank AS INTEGER) AS rank FROM R WHERE rank <= 5")
+def paths_cyclic(spark, sf):
+    n = D.nodes(spark, sf)
+    p = explore.paths_from(n, D.cyclic(spark, sf), n, max_depth=6, limit=5)
+    return p.select("start", _text().alias("path"), "total", "by_cycle", "by_depth", F.col("rank").cast("int").alias("rank"))
+
+
 @query("""WITH PT AS (SELECT id AS start, id AS n, frame AS total, 1 AS d, CAST(id AS VARCHAR) AS path, CAST('' AS VARCHAR) AS walk FROM V
 UNION ALL SELECT PT.start, E_dag.dst, PT.total + V.frame, PT.d + 1, PT.path || '>' || CAST(E_dag.dst AS VARCHAR), PT.walk || lpad(CAST(E_dag.seq AS VARCHAR), 6, '0') FROM PT JOIN E_dag ON E_dag.src = PT.n JOIN V ON V.id = E_dag.dst),
 FIRST20 AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY walk) AS k FROM PT WHERE n NOT IN (SELECT src FROM E_dag)),

@@ -18,12 +18,13 @@ from .fixpoint import durable
 from .functions.scalars import matches_globs
 from .operators import metrics, resolve, rules, views
 from .schema import FRAMES
-from .sources import readers, sinks
+from .sources import cache, readers, sinks
 
 log = logging.getLogger("callweight")
 
-# Exit codes.
+# Exit codes, and rule files that a root may hold.
 NO_BUILD_DB, NO_FACTS = 2, 3
+OVERRIDE_FILE, REMOVAL_FILE = "fp-overrides.json", "edge-removals.json"
 
 
 class Graph(NamedTuple):
@@ -81,14 +82,14 @@ def with_frames(functions: DataFrame, frames: DataFrame) -> DataFrame:
     return f.unionByName(resolve.ghosts(functions, by_name), allowMissingColumns=True).withColumn("decl_file", F.coalesce("decl_file", "file")).withColumn("qualifier", F.coalesce("qualifier", F.lit("")))
 
 
-def run(tables: dict[str, DataFrame], frames: DataFrame, overrides: Sequence[dict] = (), removals: Sequence[dict] = (), root_patterns: Sequence[str] = (), max_depth: int = 256) -> dict[str, DataFrame]:
+def run(tables: dict[str, DataFrame], frames: DataFrame, overrides: Sequence[dict] = (), removals: Sequence[dict] = (), root_patterns: Sequence[str] = (), max_depth: int = 256) -> dict:
     """All result tables: functions, calls, sites, metrics, per_root, roots, unused_overrides,
-    unused_removals."""
+    unused_removals; and the list of conditions that calls name by cond_id."""
     g = build(tables, overrides, removals)
     f = durable(with_frames(g.functions, frames))
     pinned = f.filter(matches_globs("decl_file", list(root_patterns))).select("id") if root_patterns else None
     got = metrics.analyse(f, g.calls, pinned, g.conditions, g.verified, max_depth)
-    return {"functions": f, "calls": g.calls, "sites": g.sites, "unused_overrides": g.unused_overrides, "unused_removals": g.unused_removals} | got
+    return {"functions": f, "calls": g.calls, "sites": g.sites, "conditions": g.conditions, "unused_overrides": g.unused_overrides, "unused_removals": g.unused_removals} | got
 
 
 def _rules(path: str, key: str) -> list[dict]:
@@ -137,22 +138,24 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         from .session import session
 
         spark = session()
-    units = durable(readers.read_build_db(spark, db).select(F.col("path").alias("unit")))
+    named = durable(readers.read_build_db(spark, db))
+    units = durable(named.join(cache.file_states(named), "path", "left_semi"))
     if units.isEmpty():
-        log.error("%s names no source file", db)
+        log.error("%s names no source file that is there", db)
         return NO_BUILD_DB
-    facts = readers.read_facts(spark, args.facts).join(units, "unit", "left_semi")
-    if args.cache_dir:
-        sinks.write_unit_facts(facts.withColumn("unit_key", F.md5("unit")), args.cache_dir)
+    facts, counts = cache.cached_facts(units, args.facts, args.cache_dir or None)
+    counts["missingFiles"] = named.count() - counts["units"]
     tables = readers.merge_facts(readers.fact_tables(facts))
     frames = readers.read_frames(spark, args.su_dir) if args.su_dir else spark.createDataFrame([], FRAMES)
-    got = run(tables, frames, _rules(args.fp_overrides, "overrides"), _rules(args.edge_removals, "removals"), args.root_pattern, args.max_depth)
-    meta = {"root": args.root, "suDir": args.su_dir, "fileCount": units.count(), "functionCount": got["functions"].count(), "generatedAt": time.strftime("%Y-%m-%dT%H:%M:%S")}
-    drawn = got["functions"].drop("ord")
-    rows = sinks.result_rows(drawn, got["metrics"], got["per_root"], got["calls"], got["sites"].select("id", "line1", "via", "overridden"))
+    rule = lambda path, name, key: _rules(readers.rule_file(args.root, name, path) or "", key)
+    got = run(tables, frames, rule(args.fp_overrides, OVERRIDE_FILE, "overrides"), rule(args.edge_removals, REMOVAL_FILE, "removals"), args.root_pattern, args.max_depth)
+    counts["unresolvedCalls"] = tables["raw_calls"].select("callee").join(got["functions"].select(F.col("name").alias("callee")).distinct(), "callee", "left_anti").count()
+    log.info("counts: %s", counts)
+    meta = {"root": args.root, "suDir": args.su_dir, "fileCount": counts["units"], "functionCount": got["functions"].count(), "generatedAt": time.strftime("%Y-%m-%dT%H:%M:%S"), "counts": counts}
+    rows = sinks.document_rows(got["functions"], got["metrics"], got["per_root"], got["calls"], got["sites"].select("id", "line1", "via", "overridden"), got["conditions"])
     report = sinks.with_flags(views.cli_rows(got["functions"], got["metrics"], got["calls"], args.roots_only))
     if args.out:
-        sinks.write_text(sinks.document_parts(rows, got["roots"], meta), args.out)
+        sinks.write_document(rows, got["roots"], meta, os.path.abspath(args.out))
     if args.report:
         sinks.write_text(sinks.html_parts(report, list(sinks.CLI_COLUMNS.values()), views.cards(got["metrics"]).first().asDict(), note=json.dumps(meta)), args.report)
     if args.csv:

@@ -54,11 +54,16 @@ def read_frames(spark: SparkSession, folder: str) -> DataFrame:
 def frame_index(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Largest frame by function, and by (file stem, function); the first wins ties. Rows need an
     `ord` for that; without one the smaller file, then line, is first."""
-    order = F.col("ord") if "ord" in frames.columns else F.struct("file", "line")
-    best = F.min_by(F.struct("func", "bytes", "qualifier", "file", "line"), F.struct(-F.col("bytes"), order)).alias("r")
-    by_name = frames.groupBy("func").agg(best).select("r.*")
-    by_file = frames.groupBy(stem("file").alias("stem"), "func").agg(best).select("stem", "r.*")
-    return by_name, by_file
+    order = [F.col("ord")] if "ord" in frames.columns else [F.col("file"), F.col("line")]
+    f = frames.withColumn("__stem", stem("file"))
+
+    def largest(*by: str) -> DataFrame:
+        # the maximum of a number needs no sort and is summed up before the exchange; only frames that reach it are ordered
+        top = f.groupBy(*by).agg(F.max("bytes").alias("__top")).select(*(F.col(c).alias(f"__{c}") for c in by), "__top")
+        on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("bytes") == F.col("__top")]
+        return f.join(top, on, "left_semi").groupBy(*by).agg(F.min_by(F.struct("func", "bytes", "qualifier", "file", "line"), F.struct(*order)).alias("r"))
+
+    return largest("func").select("r.*"), largest("__stem", "func").select(F.col("__stem").alias("stem"), "r.*")
 
 
 def find_build_db(root: str, explicit: str | None = None) -> str | None:
@@ -130,11 +135,16 @@ def entry_args(args: pd.Series, directory: pd.Series) -> pd.Series:
     return pd.Series([None if a is None else clean_args(a, d or "/") for a, d in zip(args, directory, strict=True)])
 
 
+def all_facts(spark: SparkSession, path: str) -> DataFrame:
+    """One row a line, those that do not parse with their text in _corrupt_record."""
+    d = spark.read.schema(FACTS + ", _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return d.withColumn("unit_ord", F.monotonically_increasing_id())
+
+
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     """One row a unit; lines that do not parse are dropped and a unit without records counts as
     empty, so one bad unit never stops the rest."""
-    d = spark.read.schema(FACTS + ", _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return d.withColumn("unit_ord", F.monotonically_increasing_id()).filter("_corrupt_record is null").drop("_corrupt_record")
+    return all_facts(spark, path).filter("_corrupt_record is null").drop("_corrupt_record")
 
 
 def fact_tables(facts: DataFrame) -> dict[str, DataFrame]:
@@ -196,12 +206,36 @@ def rule_file(root: str, name: str, explicit: str | None = None) -> str | None:
     return p if explicit or os.path.isfile(p) else None
 
 
-def read_result(spark: SparkSession, path: str) -> DataFrame:
-    """Result documents back to rows, names mapped and gaps filled as a host needs them."""
-    d = spark.read.json(path)
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    have = set(d.columns)
-    return d.select("name", "file", *(flag(c) for c in ("recursive", "recursive_via_fp", "bounded") if c in have), F.col("peak").alias("cumulative_stack"), F.col("frame").alias("stack_bytes"), F.coalesce("depth", F.lit(0)).alias("depth"))
+# The fields of a function in the result document, and of its rows per root.
+RESULT = "name string, file string, line int, callees array<string>, indirect array<string>, stackBytes long, stackQualifier string, peak long, peakBounded boolean, recursive boolean, recursiveViaFp boolean, fpVerified boolean, isPinnedRoot boolean, isAutoRoot boolean, depth int, downDepth int, downDepthBounded boolean, fpSites array<struct<line:int,via:string,overridden:boolean>>, perRoot array<struct<root:string,depth:int,entry:long,peak:long,peakBounded:boolean,isAuto:boolean,isPinned:boolean>>, conditional array<struct<targets:array<string>,cond:string>>"
+ROOT_LISTS = ("roots", "pinnedRoots", "autoRoots")
+
+
+def read_result(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A result document back to tables: functions (a row each, with all fields of the document; gaps
+    are 0, false or empty as a host fills them), per_root, sites, calls(src, dst, indirect, seq),
+    conditional, and roots(root, is_pinned, is_auto). The document is one JSON value, so one task
+    parses it; its functions are spread from there."""
+    doc = spark.read.text(path, wholetext=True)
+    as_map = F.from_json("value", "byName map<string,string>, " + ", ".join(f"{x} array<string>" for x in ROOT_LISTS)).alias("d")
+    d = doc.select(as_map).select("d.*")
+    f = d.select(F.explode("byName").alias("id", "text")).repartition("id").select("id", F.from_json("text", RESULT).alias("r")).select("id", "r.*")
+    for c, kind in f.dtypes:
+        if c in ("depth", "downDepth", "line"):
+            f = f.withColumn(c, F.coalesce(c, F.lit(0)))
+        elif kind == "boolean":
+            f = f.withColumn(c, F.coalesce(c, F.lit(False)))
+        elif kind.startswith("array"):
+            f = f.withColumn(c, F.coalesce(c, F.array().cast(kind)))
+    f = durable(f)
+    calls = f.select(F.col("id").alias("src"), F.posexplode("callees").alias("seq", "dst"), "indirect").select("src", "dst", F.array_contains("indirect", F.col("dst")).alias("indirect"), (F.col("seq") + 1).alias("seq"))
+    marks = d.select(F.explode("roots").alias("root"), "pinnedRoots", "autoRoots").select("root", F.array_contains("pinnedRoots", F.col("root")).alias("is_pinned"), F.array_contains("autoRoots", F.col("root")).alias("is_auto"))
+    return {
+        "functions": f, "calls": calls, "roots": marks,
+        "per_root": f.select("id", F.explode("perRoot").alias("r")).select("id", "r.*"),
+        "sites": f.select("id", F.explode("fpSites").alias("s")).select("id", "s.*"),
+        "conditional": f.select("id", F.explode("conditional").alias("c")).select("id", "c.*"),
+    }
 
 
 def synthetic_graph(spark: SparkSession, n: int = 3000, variant: int = 0) -> tuple[DataFrame, DataFrame]:

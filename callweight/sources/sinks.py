@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import csv_field
+from .document import write_ordered
 
 log = logging.getLogger("callweight")
 
@@ -40,19 +41,62 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def document_rows(functions: DataFrame, metrics: DataFrame, per_root: DataFrame, calls: DataFrame, sites: DataFrame, conditions: list) -> DataFrame:
+    """(id, text): each function as the JSON object of the result document that hosts read. Names of
+    callees, roots and targets are ids; frames and places that are not known are null."""
+    ids = lambda c: F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("seq", "dst")))), lambda x: x.dst)
+    out = calls.groupBy(F.col("src").alias("id")).agg(ids(F.lit(True)).alias("callees"), ids(F.col("indirect")).alias("indirect"))
+    roots = F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("k"), F.col("root").cast("string").alias("root"), "depth", "entry", "peak", F.col("bounded").alias("peakBounded"), F.col("is_auto").alias("isAuto"), F.col("is_pinned").alias("isPinned"))))
+    seen = per_root.groupBy("id").agg(F.transform(roots, lambda x: x.dropFields("k")).alias("perRoot"))
+    marked = sites.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("line1").alias("line"), "via", "overridden"))).alias("fpSites"))
+    texts = F.array(*(F.lit(json.dumps(c)) for c in conditions)) if conditions else F.array().cast("array<string>")
+    cond = calls.filter("cond_id is not null").groupBy(F.col("src").alias("id"), "cond_id").agg(ids(F.lit(True)).alias("targets"))
+    cond = cond.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("cond_id", "targets"))), lambda x: F.concat(F.lit('{"targets":'), F.to_json(x.targets), F.lit(',"cond":'), F.get(texts, x.cond_id), F.lit("}"))).alias("c"))
+    d = functions.join(metrics, "id").join(out, "id", "left").join(seen, "id", "left").join(marked, "id", "left").join(cond, "id", "left")
+    none = lambda c, like: F.coalesce(F.col(c), F.array().cast(like))
+    kind = dict(calls.dtypes)["dst"]
+    has = lambda c, other: F.col(c) if c in d.columns else other
+    fields = F.struct(
+        F.col("name"), F.col("file"), F.coalesce(has("line", has("line0", F.lit(0))), F.lit(0)).alias("line"), none("callees", f"array<{kind}>").alias("callees"), none("indirect", f"array<{kind}>").alias("indirect"), F.col("frame").alias("stackBytes"), has("qualifier", F.lit("")).alias("stackQualifier"),
+        F.col("peak"), F.col("bounded").alias("peakBounded"), F.col("recursive"), F.col("recursive_via_fp").alias("recursiveViaFp"), F.col("fp_verified").alias("fpVerified"), F.col("is_pinned_root").alias("isPinnedRoot"), F.col("is_auto_root").alias("isAutoRoot"),
+        F.col("depth"), F.col("down_depth").alias("downDepth"), F.col("bounded").alias("downDepthBounded"), none("fpSites", dict(d.dtypes)["fpSites"]).alias("fpSites"), none("perRoot", dict(d.dtypes)["perRoot"]).alias("perRoot"),
+    )
+    body = F.to_json(fields, {"ignoreNullFields": "false"})
+    return d.select("id", F.concat(body.substr(F.lit(1), F.length(body) - 1), F.lit(',"conditional":['), F.coalesce(F.array_join("c", ","), F.lit("")), F.lit("]}")).alias("text"))
+
+
+def document_sections(rows: DataFrame, roots: DataFrame, meta: dict) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(section, key, text) of the result document, and what stands around each section."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(F.col(c).cast("string"))), r"^\[|\]$", "")  # noqa: E731  a JSON string
+    d = rows.select(F.lit(0).alias("section"), F.col("id").cast("string").alias("key"), F.concat(quoted("id"), F.lit(":"), "text").alias("text"))
+    for k, c in enumerate((F.lit(True), F.col("is_pinned"), F.col("is_auto"))):
+        d = d.union(roots.filter(c).select(F.lit(k + 1), F.col("root").cast("string"), quoted("root")))
+    names = ["roots", "pinnedRoots", "autoRoots"]
+    around = [('{"byName":{', "}")] + [(f',"{n}":[', "]") for n in names]
+    around[-1] = (around[-1][0], f'],"meta":{json.dumps(meta)}}}')
+    return d, around
+
+
+def write_document(rows: DataFrame, roots: DataFrame, meta: dict, path: str) -> None:
+    """The whole result as one JSON file in a shared folder, written by the tasks."""
+    write_ordered(*document_sections(rows, roots, meta), path)
+
+
 def document_parts(rows: DataFrame, roots: DataFrame, meta: dict) -> Iterator[str]:
-    """The whole result as one JSON text, part by part; one partition of rows is on the driver at a time."""
-    yield '{"byName":{'
-    body = rows.select(F.col("id").cast("string").alias("k"), F.to_json(F.struct(*rows.columns)).alias("v")).toLocalIterator()
-    for i, r in enumerate(body):
-        yield f"{',' if i else ''}{json.dumps(r.k)}:{r.v}"
-    yield "}"
-    for k, c in (("roots", F.lit(True)), ("pinnedRoots", F.col("is_pinned")), ("autoRoots", F.col("is_auto"))):
-        yield f',"{k}":['
-        for i, r in enumerate(roots.filter(c).select(F.col("root").cast("string").alias("root")).orderBy("root").toLocalIterator()):
-            yield f"{',' if i else ''}{json.dumps(r.root)}"
-        yield "]"
-    yield f',"meta":{json.dumps(meta)}}}'
+    """The same text part by part, for a pipe; one partition of rows is on the driver at a time."""
+    d, around = document_sections(rows, roots, meta)
+    d = d.repartitionByRange("section", "key").sortWithinPartitions("section", "key")
+    now = -1
+    for r in d.toLocalIterator():
+        while now < r.section:
+            yield (around[now][1] if now >= 0 else "") + around[now + 1][0]
+            now, first = now + 1, True
+        yield ("" if first else ",") + r.text
+        first = False
+    while now < len(around) - 1:
+        yield (around[now][1] if now >= 0 else "") + around[now + 1][0]
+        now += 1
+    yield around[-1][1]
 
 
 def result_document(rows: DataFrame, roots: DataFrame, meta: dict) -> str:

@@ -80,16 +80,16 @@ def on_change(changes: DataFrame, rebuild: Callable[[DataFrame], None], checkpoi
 
 
 def cancellable(spark: SparkSession, tag: str, run: Callable[[], DataFrame]):
-    """Run with a tag that `cancel` can interrupt; the interrupted result is discarded."""
-    spark.addTag(tag)
+    """Run with a tag that `cancel` can interrupt from any thread; the interrupted result is discarded."""
+    spark.sparkContext.addJobTag(tag)
     try:
         return run()
     finally:
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
-def cancel(spark: SparkSession, tag: str) -> list[str]:
-    return spark.interruptTag(tag)
+def cancel(spark: SparkSession, tag: str) -> None:
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def settings_changed(old: dict, new: dict, content_keys: set[str]) -> bool:

@@ -71,11 +71,15 @@ def test_sinks(spark, tmp_path):
     n = spark.createDataFrame([("f", 'a"b', "x.c", 5000, 0), ("g", "g", "y<.c", None, 1)], "id string, name string, file string, frame long, ord int")
     e = spark.createDataFrame([("f", "g", 0, False)], "src string, dst string, seq int, indirect boolean")
     a = metrics.analyse(n, e)
-    rows = sinks.result_rows(n, a["metrics"], a["per_root"], e)
-    doc = json.loads(sinks.result_document(rows, a["roots"], {"functionCount": 2}))
-    assert doc["byName"]["f"]["peak"] == 5000 and doc["byName"]["g"]["per_root"][0]["root"] == "f" and doc["roots"] == ["f"] and doc["meta"]["functionCount"] == 2
-    sinks.write_json(rows, str(tmp_path / "j"))
-    assert readers.read_result(spark, str(tmp_path / "j")).count() == 2
+    none = spark.createDataFrame([], "id string, line1 int, via string, overridden boolean")
+    rows = sinks.document_rows(n, a["metrics"], a["per_root"], e.withColumn("cond_id", F.lit(None).cast("int")), none, [])
+    text = sinks.result_document(rows, a["roots"], {"functionCount": 2})
+    doc = json.loads(text)
+    assert doc["byName"]["f"]["peak"] == 5000 and doc["byName"]["g"]["perRoot"][0]["root"] == "f" and doc["roots"] == ["f"] and doc["meta"]["functionCount"] == 2
+    (tmp_path / "j").write_text(text)
+    assert readers.read_result(spark, str(tmp_path / "j"))["functions"].count() == 2
+    sinks.write_json(sinks.result_rows(n, a["metrics"], a["per_root"], e), str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 2
     rep = views.report_rows(n, a["metrics"], a["per_root"], roots_only=False)
     assert [r.severity for r in rep.collect()] == ["critical", "critical"]
     lines = [r.value for r in sinks.csv_lines(rep, ["name", "own_frame"]).collect()]
