@@ -293,7 +293,7 @@ RAW AS (SELECT a.usr, a.name AS caller, a.file, b.name AS callee, false AS indir
 UNION ALL SELECT a.usr, a.name, a.file, t.callee, true, t.c FROM E_dag JOIN D a ON a.id = src JOIN (VALUES ('hot bolt', 'blue ring', NULL), ('large ring', 'red bolt', 0), ('blue ring', 'hot bolt', NULL)) t(caller, callee, c) ON t.caller = a.name
 WHERE E_dag.indirect AND (a.name = 'large ring' OR (a.name = 'hot bolt' AND dst % 4 = 1) OR (a.name = 'blue ring' AND a.file = 'src/Brand#14.c'))),
 M AS (SELECT r.*, d.usr AS dst, row_number() OVER (PARTITION BY r.usr, r.callee ORDER BY CASE WHEN d.file = r.file THEN 0 ELSE 1 END, d.u, d.id) AS k FROM (SELECT DISTINCT usr, file, callee FROM RAW) r JOIN D d ON d.name = r.callee),
-G AS (SELECT RAW.usr AS src, M.dst, min(RAW.indirect) AS indirect, CASE WHEN bool_and(RAW.cond_id IS NOT NULL) THEN max(RAW.cond_id) END AS cond_id, min(RAW.caller) AS caller, min(RAW.callee) AS callee, min(RAW.file) AS file FROM RAW JOIN M ON M.usr = RAW.usr AND M.callee = RAW.callee AND M.k = 1 GROUP BY RAW.usr, M.dst)"""
+G AS (SELECT RAW.usr AS src, M.dst, min(RAW.indirect) AS indirect, max(RAW.cond_id) AS cond_id, min(RAW.caller) AS caller, min(RAW.callee) AS callee, min(RAW.file) AS file FROM RAW JOIN M ON M.usr = RAW.usr AND M.callee = RAW.callee AND M.k = 1 GROUP BY RAW.usr, M.dst)"""
 
 
 def program_facts(spark, sf):
@@ -412,6 +412,21 @@ def peak_cyclic_scc_sum(spark, sf):
     return metrics.peaks(D.nodes(spark, sf), D.cyclic(spark, sf)).select("id", "peak", "down_depth")
 
 
+RAW_SQL = CONDENSED_SQL.replace("E_cyc", "E_raw")
+
+
+@query(f"WITH {RAW_SQL} SELECT scc, count(*) AS size FROM S GROUP BY scc")
+def scc_sizes_raw(spark, sf):
+    """All calls of all orders: one component holds nearly every function."""
+    e = metrics.durable(D.raw_edges(spark, sf))
+    return metrics.components(D.nodes(spark, sf), e).select("scc", "size").distinct()
+
+
+@query(f"WITH {RAW_SQL} SELECT S.id, CAST(max(v) AS BIGINT) AS peak, CAST(max(d) AS INTEGER) AS down_depth, bool_or(n IN (SELECT S.scc FROM REC JOIN S ON S.id = REC.id)) AS bounded, S.id IN (SELECT id FROM REC) AS recursive FROM S JOIN CP ON CP.s = S.scc GROUP BY S.id")
+def peak_raw(spark, sf):
+    return metrics.peaks(D.nodes(spark, sf), metrics.durable(D.raw_edges(spark, sf))).select("id", "peak", "down_depth", "bounded", "recursive")
+
+
 ROOTS_SQL = PATHS_SQL + ", RT AS (SELECT id AS root FROM V WHERE id NOT IN (SELECT dst FROM E_dag)), PR AS (SELECT s AS root, n AS id, CAST(max(d) AS INTEGER) AS depth, max(v) AS entry FROM P JOIN RT ON RT.root = P.s GROUP BY s, n)"
 
 

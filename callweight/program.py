@@ -45,8 +45,8 @@ def build(tables: dict[str, DataFrame], overrides: Sequence[dict] = (), removals
     """The graph of merged fact tables (readers.merge_facts).
 
     Calls and bound targets are resolved by name alike; targets that are defined nowhere drop out,
-    and a condition all of whose targets drop out binds nothing. A call that is also made directly
-    holds without condition.
+    and a condition all of whose targets drop out binds nothing. Where a function calls another both
+    directly and under a condition, the condition holds for the call; of several the last.
     """
     spark = tables["fn_defs"].sparkSession
     defs = tables["fn_defs"].withColumn("ord", F.struct("unit_ord", "seq"))
@@ -68,8 +68,8 @@ def build(tables: dict[str, DataFrame], overrides: Sequence[dict] = (), removals
         raw, conditions = direct, []
         unused, verified = spark.createDataFrame([], "rule int, caller string"), f.limit(0).select("id")
         sites = sites.withColumn("rule", F.lit(None).cast("int")).withColumn("overridden", F.lit(False)).withColumn("candidates", F.array().cast("array<string>"))
-    to = resolve.resolve_names(raw, f).groupBy("src", "dst").agg(F.min("at").alias("at"), F.min("indirect").alias("indirect"), F.max(F.col("cond_id").isNull()).alias("plain"), F.max("cond_id").alias("cond_id"))
-    calls = durable(to.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy("at")).alias("seq"), "indirect", F.when(~F.col("plain"), F.col("cond_id")).alias("cond_id")))
+    to = resolve.resolve_names(raw, f).groupBy("src", "dst").agg(F.min("at").alias("at"), F.min("indirect").alias("indirect"), F.max("cond_id").alias("cond_id"))
+    calls = durable(to.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy("at")).alias("seq"), "indirect", "cond_id"))
     sites = sites.withColumnRenamed("caller", "name").withColumnRenamed("src", "caller")
     left, unused_removals, sites = rules.prune_edges(calls, list(removals), f, sites)
     return Graph(f, durable(left), sites.withColumnRenamed("caller", "id"), conditions, verified, unused, unused_removals)
