@@ -29,28 +29,50 @@ def bfs(edges: DataFrame, start: DataFrame, hops: int | None = None) -> DataFram
     return durable(seen.all)
 
 
+def discovered(edges: DataFrame, focus, up: int, down: int, budget: int = BUDGET) -> tuple[list[tuple], bool]:
+    """([(id, layer)], cut) in the order of discovery: callees hop by hop, each hop in the order of
+    its callers and of their calls (`seq`, else the smaller callee), then callers in the same way,
+    by the smaller id. The way up does not lead through what was found below. The search ends with
+    the node that does not fit into the budget, so no more than that is ever on the driver; a hop is
+    one job, in which every node takes its first place before places are ordered."""
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
+    found, cut = [(focus, 0)], False
+    for sign, hops, e in ((1, down, edges.select(F.col("src").alias("at"), F.col("dst").alias("next"), (F.col("seq") if "seq" in edges.columns else F.col("dst")).alias("seq"))), (-1, up, edges.select(F.col("dst").alias("at"), F.col("src").alias("next"), F.col("src").alias("seq")))):
+        frontier = [focus]
+        for h in range(1, hops + 1):
+            room = budget - len(found)
+            here = spark.createDataFrame(list(zip(frontier, range(len(frontier)), strict=True)), f"at {kind}, place int")
+            seen = spark.createDataFrame([(x,) for x, _ in found], f"next {kind}")
+            new = e.join(F.broadcast(here), "at").groupBy("next").agg(F.min(F.struct("place", "seq")).alias("first")).join(F.broadcast(seen), "next", "left_anti")  # both hold `budget` rows at most
+            frontier = [r.next for r in new.orderBy("first", "next").limit(room + 1).collect()]
+            cut |= len(frontier) > room
+            frontier = frontier[:room]
+            found += [(x, sign * h) for x in frontier]
+            if cut or not frontier:
+                break
+        if cut:
+            break
+    return found, cut
+
+
 def neighbourhood(edges: DataFrame, focus, up: int, down: int, budget: int = BUDGET) -> tuple[DataFrame, DataFrame, bool]:
-    """(nodes, edges, cut): nodes(id, layer, truncated_callees, truncated_callers) around a focus,
-    positive layers below and negative above; a node on both sides is below. At most `budget`
-    nodes, the nearer first, below before above, then by id. edges(src, dst, on_focus, recursive,
-    indirect): recursive tells cycles inside the neighbourhood.
+    """(nodes, edges, cut): nodes(id, layer, truncated_callees, truncated_callers, number) around a
+    focus, positive layers below and negative above; a node on both sides is below. At most `budget`
+    nodes, numbered as they are discovered. edges(src, dst, on_focus, recursive, indirect): recursive
+    tells cycles inside the neighbourhood.
     """
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
     pointer = F.max("indirect") if "indirect" in edges.columns else F.lit(False)
-    e = durable(edges.groupBy("src", "dst").agg(pointer.alias("indirect")))
-    at = spark.createDataFrame([(focus,)], f"id {kind}")
-    below = bfs(e, at, down).withColumnRenamed("hop", "layer")
-    above = bfs(reversed_edges(e), at, up).filter("hop > 0").join(below, "id", "left_anti").select("id", (-F.col("hop")).alias("layer"))
-    all_ = below.union(above)
-    order = [F.col("layer") < 0, F.abs("layer"), F.col("id")]
-    cut = all_.count() > budget
-    n = durable(all_.orderBy(*order).limit(budget))
+    order = [F.min("seq").alias("seq")] if "seq" in edges.columns else []
+    e = durable(edges.groupBy("src", "dst").agg(pointer.alias("indirect"), *order))
+    found, cut = discovered(e, focus, up, down, budget)
+    n = durable(spark.createDataFrame([(x, layer, i) for i, (x, layer) in enumerate(found)], f"id {kind}, layer int, number int"))
     inside = durable(e.join(n.select(F.col("id").alias("src"), F.col("layer").alias("lf")), "src").join(n.select(F.col("id").alias("dst"), F.col("layer").alias("lt")), "dst"))
     out_miss = e.join(n.select(F.col("id").alias("src")), "src", "left_semi").join(n.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("src").alias("id")).distinct()
     in_miss = e.join(n.select(F.col("id").alias("dst")), "dst", "left_semi").join(n.select(F.col("id").alias("src")), "src", "left_anti").select(F.col("dst").alias("id")).distinct()
     mark = lambda d, c: d.withColumn(c, F.lit(True))
-    nodes = n.join(mark(out_miss, "x"), "id", "left").join(mark(in_miss, "y"), "id", "left").select("id", "layer", F.coalesce("x", F.lit(False)).alias("truncated_callees"), F.coalesce("y", F.lit(False)).alias("truncated_callers"))
+    nodes = n.join(mark(out_miss, "x"), "id", "left").join(mark(in_miss, "y"), "id", "left").select("id", "layer", F.coalesce("x", F.lit(False)).alias("truncated_callees"), F.coalesce("y", F.lit(False)).alias("truncated_callers"), "number")
     comp = components(n.select("id"), inside.select("src", "dst"))
     same = inside.join(comp.select(F.col("id").alias("src"), F.col("scc").alias("s")), "src").join(comp.select(F.col("id").alias("dst"), F.col("scc").alias("d")), "dst")
     on = ((F.col("lf") < F.col("lt")) & (F.col("lt") <= 0)) | ((F.col("lf") >= 0) & (F.col("lf") < F.col("lt"))) | (F.col("src") == F.col("dst"))

@@ -506,7 +506,22 @@ L AS (SELECT id, layer FROM (SELECT * FROM LN UNION ALL SELECT * FROM LU) ORDER
 @query(f"""WITH {HOOD_SQL} SELECT id, CAST(layer AS INTEGER) AS layer, EXISTS (SELECT 1 FROM E_dag WHERE src = L.id AND dst NOT IN (SELECT id FROM L)) AS truncated_callees,
 EXISTS (SELECT 1 FROM E_dag WHERE dst = L.id AND src NOT IN (SELECT id FROM L)) AS truncated_callers FROM L""")
 def neighborhood_nodes(spark, sf):
-    return explore.neighbourhood(D.dag(spark, sf), FOCUS, 3, 4)[0]
+    return explore.neighbourhood(D.dag(spark, sf), FOCUS, 3, 4)[0].drop("number")
+
+
+ORDER_SQL = f"""D0 AS (SELECT CAST({FOCUS} AS BIGINT) AS id, CAST(0 AS BIGINT) AS p),
+D1 AS (SELECT dst AS id, row_number() OVER (ORDER BY dst) AS p FROM E_raw WHERE src = {FOCUS} AND dst <> {FOCUS}),
+D2 AS (SELECT id, row_number() OVER (ORDER BY f) AS p FROM (SELECT e.dst AS id, min((D1.p, e.dst)) AS f FROM D1 JOIN E_raw e ON e.src = D1.id WHERE e.dst NOT IN (SELECT id FROM D0 UNION ALL SELECT id FROM D1) GROUP BY e.dst)),
+DN AS (SELECT id, 0 AS layer, p FROM D0 UNION ALL SELECT id, 1, p FROM D1 UNION ALL SELECT id, 2, p FROM D2),
+U1 AS (SELECT src AS id, row_number() OVER (ORDER BY src) AS p FROM E_raw WHERE dst = {FOCUS} AND src NOT IN (SELECT id FROM DN)),
+U2 AS (SELECT id, row_number() OVER (ORDER BY f) AS p FROM (SELECT e.src AS id, min((U1.p, e.src)) AS f FROM U1 JOIN E_raw e ON e.dst = U1.id WHERE e.src NOT IN (SELECT id FROM DN UNION ALL SELECT id FROM U1) GROUP BY e.src)),
+L AS (SELECT *, row_number() OVER (ORDER BY layer < 0, abs(layer), p) - 1 AS n FROM (SELECT * FROM DN UNION ALL SELECT id, -1, p FROM U1 UNION ALL SELECT id, -2, p FROM U2))"""
+
+
+@query(f"WITH {ORDER_SQL} SELECT id, CAST(layer AS INTEGER) AS layer, CAST(n AS INTEGER) AS number FROM L WHERE n < 600")
+def neighborhood_order(spark, sf):
+    """Two hops of all calls below and above the focus, numbered as discovered; the budget cuts them from sf0.01 on."""
+    return explore.neighbourhood(D.raw_edges(spark, sf), FOCUS, 2, 2)[0].select("id", "layer", "number")
 
 
 def _loop_focus(spark, sf):
@@ -517,8 +532,9 @@ def _loop_focus(spark, sf):
 
 CYC_HOOD = f"""{SCC_SQL}, FO AS (SELECT coalesce(min(S.id), {FOCUS}) AS f FROM S WHERE scc IN (SELECT scc FROM S GROUP BY scc HAVING count(*) > 2)),
 DN AS (SELECT f AS id, 0 AS h FROM FO UNION SELECT E_cyc.dst, DN.h + 1 FROM DN JOIN E_cyc ON E_cyc.src = DN.id WHERE DN.h < 4),
-UP AS (SELECT f AS id, 0 AS h FROM FO UNION SELECT E_cyc.src, UP.h + 1 FROM UP JOIN E_cyc ON E_cyc.dst = UP.id WHERE UP.h < 3),
-LN AS (SELECT id, min(h) AS layer FROM DN GROUP BY id), LU AS (SELECT id, -min(h) AS layer FROM UP WHERE id NOT IN (SELECT id FROM LN) GROUP BY id),
+LN AS (SELECT id, min(h) AS layer FROM DN GROUP BY id),
+UP AS (SELECT f AS id, 0 AS h FROM FO UNION SELECT E_cyc.src, UP.h + 1 FROM UP JOIN E_cyc ON E_cyc.dst = UP.id WHERE UP.h < 3 AND E_cyc.src NOT IN (SELECT id FROM LN)),
+LU AS (SELECT id, -min(h) AS layer FROM UP WHERE id NOT IN (SELECT id FROM LN) GROUP BY id),
 L AS (SELECT * FROM LN UNION ALL SELECT * FROM LU), EL AS (SELECT src, dst, indirect FROM E_cyc JOIN L a ON a.id = src JOIN L b ON b.id = dst),
 CL AS (SELECT src AS a, dst AS b FROM EL UNION SELECT CL.a, EL.dst FROM CL JOIN EL ON EL.src = CL.b)"""
 
