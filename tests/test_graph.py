@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from callweight.fixpoint import connected_components
 from callweight.operators import explore, metrics, rules
@@ -101,6 +102,24 @@ def test_components_by_colouring_agree_with_doubling(spark):
     assert a == b and a["r3"] == ("r0", 5, True) and a["q"][2]
 
 
+def test_estimates_stay_small_over_many_rounds(spark):
+    """A round joins what the last one gave: its estimate must not grow with every round, or planning takes all the time."""
+    layers = 14
+    f = {f"{x}{i:02d}": 10 + (x == "b") for i in range(layers) for x in "ab"}
+    e = [(f"{x}{i:02d}", f"{y}{i + 1:02d}") for i in range(layers - 1) for x in "ab" for y in "ab"]
+    n, g = graph(spark, f, e)
+    best = metrics.relax_down(n.select("id", F.col("frame").alias("w"), F.lit(1).cast("long").alias("len"), F.lit(False).alias("rec")), g)
+    assert rows(best, "id", "peak", "down")["a00"] == (10 + 11 * (layers - 1), layers)
+    assert best._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**40
+
+
+def test_peeling_stops_where_rounds_take_little(spark):
+    chain = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(30)] + [("c15", "c14")]
+    n, e = graph(spark, dict.fromkeys(sorted({x for ab in chain for x in ab}), 1), chain)
+    assert metrics.trim(e, least=0.9).count() == 29 and metrics.trim(e).count() == 2
+    assert rows(metrics.components(n, e).filter("recursive"), "id", "scc") == {"c14": "c14", "c15": "c14"}
+
+
 def test_depth_with_many_leaves(spark):
     f = {"F": 100, "H1": 9000, "H2": 9000, "H3": 9000, "A": 10, "B": 10, "C": 10, "D": 10}
     n, e = graph(spark, f, [("F", "H1"), ("F", "H2"), ("F", "H3"), ("F", "A"), ("A", "B"), ("B", "C"), ("C", "D")])
