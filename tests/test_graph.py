@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from callweight import fixpoint
 from callweight.fixpoint import connected_components
 from callweight.operators import explore, metrics, rules
 
@@ -120,6 +121,22 @@ def test_peeling_stops_where_rounds_take_little(spark):
     assert rows(metrics.components(n, e).filter("recursive"), "id", "scc") == {"c14": "c14", "c15": "c14"}
 
 
+def test_closure_removes_its_rounds_and_makes_none_for_nothing(spark, monkeypatch):
+    r = random.Random(5)
+    e = [(f"n{r.randrange(25):02d}", f"n{r.randrange(25):02d}") for _ in range(30)] + [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(17)] + [("x", "x")]
+    want, out = set(e), {}
+    for a, b in e:
+        out.setdefault(a, set()).add(b)
+    while more := {(a, c) for a, b in want for c in out.get(b, ())} - want:
+        want |= more
+    made, kept = [], metrics.durable
+    monkeypatch.setattr(metrics, "durable", lambda df: made.append(kept(df)) or made[-1])
+    _, g = graph(spark, {}, e)
+    got = [tuple(x) for x in metrics.closure_doubling(g).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert len(made) == 6 and sum(x in fixpoint._PATHS for x in made) == 1  # 17 edges: 1, 2, 4, 8, 16, 32
+
+
 def test_depth_with_many_leaves(spark):
     f = {"F": 100, "H1": 9000, "H2": 9000, "H3": 9000, "A": 10, "B": 10, "C": 10, "D": 10}
     n, e = graph(spark, f, [("F", "H1"), ("F", "H2"), ("F", "H3"), ("F", "A"), ("A", "B"), ("B", "C"), ("C", "D")])
