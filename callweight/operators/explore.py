@@ -227,12 +227,32 @@ def paths_to(nodes: DataFrame, edges: DataFrame, ends: DataFrame, max_depth: int
 
 def paths_capped(nodes: DataFrame, edges: DataFrame, starts: DataFrame, limit: int = PATHS, max_depth: int = PATH_LENGTH) -> DataFrame:
     """(start, rank, nodes, total, by_cycle, by_depth) in the order of a depth-first walk that
-    stops after 4 * limit paths and ranks only these: order-dependent, so each start's reachable
-    edges go to one grouped function. edges(src, dst, seq)."""
-    kind = dict(nodes.dtypes)["id"]
-    reach = closure_seeded(edges, starts.select(F.col("id").alias("seed")))
-    w = nodes.select("id", F.coalesce("frame", F.lit(0)).cast("long").alias("w"))
-    part = reach.join(w.withColumnRenamed("id", "node"), "node").select("seed", F.col("node").alias("src"), "w").join(edges.groupBy("src", "dst").agg(F.min("seq").alias("seq")), "src", "left")
+    stops after 4 * limit paths and ranks only these. edges(src, dst, seq).
+
+    The first paths of a node are the first of what its callees' lists give in the order of its
+    calls, so lists are merged by height, each once for all starts. Only starts that reach a cycle
+    or a chain that max_depth cuts are walked, each over its own reachable edges in one group."""
+    kind, cap = dict(nodes.dtypes)["id"], 4 * limit
+    ids = durable(starts.select("id").distinct())
+    w = durable(nodes.select("id", F.coalesce("frame", F.lit(0)).cast("long").alias("w")))
+    known = w.select(F.col("id").alias("src"))
+    e = durable(edges.groupBy("src", "dst").agg(F.min("seq").alias("seq")).join(known, "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi"))
+    high = peaks(nodes, e).select("id", F.when(~F.col("bounded") & (F.col("down_depth") <= max_depth), F.col("down_depth")).alias("h"))
+    here = durable(high.join(w, "id"))
+    tops = here.agg(F.max("h")).first()[0] or 0
+    arcs = durable(e.join(here.filter("h > 1").withColumnRenamed("id", "src"), "src"))
+    lists = Pile(durable(here.filter("h = 1").select("id", F.lit(1).alias("k"), F.array("id").alias("nodes"), F.col("w").alias("total"))))
+    for h in range(2, tops + 1):
+        ways = arcs.filter(F.col("h") == h).join(lists.all.select(F.col("id").alias("dst"), "k", "nodes", "total"), "dst")
+        first = ways.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("seq", "dst", "k"))).filter(F.col("n") <= cap)
+        lists.add(durable(first.select(F.col("src").alias("id"), F.col("n").alias("k"), F.concat(F.array("src"), "nodes").alias("nodes"), (F.col("w") + F.col("total")).alias("total"))))
+    best = lists.all.join(ids, "id").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("total"), "k"))).filter(F.col("rank") <= limit)
+    best = best.select(F.col("id").alias("start"), "rank", "nodes", "total", F.lit(False).alias("by_cycle"), F.lit(False).alias("by_depth"))
+    rest = durable(here.filter("h is null").select("id").join(ids, "id"))
+    if rest.isEmpty():
+        return best
+    reach = closure_seeded(e, rest.select(F.col("id").alias("seed")))
+    part = reach.join(w.withColumnRenamed("id", "node"), "node").select("seed", F.col("node").alias("src"), "w").join(e, "src", "left")
 
     def walk(pdf):
         import pandas as pd
@@ -242,7 +262,7 @@ def paths_capped(nodes: DataFrame, edges: DataFrame, starts: DataFrame, limit: i
         out: dict = {}
         for r in pdf[pdf.dst.notna()].sort_values(["src", "seq", "dst"]).itertuples():
             out.setdefault(r.src, []).append(type(start)(r.dst))
-        found, cap = [], 4 * limit
+        found = []
 
         def emit(path, cyc, deep):
             found.append((path, int(sum(frame[x] for x in path)), cyc, deep))
@@ -275,7 +295,7 @@ def paths_capped(nodes: DataFrame, edges: DataFrame, starts: DataFrame, limit: i
         keep = keep[:limit]
         return pd.DataFrame({"start": [start] * len(keep), "rank": range(1, len(keep) + 1), "nodes": [p[0] for p in keep], "total": [p[1] for p in keep], "by_cycle": [p[2] for p in keep], "by_depth": [p[3] for p in keep]})
 
-    return part.groupBy("seed").applyInPandas(walk, f"start {kind}, rank int, nodes array<{kind}>, total long, by_cycle boolean, by_depth boolean")
+    return best.union(part.groupBy("seed").applyInPandas(walk, f"start {kind}, rank int, nodes array<{kind}>, total long, by_cycle boolean, by_depth boolean"))
 
 
 def longest_chain(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:

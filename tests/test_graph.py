@@ -137,6 +137,39 @@ def test_closure_removes_its_rounds_and_makes_none_for_nothing(spark, monkeypatc
     assert len(made) == 6 and sum(x in fixpoint._PATHS for x in made) == 1  # 17 edges: 1, 2, 4, 8, 16, 32
 
 
+def test_capped_paths_are_the_first_of_the_walk(spark, monkeypatch):
+    """Starts that reach no cycle are merged from lists, without a search and a group of their own."""
+    r = random.Random(3)
+    f = {f"n{i:02d}": r.randrange(1, 50) for i in range(24)}
+    e = list(dict.fromkeys((f"n{a:02d}", f"n{a + r.randrange(1, 4):02d}") for a in range(20) for _ in range(3))) + [("z0", "z1"), ("z1", "z0"), ("z0", "n20")]
+    f |= {"z0": 5, "z1": 6}
+    n, g = graph(spark, f, e)
+    walked, search = [], explore.closure_seeded
+    monkeypatch.setattr(explore, "closure_seeded", lambda e, s: walked.extend(x[0] for x in s.collect()) or search(e, s))
+
+    def first(path, found):
+        kids = [b for a, b in e if a == path[-1]]
+        for k in kids:
+            if len(found) >= 8:
+                return
+            if k in path:
+                found.append([*path, k])
+            else:
+                first([*path, k], found)
+        if not kids:
+            found.append(path)
+
+    got = {}
+    for x in explore.paths_capped(n, g, n, limit=2).orderBy("start", "rank").collect():
+        got.setdefault(x.start, []).append((x.nodes, x.total))
+    for start in f:
+        found = []
+        first([start], found)
+        ways = sorted(((p, sum(f[x] for x in p)) for p in found), key=lambda p: -p[1])[:2]
+        assert got[start] == ways
+    assert sorted(walked) == ["z0", "z1"]
+
+
 def test_depth_with_many_leaves(spark):
     f = {"F": 100, "H1": 9000, "H2": 9000, "H3": 9000, "A": 10, "B": 10, "C": 10, "D": 10}
     n, e = graph(spark, f, [("F", "H1"), ("F", "H2"), ("F", "H3"), ("F", "A"), ("A", "B"), ("B", "C"), ("C", "D")])
