@@ -94,3 +94,56 @@ def test_fuzzy_passages_are_found(spark, length, changed):
         rows += [(2 * k, " ".join([*words(r, 40), *p, *words(r, 40)])), (2 * k + 1, " ".join([*words(r, 60), *q, *words(r, 10)]))]
     found = {x.doc_id for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(found) >= 0.85 * 80, len(found) / 80
+
+
+def linked(spark, docs):
+    """Sets of classes by document, and pairs of documents in rows."""
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
+    assert all(x.matched >= 0.75 * max(x.end_word - x.start_word, x.partner_end - x.partner_start) and min(x.end_word - x.start_word, x.partner_end - x.partner_start) >= 40 for x in got)
+    held = [set() for _ in docs]
+    for x in got:
+        held[x.doc_id].add(x.class_id)
+    return held, {(x.doc_id, x.partner_id) for x in got}
+
+
+def altered(r, p, changed):
+    """p with so many places changed, left out or put in, of which no two are one and the ends are none."""
+    q = list(p)
+    for i in sorted(r.sample(range(1, len(p) - 1), changed), reverse=True):
+        q[i : i + 1] = [(f"x{r.randrange(10**9)}",), (), (q[i], f"x{r.randrange(10**9)}")][r.choice([0, 0, 0, 1, 2])]
+    return q
+
+
+def test_passages_without_long_runs_are_linked(spark):
+    r = random.Random(61)
+    docs, pairs = [], []
+    for k in range(60):
+        p = words(r, 60 if k % 3 else 40 if k < 30 else 50)
+        q = [f"x{r.randrange(10**9)}" if i % 4 == 1 else w for i, w in enumerate(p)] if k < 30 else altered(r, p, len(p) // 5)  # runs of three words only; or changes of all kinds
+        docs += [words(r, 20) + p[i : i + 9] + words(r, 20) for i in (0, 12, 24)]  # earlier holders of its parts
+        pairs.append((len(docs), len(docs) + 2))
+        docs += [words(r, 50) + p + words(r, 50), words(r, 20) + p[3:12] + words(r, 20), words(r, 70) + q + words(r, 9)]
+    held, _ = linked(spark, docs)
+    assert [(a, b) for a, b in pairs if not held[a] & held[b]] == []
+    assert not any(h for i, h in enumerate(held) if i % 6 not in (3, 5))
+
+
+def test_all_holders_of_a_hot_line_are_looked_at(spark):
+    r = random.Random(62)
+    line = words(r, 12)
+    docs = []
+    for k in range(120):  # all hold the line; two by two they share what is around it, or nothing
+        if k % 4 == 0:
+            a, b = words(r, 16), words(r, 16)
+        own = (a, b) if k % 4 < 2 else (words(r, 16), words(r, 16))
+        own = [[w if j % 4 else f"y{r.randrange(10**9)}" for j, w in enumerate(o)] if k % 4 == 1 else o for o in own]
+        docs.append(words(r, 5 + k % 7) + own[0] + line + own[1] + words(r, 50))
+    held, rows = linked(spark, docs)
+    assert rows == {x for k in range(0, 120, 4) for x in ((k, k + 1), (k + 1, k))}
+
+
+def test_stretches_of_one_word_are_linked_by_few_rows(spark):
+    r = random.Random(63)
+    docs = [words(r, 10 + k) + ["of"] * (45 + 3 * k) + words(r, 20) + ["la"] * (10 + k) for k in range(20)]
+    held, rows = linked(spark, docs)
+    assert all(h & held[0] for h in held) and len(rows) < 200
