@@ -4,10 +4,12 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from callweight.llm import html, mixing, passages
+from callweight.llm import html, mixing, passages, text
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -147,3 +149,34 @@ def test_stretches_of_one_word_are_linked_by_few_rows(spark):
     docs = [words(r, 10 + k) + ["of"] * (45 + 3 * k) + words(r, 20) + ["la"] * (10 + k) for k in range(20)]
     held, rows = linked(spark, docs)
     assert all(h & held[0] for h in held) and len(rows) < 200
+
+
+def test_a_stretch_of_one_word_sends_its_ends_only():
+    """All places of a stretch had a window before; windows between the ends follow from theirs."""
+    rng, reach = np.random.default_rng(3), 37
+    line = [f"a{rng.integers(9**9)}" for _ in range(45)] + ["of"] * 50 + [f"b{rng.integers(9**9)}" for _ in range(45)]
+    w = text.words(np.frombuffer(" ".join(line).encode(), np.uint8), np.array([0, len(" ".join(line))]))
+    at = np.arange(45, 93, dtype=np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([" ".join(line)]), *(pa.array([x.tobytes()]) for x in (at, np.full(48, 5), np.zeros(48, np.int64)))], ["key", "text", "places", "seeds", "labels"])
+    (got,) = passages._windows(3, reach, 1)(iter([batch]))
+    wins = passages._wide(got.column("wins")[0].as_py(), 2 * reach + 3)
+    assert np.frombuffer(got.column("places")[0].as_py(), np.int32).tolist() == [45, 92]
+    assert np.frombuffer(got.column("more")[0].as_py(), np.int32).tolist() == [47, -47]
+    h = np.maximum(w.hash >> np.uint64(52), np.uint64(1))
+    for rest in range(reach):
+        place = 92 - rest
+        assert passages._between(wins[:1], wins[1:], np.array([47]), rest, 3, reach)[0].tolist() == h[place - reach : place + reach + 3].tolist()
+
+
+def test_bounds_of_the_second_look_agree_with_plain_alignments():
+    rng = np.random.default_rng(4)
+    u, v = (rng.integers(0, 6, (300, 37)).astype(np.uint16) for _ in range(2))
+    got = passages._agreeing(u, v)
+    for r in range(300):
+        a, b = u[r].astype(int), v[r].astype(int)
+        assert got[:, r].tolist() == passages._matches(np.where(a, a, -1), b)[:, -1].tolist()
+    for words in (3, 12, 40):
+        for _ in range(200):
+            x, y = (rng.integers(0, words, rng.integers(1, 41)) for _ in range(2))
+            best, far = passages._matches(x, y), np.maximum(np.arange(len(x) + 1)[:, None], np.arange(len(y) + 1))
+            assert passages._may_agree(x, y, 0.75) or not (best >= 0.75 * far)[1:, 1:].any()
