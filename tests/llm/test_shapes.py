@@ -180,3 +180,26 @@ def test_bounds_of_the_second_look_agree_with_plain_alignments():
             x, y = (rng.integers(0, words, rng.integers(1, 41)) for _ in range(2))
             best, far = passages._matches(x, y), np.maximum(np.arange(len(x) + 1)[:, None], np.arange(len(y) + 1))
             assert passages._may_agree(x, y, 0.75) or not (best >= 0.75 * far)[1:, 1:].any()
+
+
+def test_alignment_builds_no_matrix_of_counts(monkeypatch):
+    """Every end that was grown built one before; counts in the bits of a number give the same ends."""
+    rng, plain = np.random.default_rng(5), passages._matches
+    monkeypatch.setattr(passages, "_matches", None)
+    for words in (2, 5, 12, 40):
+        for _ in range(150):
+            x, y = (rng.integers(0, words, rng.integers(1, 41)) for _ in range(2))
+            best, spare = plain(x, y), float(rng.integers(0, 24)) / 2
+            assert passages.matched_in_gap(x.tolist(), y.tolist()) == best[-1, -1]
+            far = np.maximum(np.arange(len(x) + 1)[:, None], np.arange(len(y) + 1))
+            ends = [(i, j, int(best[i, j])) for i in range(1, len(x) + 1) for j in range(1, len(y) + 1) if x[i - 1] == y[j - 1]]
+            assert list(passages._ends(x.tolist(), y.tolist())) == ends
+            able = [e for e in ends if e[2] - 0.75 * max(e[:2]) >= -spare]
+            want = min(able, key=lambda e: (-min(e[:2]), -e[2], e[0] + e[1]), default=(0, 0, 0))
+            assert passages.reach(x.tolist(), y.tolist(), 0.75, spare) == want
+            assert passages._may_grow(x.tolist(), y.tolist(), 0.75, spare) or not able
+            if x[0] != y[0]:  # what comes first: up to MARGIN words that are worth most
+                worth = best - 0.75 * far
+                i, j = min(zip(*np.nonzero(worth >= worth.max() - 1e-9), strict=True), key=lambda e: (-best[e], sum(e)))
+                got = passages.extend(x.tolist(), y.tolist(), 0.75)
+                assert got == (0, 0, 0) if not best[i, j] else got[0] >= i and got[1] >= j and got[2] >= best[i, j]
