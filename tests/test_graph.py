@@ -242,3 +242,35 @@ def test_connected_components(spark):
     pairs = [(1, 2), (2, 3), (10, 11), (7, 3), (20, 20)] + [(100, k) for k in range(101, 140)] + [(k, k + 1) for k in range(200, 260)]
     got = {r.v: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got[7] == 1 and got[11] == 10 and got[139] == 100 and got[260] == 200 and 20 not in got
+
+
+def test_components_of_long_rings_take_no_round_for_each_step(spark, monkeypatch):
+    """Rings too long to be closed were coloured before, a table for each step along them; parts are walked now."""
+    rng, made = random.Random(9), []
+    edges = {(b + i, b + (i + 1) % 60) for b in range(0, 480, 60) for i in range(60)} | {(rng.randrange(480), 500 + rng.randrange(100)) for _ in range(300)} | {(7, 7), (501, 501), (70, 10)}
+    edges |= {(500 + rng.randrange(100), 500 + rng.randrange(100)) for _ in range(110)}
+    ends = {}
+    for s, d in edges:
+        ends.setdefault(s, []).append(d)
+
+    def below(x):
+        seen, todo = set(), [x]
+        while todo:
+            for y in ends.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    far = {x: below(x) for x in range(600)}
+    want = {x: (min([x, *(y for y in far[x] if x in far[y])]), x in far[x]) for x in range(600)}
+    for name in ("durable", "counted"):
+        monkeypatch.setattr(metrics, name, lambda df, f=getattr(metrics, name): made.append(1) or f(df))
+    n, e = spark.range(600), spark.createDataFrame(sorted(edges), "src long, dst long")
+    assert {x.id: (x.scc, x.recursive) for x in metrics.components(n, e).collect()} == want
+    assert len(made) <= 4
+    monkeypatch.setattr(metrics, "WALK_EDGES", 100, raising=False)  # part by part
+    made.clear()
+    rings = e.filter("src < 480 and dst < 480 and src div 60 = dst div 60")
+    got = {x.id: x.scc for x in metrics.components(n, rings).collect()}
+    assert got == {x: x // 60 * 60 if x < 480 else x for x in range(600)} and len(made) <= 8
